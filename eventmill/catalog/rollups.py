@@ -82,10 +82,10 @@ def _(t):
 GOLD = """gold_c AS (
   SELECT time_bucket(INTERVAL 5 MINUTE, event_ts) AS window_start, event_type AS action, device_type,
     count(customer_id) AS event_count, count(DISTINCT customer_id) AS unique_customers,
-    round(avg(value), 2) AS avg_value, round(sum(value), 2) AS total_value FROM ev GROUP BY 1, 2, 3),
+    avg(value) AS avg_value, sum(value) AS total_value FROM ev GROUP BY 1, 2, 3),
 gold_t AS (
   SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, status, payment_method,
-    count(*) AS transaction_count, round(sum(amount), 2) AS total_amount, round(avg(amount), 2) AS avg_amount,
+    count(*) AS transaction_count, sum(amount) AS total_amount, avg(amount) AS avg_amount,
     count(DISTINCT customer_id) AS unique_customers FROM tx GROUP BY 1, 2, 3)"""
 
 
@@ -100,7 +100,7 @@ FROM gold_c WHERE window_start >= {EVN} - INTERVAL 24 HOUR GROUP BY 1, 2, 3""",
     ),
 )
 def _(t):
-    gold = rollups.windowed_customer_metrics(t.events)
+    gold = rollups.windowed_customer_metrics(t.events, digits=None)
     return rounded(rollups.hourly_customer_rollup(gold, latest(t.raw("events"), "ts")))
 
 
@@ -115,7 +115,7 @@ FROM gold_t WHERE window_start >= {TXN} - INTERVAL 24 HOUR GROUP BY 1, 2""",
     ),
 )
 def _(t):
-    gold = rollups.windowed_transaction_metrics(t.transactions)
+    gold = rollups.windowed_transaction_metrics(t.transactions, digits=None)
     return rounded(rollups.hourly_transaction_rollup(gold, latest(t.raw("orders"), "o_orderdate")))
 
 

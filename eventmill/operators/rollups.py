@@ -95,7 +95,11 @@ def window_segment_metrics(events: DataFrame, segments: DataFrame, start, end, c
 
 
 # --- five-minute gold metrics, batch form -------------------------------------------
-def windowed_customer_metrics(events: DataFrame, width: str = "5 minutes") -> DataFrame:
+def _rounded(column: str, digits: int | None) -> Column:
+    return F.col(column) if digits is None else F.round(column, digits).alias(column)
+
+
+def windowed_customer_metrics(events: DataFrame, width: str = "5 minutes", digits: int | None = 2) -> DataFrame:
     w = F.window("event_ts", width)
     return events.groupBy(w, F.col("event_type").alias("action"), "device_type").agg(
         F.count("customer_id").alias("event_count"),
@@ -109,12 +113,12 @@ def windowed_customer_metrics(events: DataFrame, width: str = "5 minutes") -> Da
         "device_type",
         "event_count",
         "unique_customers",
-        F.round("avg_value", 2).alias("avg_value"),
-        F.round("total_value", 2).alias("total_value"),
+        _rounded("avg_value", digits),
+        _rounded("total_value", digits),
     )
 
 
-def windowed_transaction_metrics(transactions: DataFrame, width: str = "5 minutes") -> DataFrame:
+def windowed_transaction_metrics(transactions: DataFrame, width: str = "5 minutes", digits: int | None = 2) -> DataFrame:
     w = F.window("created_at", width)
     return transactions.groupBy(w, "status", "payment_method").agg(
         F.count("transaction_id").alias("transaction_count"),
@@ -127,8 +131,8 @@ def windowed_transaction_metrics(transactions: DataFrame, width: str = "5 minute
         "status",
         "payment_method",
         "transaction_count",
-        F.round("total_amount", 2).alias("total_amount"),
-        F.round("avg_amount", 2).alias("avg_amount"),
+        _rounded("total_amount", digits),
+        _rounded("avg_amount", digits),
         "unique_customers",
     )
 

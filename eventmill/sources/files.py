@@ -16,6 +16,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, hpath = _fs(spark, path)
+    return fs.exists(hpath) and fs.getFileStatus(hpath).isFile()
+
+
 def child_dirs(spark: SparkSession, path: str) -> list[str]:
     fs, hpath = _fs(spark, path)
     if not fs.exists(hpath):
