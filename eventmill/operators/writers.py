@@ -6,7 +6,7 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,16 +54,27 @@ def append_if_any(df: DataFrame | None, path: str) -> bool:
     return True
 
 
-def with_retry(action: Callable[[], None], attempts: int = 3, base_seconds: float = 1.0, cap_seconds: float = 30.0) -> None:
-    """Run an action again after a Spark failure, waiting 1, 2, 4 ... seconds."""
+def with_retry(
+    action: Callable[[], None],
+    attempts: int = 3,
+    base_seconds: float = 1.0,
+    cap_seconds: float = 30.0,
+    sleep: Callable[[float], None] = time.sleep,
+) -> None:
+    """Run an action again after a failed Spark job, waiting 1, 2, 4 ... seconds.
+
+    A query that does not analyse would fail again, so it is raised at once.
+    """
     for n in range(attempts):
         try:
             return action()
+        except AnalysisException:
+            raise
         except PySparkException as e:
             if n + 1 == attempts:
                 raise
             log.warning("attempt %d failed: %s", n + 1, str(e).splitlines()[0])
-            time.sleep(min(cap_seconds, base_seconds * 2**n))
+            sleep(min(cap_seconds, base_seconds * 2**n))
 
 
 def append_evolving(df: DataFrame, path: str, attempts: int = 3) -> None:
