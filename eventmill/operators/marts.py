@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventmill.functions.scalars import as_column, percent, ratio
-from eventmill.operators.ordering import ntile_column
+from eventmill.operators.ordering import ntile_columns
 from eventmill.session import stage
 
 
@@ -24,10 +24,19 @@ def customer_360(events: DataFrame, as_of) -> DataFrame:
     """Lifetime behaviour per customer.
 
     The distinct counts shuffle on (customer, value) pairs after a map-side
-    combine, so a hot customer is spread by value.
+    combine, so a hot customer is spread by value. The device lists come from
+    distinct pairs on their own: a set aggregate beside the distinct counts
+    would fall back to sorting every expanded row. Both sides of the join are
+    one row per customer and already partitioned by it.
     """
     as_of = as_column(as_of)
-    per_customer = events.groupBy("customer_id").agg(
+    devices = (
+        events.select(F.col("customer_id").alias("_customer"), "device_type")
+        .distinct()
+        .groupBy("_customer")
+        .agg(F.array_sort(F.collect_list("device_type")).alias("devices_used"))
+    )
+    counts = events.groupBy("customer_id").agg(
         F.count("*").alias("total_events"),
         F.count_distinct("session_id").alias("total_sessions"),
         F.count_distinct(F.when(_is("page_view"), F.col("event_id"))).alias("page_views"),
@@ -36,9 +45,9 @@ def customer_360(events: DataFrame, as_of) -> DataFrame:
         F.avg("amount").alias("avg_order_value"),
         F.min("event_ts").alias("first_seen"),
         F.max("event_ts").alias("last_seen"),
-        F.array_sort(F.collect_set("device_type")).alias("devices_used"),
         F.count_distinct("product_id").alias("unique_products_viewed"),
     )
+    per_customer = counts.join(devices, counts["customer_id"].eqNullSafe(devices["_customer"])).drop("_customer")
     return (
         per_customer.withColumn("days_since_first_seen", F.date_diff(as_of, F.col("first_seen")))
         .withColumn("days_since_last_seen", F.date_diff(as_of, F.col("last_seen")))
@@ -72,20 +81,12 @@ def rfm_segments(base: DataFrame, reference_direction: bool = False) -> DataFram
     number of a best-first order (one is best), with the same thresholds.
     """
     base = stage(base, "rfm")
-
-    def score(value: str, descending: bool) -> Column:
-        tile = ntile_column(base, value, "customer_id", 5, descending)
-        return tile if reference_direction else F.lit(6) - tile
-
+    best_first = {"recency": False, "frequency": True, "monetary": True}
+    tiles = ntile_columns(base, best_first, "customer_id", 5)
+    scores = {f"{c[0]}_score": t if reference_direction else F.lit(6) - t for c, t in tiles.items()}
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     return (
-        base.withColumns(
-            {
-                "r_score": score("recency", False),
-                "f_score": score("frequency", True),
-                "m_score": score("monetary", True),
-            }
-        )
+        base.withColumns(scores)
         .withColumn("rfm_score", total)
         .withColumn(
             "segment",

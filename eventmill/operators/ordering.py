@@ -127,25 +127,38 @@ def trailing_seconds(
     return copies.withColumns(build(frame)).filter(F.col("_b") == F.col("_home")).drop("_home", "_b")
 
 
-def ntile_column(df: DataFrame, value: str, tie: str, tiles: int, descending: bool = False) -> Column:
-    """``ntile`` over the whole frame as an expression on (value, tie).
+def ntile_columns(df: DataFrame, values: dict[str, bool], tie: str, tiles: int) -> dict[str, Column]:
+    """``ntile`` of several columns over the whole frame, as expressions on (value, tie).
 
-    The total order is ranked once on two narrow columns; only the first row of
-    each tile (at most ``tiles - 1`` rows) comes to the driver.
+    ``values`` maps a numeric column to whether it is ordered descending. All
+    orders are ranked by one sort of narrow rows (column number, value, tie); only
+    the first row of each tile, at most ``tiles - 1`` per column, comes to the
+    driver. ``df`` should be staged, as it is read again for the count.
     """
-    narrow = df.select(F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))).alias("v"), F.col(tie).alias("t"))
-    order = [F.col("v").desc() if descending else F.col("v").asc(), F.col("t").asc()]
-    ranked = global_rank(narrow, order)
-    total = ranked.count()
+
+    def key(column: str, descending: bool) -> Column:
+        """Ascending sort value; NULL is the smallest value, as in Spark's orders."""
+        v = F.col(column).cast("double")
+        return F.coalesce(-v, F.lit(float("inf"))) if descending else F.coalesce(v, F.lit(float("-inf")))
+
+    pairs = [F.struct(F.lit(i).alias("c"), key(*item).alias("v")) for i, item in enumerate(values.items())]
+    narrow = df.select(F.explode(F.array(*pairs)).alias("x"), F.col(tie).alias("t")).select("x.c", "x.v", "t")
+    total = df.count()
     size, spare = divmod(total, tiles)
-    starts = sorted({t * size + min(t, spare) for t in range(1, tiles)} - {0})
-    cuts = ranked.filter(F.col("_g").isin(starts)).orderBy("_g").select("v", "t").collect() if starts else []
-    v = F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))
-    tile = F.lit(1)
-    for cut in cuts:
-        past = (v < cut.v) if descending else (v > cut.v)
-        tile = tile + F.when(past | ((v == cut.v) & (F.col(tie) >= cut.t)), 1).otherwise(0)
-    return tile
+    firsts = sorted({k * size + min(k, spare) for k in range(1, tiles)} - {0, total})
+    starts = [i * total + f for i in range(len(values)) for f in firsts]
+    cuts = []
+    if starts:
+        ranked = global_rank(narrow, [F.col("c"), F.col("v"), F.col("t")])
+        cuts = ranked.filter(F.col("_g").isin(starts)).select("c", "v", "t").collect()
+    out = {}
+    for i, item in enumerate(values.items()):
+        v, tile = key(*item), F.lit(1)
+        for cut in cuts:
+            if cut.c == i:
+                tile = tile + F.when((v > cut.v) | ((v == cut.v) & (F.col(tie) >= cut.t)), 1).otherwise(0)
+        out[item[0]] = tile
+    return out
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int | None) -> DataFrame:

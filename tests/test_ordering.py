@@ -72,7 +72,8 @@ def test_ntile_matches_the_window_function(rows, size, descending):
     df, data = rows
     part = [d for d in data if d[0] < size]
     sub = df.filter(F.col("id") < size)
-    got = {r.id: r.tile for r in sub.select("id", ordering.ntile_column(sub, "v", "id", 5, descending).alias("tile")).collect()}
+    tiles = ordering.ntile_columns(sub, {"t": not descending, "v": descending}, "id", 5)
+    got = {r.id: r.tile for r in sub.select("id", tiles["v"].alias("tile")).collect()}
 
     def order(d):
         v = float("-inf") if d[3] is None else d[3]
@@ -89,7 +90,7 @@ def test_empty_frames(spark):
     empty = spark.createDataFrame([], "id long, key string, t int, v double")
     assert ordering.global_rank(empty, [F.col("id")]).count() == 0
     assert ordering.running_totals(empty, ["key"], [F.col("id")], {"n": F.lit(1)}).count() == 0
-    assert empty.select(ordering.ntile_column(empty, "v", "id", 5)).count() == 0
+    assert empty.select(ordering.ntile_columns(empty, {"v": False}, "id", 5)["v"]).count() == 0
 
 
 def test_deep_page_equals_shallow_page(rows, monkeypatch):
