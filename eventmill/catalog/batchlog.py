@@ -80,7 +80,7 @@ def _(t):
 @register(
     "agg49_describe",
     """SELECT * FROM (SELECT 'count' AS summary, CAST(count(*) AS VARCHAR) AS value FROM events
-UNION ALL SELECT 'min', CAST(min(value) AS VARCHAR) FROM events UNION ALL SELECT 'max', CAST(max(value) AS VARCHAR) FROM events)""",
+UNION ALL SELECT 'min', CAST(min(value) + 0.0::DOUBLE AS VARCHAR) FROM events UNION ALL SELECT 'max', CAST(max(value) AS VARCHAR) FROM events)""",
 )
 def _(t):
     return t.raw("events").select("value").summary("count", "min", "max")
@@ -181,13 +181,13 @@ def _(t):
     ctes(
         "blog",
         f"""SELECT batch_id, table_name, CAST(row_number() OVER w AS BIGINT) AS batches_processed,
-  round(avg(record_count) OVER w, 6) AS average_batch_size, round(avg({SEC}) OVER w, 6) AS average_processing_seconds
+  round(avg(record_count) OVER w, 9) AS average_batch_size, round(avg({SEC}) OVER w, 9) AS average_processing_seconds
 FROM blog WHERE processing_end IS NOT NULL
 WINDOW w AS (PARTITION BY table_name ORDER BY processing_start, batch_id ROWS UNBOUNDED PRECEDING)""",
     ),
 )
 def _(t):
-    return rounded(batchlog.running_batch_averages(t.batch_log))
+    return rounded(batchlog.running_batch_averages(t.batch_log), 9)
 
 
 @register(

@@ -242,9 +242,13 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
 
 
 def clustered(df: DataFrame, columns: list[str], files: int) -> DataFrame:
-    """Range-partitioned and sorted by the clustering columns, so that file statistics prune."""
+    """Range-partitioned and sorted by the clustering columns, so that file statistics prune.
+
+    The row position breaks ties, so that one hot value is split over several files.
+    """
     cols = [F.col(c) for c in columns]
-    return df.repartitionByRange(files, *cols).sortWithinPartitions(*cols)
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.repartitionByRange(files, *cols, F.col("_row")).sortWithinPartitions(*cols).drop("_row")
 
 
 def compact(spark: SparkSession, path: str, columns: list[str], target_bytes: int = TARGET_FILE_BYTES) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _local_root: str | None = None
+_staged: list[str] = []
 
 
 def build_session(app: str = "eventmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,6 +57,15 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/eventmill/{label}-{uuid.uuid4().hex}"
 
 
+def discard_staged(spark: SparkSession) -> int:
+    """Remove the tables this process staged. Call it when no result depends on them any more."""
+    from eventmill.sources.files import remove
+
+    removed = sum(remove(spark, path) for path in _staged)
+    _staged.clear()
+    return removed
+
+
 def stage(df, label: str):
     """Write ``df`` once below the shared folder and read it back.
 
@@ -64,5 +74,6 @@ def stage(df, label: str):
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
