@@ -204,7 +204,7 @@ for _name in ("str6_typed_bronze", "snk2_typed_bronze_append"):
     @register(_name, ctes("ev", TYPED))
     def _(t):
         lk = lake(t, "str6")
-        medallion.create_bronze_tables(lk)
+        medallion.create_folders(lk, "bronze", list(medallion.TYPED_TOPICS))
         done(*medallion.typed_bronze_tables(lk, fixtures.envelope(events_stream(t)), None).values())
         out = None
         for table in medallion.TYPED_TOPICS:

@@ -39,10 +39,9 @@ def start_medallion(lake: Lake, envelope: DataFrame, continuous: bool = True) ->
     def every(interval: str) -> str | None:
         return interval if continuous else None
 
-    if continuous:
-        # downstream streams need a folder to watch, not rows
-        schemas = {lake.path("silver", t): medallion.silver_schema(t) for t in medallion.SILVER_TABLES}
-        writers.ensure_tables(lake.spark, {**schemas, lake.path("bronze", "raw_events"): medallion.RAW_SCHEMA})
+    # downstream streams need a folder to watch, not rows
+    medallion.create_folders(lake, "bronze", ["raw_events"])
+    medallion.create_folders(lake, "silver", list(medallion.SILVER_TABLES))
     layer(lambda: {"raw_events": medallion.raw_bronze(lake, envelope, every(sinks.RAW_BRONZE))})
     layer(lambda: medallion.silver_tables(lake, every(sinks.SILVER)))
     layer(lambda: medallion.gold_metrics(lake, every(sinks.GOLD)))

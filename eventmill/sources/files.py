@@ -37,6 +37,12 @@ def has_data(spark: SparkSession, path: str) -> bool:
     return any(not n.startswith(("_", ".")) for n in names)
 
 
+def make_dirs(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        fs, hpath = _fs(spark, path)
+        fs.mkdirs(hpath)
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     fs, hpath = _fs(spark, path)
     return fs.delete(hpath, True)

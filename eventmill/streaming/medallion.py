@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from eventmill.operators.contracts import apply_contract
 from eventmill.operators.parse import CORRUPT, envelope_rows, silver_events, typed_bronze
 from eventmill.operators.rollups import minute_dashboard
-from eventmill.operators.writers import ensure_tables, upsert_partitions
+from eventmill.operators.writers import upsert_partitions
 from eventmill.schemas import (
     BRONZE_TABLES,
     PAYLOADS,
@@ -18,6 +18,7 @@ from eventmill.schemas import (
     TOPIC_CUSTOMER,
     TOPIC_TRANSACTION,
 )
+from eventmill.sources.files import make_dirs
 from eventmill.sources.tables import Lake
 from eventmill.streaming import sinks, windows
 from eventmill.streaming.sinks import append_stream
@@ -33,15 +34,17 @@ TYPED_TOPICS = {
     "transactions": TOPIC_TRANSACTION,
     "analytics_metrics": TOPIC_ANALYTICS,
 }
+# Partition columns come last, in folder order, as a scan returns them: a stream that
+# starts on an empty folder maps columns by position once files arrive.
 RAW_SCHEMA = T.StructType(
     [
-        T.StructField("topic", T.StringType()),
         T.StructField("partition", T.IntegerType()),
         T.StructField("offset", T.LongType()),
         T.StructField("kafka_timestamp", T.TimestampType()),
         T.StructField("raw_data", T.StringType()),
         T.StructField("processing_timestamp", T.TimestampType()),
         T.StructField("date_partition", T.StringType()),
+        T.StructField("topic", T.StringType()),
     ]
 )
 _TYPED_EXTRA = {"event_timestamp", "kafka_timestamp", "ingestion_timestamp"}
@@ -96,18 +99,24 @@ def typed_bronze_tables(
     return out
 
 
-def create_bronze_tables(lake: Lake) -> list[str]:
-    """Empty typed tables, so that downstream streams can start before the first batch."""
-    return ensure_tables(lake.spark, {lake.path("bronze", n): s for n, s in BRONZE_TABLES.items()})
+def create_folders(lake: Lake, layer: str, tables: list[str]) -> None:
+    """Empty folders for downstream streams to watch.
+
+    A folder written by a stream must hold nothing else: readers then follow the
+    writer's commit log and never see files of an unfinished batch.
+    """
+    make_dirs(lake.spark, *[lake.path(layer, t) for t in tables])
 
 
 def silver_schema(table: str) -> T.StructType:
     before = [
         T.StructField("kafka_timestamp", T.TimestampType()),
         T.StructField("processing_timestamp", T.TimestampType()),
+    ]
+    after = [
+        T.StructField("event_timestamp", T.TimestampType()),
         T.StructField("date_partition", T.StringType()),
     ]
-    after = [T.StructField("event_timestamp", T.TimestampType())]
     return T.StructType(before + list(PAYLOADS[SILVER_TABLES[table]].fields) + after)
 
 

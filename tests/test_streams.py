@@ -120,7 +120,7 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
 def test_typed_bronze_and_registry(spark, tables, lake):
     path = f"{lake.base}/messages"
     fixtures.envelope(tables.events).write.parquet(path)
-    medallion.create_bronze_tables(lake)
+    medallion.create_folders(lake, "bronze", list(medallion.TYPED_TOPICS))
     registry = sinks.QueryRegistry(spark)
     for name, q in medallion.typed_bronze_tables(lake, sources.event_stream(spark, "files", path), None).items():
         registry.add(name, q)
@@ -132,6 +132,28 @@ def test_typed_bronze_and_registry(spark, tables, lake):
     assert total == tables.events.count()
 
 
+def test_continuous_medallion_reaches_gold(spark, tables, lake, monkeypatch):
+    from eventmill.plans import jobs
+
+    for name in ("RAW_BRONZE", "SILVER", "GOLD", "EVENT_RATE"):
+        monkeypatch.setattr(sinks, name, "1 second")
+    path = f"{lake.base}/messages"
+    fixtures.envelope(tables.events).write.parquet(path)
+    registry = jobs.start_medallion(lake, sources.event_stream(spark, "files", path))
+    try:
+        for name in ("raw_events", *medallion.SILVER_TABLES, "customer_metrics", "transaction_metrics", "event_rates"):
+            registry.queries[name].processAllAvailable()
+        assert all(s["active"] for s in registry.status().values())
+    finally:
+        registry.stop()
+    n = tables.events.count()
+    assert spark.read.parquet(lake.path("bronze", "raw_events")).count() == n
+    assert sum(spark.read.parquet(lake.path("silver", t)).count() for t in medallion.SILVER_TABLES) == n
+    rates = windows.read_gold(spark, lake.path("gold", "event_rates"))
+    assert rates.agg(F.sum("event_count")).first()[0] == n
+    assert windows.read_gold(spark, lake.path("gold", "customer_metrics")).count() > 0
+
+
 def test_sources_by_type(spark):
     with pytest.raises(ValueError):
         sources.event_stream(spark, "socket")
