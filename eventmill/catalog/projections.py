@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from eventmill.catalog.registry import ctes, more, register, rounded
+from eventmill.catalog.registry import ctes, register, rounded
 from eventmill.functions import scalars
 from eventmill.functions.scalars import ago, latest
 from eventmill.operators import contracts, enrich, nested, parse
@@ -305,7 +305,7 @@ def _(t):
 
 @register("jn4_state_map_join", f"WITH {HIST} SELECT * FROM mapped")
 def _(t):
-    rows = nested._children(fixtures.incidents(t), "incidentHistories", "PrimaryFileName", "InsertionTime")
+    rows = nested.children(fixtures.incidents(t), "incidentHistories", "PrimaryFileName", "InsertionTime")
     # the mapping table comes from the data: the known states that occur in it
     occurring = rows.select("IncidentState").distinct()
     table = nested.map_states(occurring, fixtures.STATE_MAP).filter(~F.col("Category").startswith("UNMAPPED_"))

@@ -23,33 +23,43 @@ def stamp(df: DataFrame, aggregation_type: str, created_at=None) -> DataFrame:
 def customer_360(events: DataFrame, as_of) -> DataFrame:
     """Lifetime behaviour per customer.
 
-    The distinct counts shuffle on (customer, value) pairs after a map-side
-    combine, so a hot customer is spread by value. The device lists come from
-    distinct pairs on their own: a set aggregate beside the distinct counts
-    would fall back to sorting every expanded row. Both sides of the join are
-    one row per customer and already partitioned by it.
+    Distinct counts shuffle on (customer, value) pairs after a map-side combine,
+    so a hot customer is spread by value. Event ids and devices are counted from
+    their own distinct pairs, on narrow scans: in one aggregation every row would
+    be expanded once per distinct column, and a set aggregate beside them would
+    sort all expanded rows. The parts are one row per customer and already
+    partitioned by it, so joining them moves nothing.
     """
     as_of = as_column(as_of)
+    customer = F.col("customer_id").alias("_customer")
     devices = (
-        events.select(F.col("customer_id").alias("_customer"), "device_type")
+        events.select(customer, "device_type")
         .distinct()
         .groupBy("_customer")
         .agg(F.array_sort(F.collect_list("device_type")).alias("devices_used"))
     )
-    counts = events.groupBy("customer_id").agg(
+    ids = (
+        events.filter(F.col("event_type").isin("page_view", "purchase") & F.col("event_id").isNotNull())
+        .select(customer, "event_type", "event_id")
+        .distinct()
+        .groupBy("_customer")
+        .agg(F.count_if(_is("page_view")).alias("page_views"), F.count_if(_is("purchase")).alias("purchases"))
+    )
+    totals = events.groupBy("customer_id").agg(
         F.count("*").alias("total_events"),
         F.count_distinct("session_id").alias("total_sessions"),
-        F.count_distinct(F.when(_is("page_view"), F.col("event_id"))).alias("page_views"),
-        F.count_distinct(F.when(_is("purchase"), F.col("event_id"))).alias("purchases"),
         F.sum("amount").alias("total_spent"),
         F.avg("amount").alias("avg_order_value"),
         F.min("event_ts").alias("first_seen"),
         F.max("event_ts").alias("last_seen"),
         F.count_distinct("product_id").alias("unique_products_viewed"),
     )
-    per_customer = counts.join(devices, counts["customer_id"].eqNullSafe(devices["_customer"])).drop("_customer")
+    per_customer = totals
+    for part in (devices, ids):
+        per_customer = per_customer.join(part, totals["customer_id"].eqNullSafe(part["_customer"]), "left").drop("_customer")
     return (
-        per_customer.withColumn("days_since_first_seen", F.date_diff(as_of, F.col("first_seen")))
+        per_customer.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("page_views", "purchases")})
+        .withColumn("days_since_first_seen", F.date_diff(as_of, F.col("first_seen")))
         .withColumn("days_since_last_seen", F.date_diff(as_of, F.col("last_seen")))
         .withColumn("purchase_frequency", ratio(F.col("purchases"), F.col("days_since_first_seen") + 1))
         .withColumn("engagement_score", F.col("total_events") * 0.3 + F.col("purchases") * 0.7)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eventmill.functions.scalars import as_column, epoch_ms, lenient_timestamp
 
@@ -18,7 +17,7 @@ def incident_main(incidents: DataFrame) -> DataFrame:
     return incidents.drop("IncidentFiles", "incidentHistories")
 
 
-def _children(incidents: DataFrame, array: str, *parent: str) -> DataFrame:
+def children(incidents: DataFrame, array: str, *parent: str) -> DataFrame:
     """Child rows with their position and the parent columns; a parent without children gives none."""
     return incidents.select(*parent, F.posexplode(array).alias("ordinal", "_child")).select(
         *parent, "ordinal", "_child.*"
@@ -26,7 +25,7 @@ def _children(incidents: DataFrame, array: str, *parent: str) -> DataFrame:
 
 
 def incident_files(incidents: DataFrame) -> DataFrame:
-    return _children(incidents, "IncidentFiles", "PrimaryFileName", "InsertionTime")
+    return children(incidents, "IncidentFiles", "PrimaryFileName", "InsertionTime")
 
 
 def incident_history(incidents: DataFrame, states: dict[str, tuple[str, str]]) -> DataFrame:
@@ -35,7 +34,7 @@ def incident_history(incidents: DataFrame, states: dict[str, tuple[str, str]]) -
     ``states`` is configuration (state -> (category, process type)) and becomes a
     literal map in the plan.
     """
-    rows = _children(incidents, "incidentHistories", "PrimaryFileName", "InsertionTime")
+    rows = children(incidents, "incidentHistories", "PrimaryFileName", "InsertionTime")
     return map_states(rows, states)
 
 
@@ -159,5 +158,3 @@ def traffic_lookups(records: DataFrame, existing: DataFrame | None = None) -> Da
     rows = records.select(F.explode("trafficDataList").alias("_p")).select("_p.*")
     return merge_lookups(existing, lookup_pairs(headers, HEADER_LOOKUPS), lookup_pairs(rows, PASSAGE_LOOKUPS))
 
-
-INCIDENT_FILE = T.StructType([T.StructField("FileName", T.StringType()), T.StructField("FileSize", T.LongType())])

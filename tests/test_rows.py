@@ -195,3 +195,21 @@ def test_running_averages_skip_unfinished_batches(spark):
     )
     got = {r.batch_id: r.average_batch_size for r in batchlog.running_batch_averages(df).collect()}
     assert got == {1: 10.0, 3: 20.0}
+
+
+def test_customer_360_keeps_the_null_customer_and_counts_ids_once(spark):
+    rows = [
+        (1, None, "purchase", NOW, 5.0, "p", "s", "mobile"),
+        (1, None, "purchase", NOW, 5.0, "p", "s", "mobile"),
+        (2, None, "page_view", NOW, None, None, "s", None),
+        (3, 7, "error", NOW, None, None, None, None),
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "event_id long, customer_id long, event_type string, event_ts timestamp, amount double, product_id string, "
+        "session_id string, device_type string",
+    )
+    got = {r.customer_id: r for r in marts.customer_360(df, F.lit(NOW)).collect()}
+    assert (got[None].total_events, got[None].purchases, got[None].page_views, got[None].total_spent) == (3, 1, 1, 10.0)
+    assert (got[None].devices_used, got[None].purchase_frequency) == (["mobile"], 1.0)
+    assert (got[7].purchases, got[7].page_views, got[7].devices_used, got[7].avg_order_value) == (0, 0, [], None)
