@@ -208,19 +208,30 @@ def upsert(updates: DataFrame, path: str, keys: list[str], order: list[str] | No
 
 
 def upsert_partitions(
-    updates: DataFrame, path: str, keys: list[str], partition: str, order: list[str] | None = None
+    updates: DataFrame,
+    path: str,
+    keys: list[str],
+    partition: str,
+    order: list[str] | None = None,
+    unique: bool = False,
+    touched: list | None = None,
 ) -> None:
     """Upsert that rewrites only the partitions the updates fall in.
 
+    ``unique`` says that the updates already hold one row per key; ``touched``
+    names their partitions where the caller knows them, which saves a job.
+
     Only valid when ``partition`` is a function of the key: a key whose partition
     could change would leave its old row behind.
     """
     spark = updates.sparkSession
-    updates = _unique(updates, keys, order)
+    if not unique:
+        updates = _unique(updates, keys, order)
     merged = updates
     if has_data(spark, path):
         # as many values as partitions are touched; literals prune the scan
-        touched = [r[0] for r in updates.select(partition).distinct().collect()]
+        if touched is None:
+            touched = [r[0] for r in updates.select(partition).distinct().collect()]
         target = spark.read.parquet(path)
         target = target.withColumn(partition, F.col(partition).cast(updates.schema[partition].dataType))
         merged = _merged(target.filter(F.col(partition).isin(touched)), updates, keys)

@@ -161,7 +161,7 @@ def realtime_metrics(
         rows = windows.read_all(spark, silver).filter(F.col("window_date").isin(days)).withColumn("_m", minute)
         rows = rows.join(wanted.select("_m").distinct(), "_m", "left_semi")
         totals = minute_dashboard(rows).withColumn("window_date", F.to_date("window_start"))
-        upsert_partitions(totals, f"{minutes}/gold", ["window_start"], "window_date")
+        upsert_partitions(totals, f"{minutes}/gold", ["window_start"], "window_date", unique=True, touched=days)
 
     return windows.publish_metrics(
         events, windows.realtime_metrics(), silver, lake.checkpoint("silver_realtime_metrics"), every,

@@ -119,12 +119,14 @@ def publish_metrics(
         touched = mine.select("window_start").distinct()
         history = log.filter(F.col("window_date").isin(days) & (F.col("batch_id") <= batch_id))
         history = history.join(touched, "window_start", "left_semi")
-        newest = F.max_by(F.struct(*metric.partial), F.col("batch_id")).alias("_s")
-        current = history.groupBy(*keys, "window_date").agg(newest).select(*keys, "window_date", "_s.*")
+        # one column each: plain numbers aggregate by hash, a struct would be sorted
+        newest = [F.max_by(c, F.col("batch_id")).alias(c) for c in metric.partial]
+        current = history.groupBy(*keys, "window_date").agg(*newest)
         gold = current.groupBy("window_start", "window_end", *metric.dims, "window_date").agg(
             *[c.alias(n) for n, c in metric.final.items()]
         )
-        upsert_partitions(_finish(gold, metric), gold_path, ["window_start", *metric.dims], "window_date")
+        gold_keys = ["window_start", *metric.dims]
+        upsert_partitions(_finish(gold, metric), gold_path, gold_keys, "window_date", unique=True, touched=days)
         if after is not None:
             published = spark.read.parquet(gold_path).filter(F.col("window_date").isin(days))
             after(published.join(touched, "window_start", "left_semi"), batch_id)
