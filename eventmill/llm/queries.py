@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventmill.llm import contamination, dedup, sharding, warc
+from eventmill.llm import contamination, dedup, pieces, sharding, warc
 from eventmill.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,11 @@ def op3(spark, sf_dir):
     )
 
 
+@register("op7_sentencepiece")
+def op7(spark, sf_dir):
+    return pieces.encode_texts(table(spark, sf_dir, "documents"))
+
+
 @register(
     "op9_warc",
     """
