@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventmill.llm import contamination, dedup, pieces, secret_scan, sharding, warc
+from eventmill.llm import contamination, dedup, langid, pieces, secret_scan, sharding, warc
 from eventmill.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op5(spark, sf_dir):
     return secret_scan.report(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+@register("op6_language_id")
+def op6(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @register("op7_sentencepiece")
 def op7(spark, sf_dir):
     return pieces.encode_texts(table(spark, sf_dir, "documents"))
