@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventmill.llm import contamination, dedup, langid, pieces, secret_scan, sharding, warc
+from eventmill.llm import contamination, dedup, jaccard, langid, pieces, secret_scan, sharding, warc
 from eventmill.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,11 @@ def op7(spark, sf_dir):
     return pieces.encode_texts(table(spark, sf_dir, "documents"))
 
 
+@register("op8_ngram_jaccard", jaccard.ORACLE)
+def op8(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register(
     "op9_warc",
     """
