@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventmill.llm import contamination, dedup, jaccard, langid, pieces, secret_scan, sharding, warc
+from eventmill.llm import contamination, dedup, jaccard, langid, main_text, pieces, secret_scan, sharding, warc
 from eventmill.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op9(spark, sf_dir):
     path = shared_dir(spark, "warc")
     warc.write_archives(warc.resolve_revisits(table(spark, sf_dir, "pages")), path)
     return warc.read_archives(spark, path).drop("url")
+
+
+@register("op10_main_text")
+def op10(spark, sf_dir):
+    return main_text.main_text(table(spark, sf_dir, "pages"))
