@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventmill.llm import contamination, dedup, jaccard, langid, main_text, pieces, secret_scan, sharding, warc
+from eventmill.llm import contamination, dedup, jaccard, langid, main_text, pieces, secret_scan, sharding, suffix_tree, warc
 from eventmill.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +25,20 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver did, when it isn't installed."""
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +80,11 @@ def op3(spark, sf_dir):
     )
 
 
+@register("op4_suffix_tree")
+def op4(spark, sf_dir):
+    return suffix_tree.score_corpus(table(spark, sf_dir, "documents"))
+
+
 @register("op5_secrets")
 def op5(spark, sf_dir):
     return secret_scan.report(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
