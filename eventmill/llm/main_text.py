@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventmill.llm.sampling import sample_rows
+
 SAMPLE_PAGES = 100  # labelled pages that training may take
 SAMPLE_BYTES = 200_000  # longer pages aren't taken for training
 # Element kinds of HTML.
@@ -399,8 +401,8 @@ def train(html: list[str], rounds: int = 160) -> Model:
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Model:
     """The model of a table, from at most ``sample`` of its pages, chosen by hash."""
     rows = pages.select(F.xxhash64(F.col(id_col), F.col(html_col)).alias("h"), F.col(html_col).alias("t"))
-    rows = rows.filter(F.octet_length("t") <= SAMPLE_BYTES).orderBy("h", "t").limit(sample)
-    return train([r.t for r in rows.select("t").collect()])
+    rows = rows.filter(F.octet_length("t") <= SAMPLE_BYTES)
+    return train([r.t for r in sample_rows(rows, F.col("h"), sample)])
 
 
 def extract(pages: list[Page], model: Model) -> list[str]:

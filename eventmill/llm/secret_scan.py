@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventmill.llm.sampling import sample_rows
 from eventmill.session import stage
 
 # The pattern kinds in the order of the report, their least lengths.
@@ -205,8 +206,7 @@ def labelled_tiles(scanned: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray
         F.element_at("c.tiles", 1).alias("tile"),
         F.xxhash64("doc_id", "c.start").alias("h"),
     )
-    parts = [each.filter(F.col("label") == k).orderBy("h", "tile").limit(sample) for k in (0, 1)]
-    rows = [r for part in parts for r in part.select("tile", "label").collect()]
+    rows = [r for k in (0, 1) for r in sample_rows(each.filter(F.col("label") == k), F.col("h"), sample)]
     codes = np.frombuffer(b"".join(bytes(r.tile) for r in rows), np.uint8).reshape(-1, WIDTH)
     return codes, np.array([r.label for r in rows], np.int64)
 
