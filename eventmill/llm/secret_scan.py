@@ -261,9 +261,10 @@ def report(found: DataFrame) -> DataFrame:
             ",",
         )
 
+    def of(kind):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
     base = F.filter("spans", lambda s: s["kind"] != "model")
-    counts = [
-        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]
-    ]
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
