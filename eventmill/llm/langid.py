@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventmill.llm.sampling import sample_rows
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 2000  # labelled documents that training may take
 SAMPLE_CHARS = 1500  # characters of each, from a place its hash chooses
 SEGMENT = 32
 GROUP_WORDS = 300_000
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 700_000
 HELD_MODULUS, HELD_REMAINDER = 4, 2
 
 
@@ -37,16 +39,11 @@ def letters(token: str) -> str:
     return token if token.isalpha() else "".join([c for c in token if c.isalpha()])
 
 
-def features(word: str) -> list[str]:
-    """Features of a word's letters, lower case."""
-    w = letters(word).lower()
-    out = ["w" + w]
-    for n in (1, 2, 3):
-        out += ["p" + w[:n], "s" + w[-n:]]
+def features(w: str) -> list[str]:
+    """Features of a word, given as its letters in lower case: lexicon entry, affixes, n-grams."""
     marked = f"<{w}>"
-    for n in (1, 2, 3):
-        out += [f"{n}" + marked[i : i + n] for i in range(len(marked) - n + 1)]
-    return out
+    pairs = map(str.__add__, marked, marked[1:])
+    return ["w" + w, "p" + w[:4], "s" + w[-4:], *pairs, *[marked[i : i + 3] for i in range(len(w))]]
 
 
 def _transfer(P: np.ndarray, A: np.ndarray, pi: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -144,7 +141,7 @@ class Model:
 
 def train(sample: list[tuple[str, str]], rounds: int = 6, seed: int = 11) -> Model:
     """Fit on (text, language) pairs by gradient ascent on the likelihood of mixed word sequences."""
-    docs = [([w for w in t.split() if letters(w)], y) for t, y in sample]
+    docs = [([w for t in text.split() if (w := letters(t).lower())], y) for text, y in sample]
     docs = [(w, y) for w, y in docs if w]
     model = Model(sorted({y for _, y in docs}))
     k = len(model.labels)
@@ -216,36 +213,43 @@ def train(sample: list[tuple[str, str]], rounds: int = 6, seed: int = 11) -> Mod
 
 
 class Tagger:
-    """Factors of words, kept between tasks of a Python worker in a bounded table."""
+    """Log factors of words, kept between tasks of a Python worker in tables of bounded size."""
 
     def __init__(self, model: Model):
         self.model, self.k = model, len(model.labels)
-        self.slot: dict[str, int] = {}
-        self.used = 0
-        self.factors = np.empty((KNOWN_WORDS, self.k))
+        self.slot: dict[str, int] = {}  # token -> row of its word; -1 without letters
+        self.row: dict[str, int] = {}  # word -> row
+        self.factors = np.empty((KNOWN_WORDS, self.k), np.float32)
+
+    def _learn(self, tokens: set[str]) -> None:
+        words = {t: letters(t).lower() for t in tokens}
+        new = list({w for w in words.values() if w and w not in self.row})
+        for j in range(0, len(new), 20_000):
+            part = new[j : j + 20_000]
+            used = len(self.row)
+            self.factors[used : used + len(part)] = self.model.emissions(part)
+            self.row.update(zip(part, range(used, used + len(part)), strict=True))
+        row = self.row
+        self.slot.update((t, row[w] if w else -1) for t, w in words.items())
 
     def _emissions(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(positions of words among the tokens, their log factors)."""
-        slot = self.slot
-        new = list({t for t in tokens if t not in slot})
-        if len(slot) + len(new) > KNOWN_WORDS:
-            slot.clear()
-            new = list(set(tokens))
-        if len(new) > KNOWN_WORDS:  # one group of texts with more words than the table
-            keep = [i for i, t in enumerate(tokens) if letters(t)]
-            E = [self.model.emissions([tokens[i] for i in keep[j : j + 50_000]]) for j in range(0, len(keep), 50_000)]
-            return np.array(keep, np.int64), np.concatenate(E) if E else np.empty((0, self.k))
-        words = [t for t in new if letters(t)]
-        used = self.used if slot else 0
-        for j in range(0, len(words), 50_000):
-            part = words[j : j + 50_000]
-            self.factors[used + j : used + j + len(part)] = self.model.emissions(part)
-        slot.update(zip(words, range(used, used + len(words)), strict=True))
-        slot.update((t, -1) for t in new if t not in slot)
-        self.used = used + len(words)
-        index = np.fromiter((slot[t] for t in tokens), np.int64, len(tokens))
+        at = list(map(self.slot.get, tokens))
+        if None in at:
+            new = {t for t, i in zip(tokens, at, strict=True) if i is None}
+            if len(self.slot) + len(new) > KNOWN_WORDS:
+                self.slot.clear()
+                self.row.clear()
+                new = set(tokens)
+            if len(new) > KNOWN_WORDS:  # one text with more words than the tables hold
+                half = len(tokens) // 2
+                (a, x), (b, y) = self._emissions(tokens[:half]), self._emissions(tokens[half:])
+                return np.concatenate([a, b + half]), np.concatenate([x, y])
+            self._learn(new)
+            at = list(map(self.slot.get, tokens))
+        index = np.array(at, np.int64)
         keep = np.flatnonzero(index >= 0)
-        return keep, self.factors[index[keep]]
+        return keep, self.factors[index[keep]].astype(np.float64)
 
     def tag(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(text, places of its words among its tokens, their posterior distributions) of texts with words, in groups of bounded size."""
@@ -302,8 +306,8 @@ def labelled_sample(
     h = F.xxhash64("i", "t")
     room = F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1
     part = F.substring(F.col("t"), (F.pmod(h, room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    rows = learn.select(h.alias("h"), part.alias("t"), "y").orderBy("h", "t", "y").limit(docs_limit)
-    return [(r.t, r.y) for r in rows.collect()]
+    rows = sample_rows(learn.select(part.alias("t"), "y", h.alias("h")), F.col("h"), docs_limit)
+    return [(r.t, r.y) for r in rows]
 
 
 def is_held_out(doc_id) -> F.Column:
