@@ -79,11 +79,12 @@ def _(t):
 
 @register(
     "agg49_describe",
-    """SELECT * FROM (SELECT 'count' AS summary, CAST(count(*) AS VARCHAR) AS value FROM events
-UNION ALL SELECT 'min', CAST(min(value) + 0.0::DOUBLE AS VARCHAR) FROM events UNION ALL SELECT 'max', CAST(max(value) AS VARCHAR) FROM events)""",
+    """SELECT count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev,
+  round(min(value), 6) AS min, round(max(value), 6) AS max FROM events""",
 )
 def _(t):
-    return t.raw("events").select("value").summary("count", "min", "max")
+    parts = {"count": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
+    return rounded(t.raw("events").agg(*[f("value").alias(n) for n, f in parts.items()]))
 
 
 @register("agg50_filtered_average", "SELECT round(avg(value), 6) AS avg_value FROM events WHERE value > 50")
@@ -104,6 +105,20 @@ def _(t):
     return newest_per_key(rows, ["customer_id"], ["event_ts", "event_id"])
 
 
+@register(
+    "win5_two_hour_rate",
+    ctes(
+        "ev",
+        """SELECT second, CAST(sum(n) OVER w AS BIGINT) AS recent_events,
+  round(sum(n) OVER w / greatest(1, second - min(second) OVER w)::DOUBLE, 6) AS events_per_second
+FROM (SELECT CAST(floor(epoch_us(event_ts) / 1000000) AS BIGINT) AS second, count(*) AS n FROM ev GROUP BY 1)
+WINDOW w AS (ORDER BY second RANGE BETWEEN 7199 PRECEDING AND CURRENT ROW)""",
+    ),
+)
+def _(t):
+    return rounded(batchlog.trailing_rate(t.events, 7200))
+
+
 for _n in (50, 120, 10):
     register(
         f"win4_newest_{_n}",
@@ -217,7 +232,7 @@ for _label, _offset, _limit in (("first", 0, 25), ("third", 50, 25)):
     "SELECT event_id, user_id, value FROM events ORDER BY ts DESC, event_id LIMIT 9000 OFFSET 1001",
 )
 def _(t):
-    deep = page(t.raw("events"), [F.desc("ts"), F.asc("event_id")], 1001, 9000)
+    deep = page(t.raw("events"), [F.desc("ts"), F.asc("event_id")], 1001, 9000, by_rank=True)
     return deep.select("event_id", "user_id", "value")
 
 
@@ -283,10 +298,11 @@ def _(t):
     "agg42_schema_compatibility",
     """SELECT 'field count: expected 7, got 6' AS issue, count(*) AS rows_affected FROM events
 UNION ALL SELECT 'missing field: region', count(*) FROM events
+UNION ALL SELECT 'type of ts: expected timestamp, got timestamp_ntz', count(*) FROM events
 UNION ALL SELECT 'type of value: expected string, got double', count(*) FROM events""",
 )
 def _(t):
-    events = t.raw("events")
+    events = t.spark.read.parquet(f"{t.dir}/events.parquet")  # the schema the file itself has
     expected = T.StructType(
         [f if f.name != "value" else T.StructField("value", T.StringType()) for f in SOURCE_TABLES["events"]]
         + [T.StructField("region", T.StringType())]

@@ -517,6 +517,17 @@ def _(t):
     )
 
 
+@register(
+    "prj29_scrub_map",
+    """SELECT c_custkey AS id, c_name AS name, '***' || right(c_name, 4) AS password, c_mktsegment AS segment FROM customer""",
+)
+def _(t):
+    data = F.create_map(F.lit("name"), "c_name", F.lit("user_password"), "c_name", F.lit("segment"), "c_mktsegment")
+    rows = scalars.scrub_sensitive(t.raw("customer").select(F.col("c_custkey").alias("id"), data.alias("event_data")))
+    keys = {"name": "name", "password": "user_password", "segment": "segment"}
+    return rows.select("id", *[F.col("event_data")[k].alias(n) for n, k in keys.items()])
+
+
 @register(
     "prj30_search",
     "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name), 'mach') OR contains(lower(c_mktsegment), 'mach')",

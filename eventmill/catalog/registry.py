@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventmill.session import prepare
 from eventmill.sources.canonical import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +20,8 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Tables(prepare(spark), sf_dir))
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the oracles' times are UTC
+            return fn(Tables(spark, sf_dir))
 
         run.__name__ = name
         QUERIES[name] = run

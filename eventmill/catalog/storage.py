@@ -96,14 +96,14 @@ def _(t):
     rows = t.raw("events").withColumn("partition_date", F.to_date("ts"))
     writers.write_table(rows, path, partition_by=["partition_date", "event_type"])
     bronze = tables.read_table(t.spark, path)
-    return tables.read_bronze(bronze, "purchase", "2024-01-10", limit=None).select("event_id", "user_id", "value")
+    return tables.read_bronze(bronze, "purchase", "2024-01-10").select("event_id", "user_id", "value")
 
 
 @register("lim4_plain_limit", "SELECT least(count(*), 1000) AS rows, 'purchase' AS event_type FROM events WHERE event_type = 'purchase'")
 def _(t):
     path = lake(t, "lim4").path("bronze", "events")
     writers.write_table(t.raw("events").withColumn("partition_date", F.to_date("ts")), path, partition_by=["event_type"])
-    rows = tables.read_bronze(tables.read_table(t.spark, path), "purchase")
+    rows = tables.read_bronze(tables.read_table(t.spark, path), "purchase", limit=1000)
     return rows.agg(F.count("*").alias("rows"), F.max("event_type").alias("event_type"))
 
 

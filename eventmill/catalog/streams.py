@@ -9,7 +9,7 @@ from eventmill.catalog.registry import ctes, more, register, rounded
 from eventmill.catalog.rollups import DASH
 from eventmill.functions.scalars import latest
 from eventmill.operators import writers
-from eventmill.schemas import ENVELOPE, SOURCE_TABLES, TOPIC_CUSTOMER, TOPIC_TRANSACTION
+from eventmill.schemas import ENVELOPE, SOURCE_TABLES, TOPIC_ANALYTICS, TOPIC_CUSTOMER, TOPIC_TRANSACTION
 from eventmill.session import shared_dir
 from eventmill.sources import nested as fixtures
 from eventmill.sources.canonical import Tables
@@ -321,7 +321,7 @@ def _(t):
     t.raw("events").repartition(8, "event_id").write.parquet(f"{path}/in")
     stream = sources.table_stream(t.spark, f"{path}/in", SOURCE_TABLES["events"], files_per_trigger=1)
     done(sinks.batch_stream(stream, sinks.append_batches(f"{path}/out", []), f"{path}/cp", None, mode="append"))
-    sizes = t.spark.read.parquet(f"{path}/out").groupBy("batch_id").agg(F.count("*").alias("n"))
+    sizes = t.spark.read.parquet(f"{path}/out").groupBy("stream_id", "batch_id").agg(F.count("*").alias("n"))
     return sizes.agg(
         F.count("*").cast("int").alias("batches"), F.sum("n").alias("rows"), (F.max("n") < 2 * F.min("n")).alias("balanced")
     )
@@ -391,23 +391,25 @@ def _(t):
     done(
         sinks.batch_stream(
             counts,
-            lambda df, i: None if df.isEmpty() else writers.upsert(df, path, ["window_start", "identifier"]) and None,
+            lambda df, i: writers.upsert_partitions(
+                df.withColumn("day", F.to_date("window_start")), path, ["window_start", "identifier"], "day", unique=True
+            ),
             f"{path}-cp",
             None,
         )
     )
-    return writers.read_current(t.spark, path).select("window_start", "identifier", "requests")
+    return t.spark.read.parquet(path).select("window_start", "identifier", "requests")
 
 
 @register(
     "str14_query_registry",
-    ctes("ev", f"SELECT CASE {TOPIC} WHEN 'customer-events' THEN 'customer' ELSE 'transaction' END AS name, false AS active, count(*) AS rows FROM ev WHERE event_type <> 'error' GROUP BY 1"),
+    ctes("ev", f"SELECT CASE {TOPIC} WHEN 'customer-events' THEN 'customer' WHEN 'transaction-events' THEN 'transaction' ELSE 'analytics' END AS name, false AS active, count(*) AS rows FROM ev GROUP BY 1"),
 )
 def _(t):
     path = shared_dir(t.spark, "str14")
     files = envelope_files(t, "str14in")
     registry = sinks.QueryRegistry(t.spark)
-    for name, topic in (("customer", TOPIC_CUSTOMER), ("transaction", TOPIC_TRANSACTION)):
+    for name, topic in (("customer", TOPIC_CUSTOMER), ("transaction", TOPIC_TRANSACTION), ("analytics", TOPIC_ANALYTICS)):
         stream = sources.event_stream(t.spark, "files", files, [topic])
         registry.add(name, sinks.append_stream(stream, f"{path}/{name}", f"{path}/cp/{name}", None))
     registry.wait()

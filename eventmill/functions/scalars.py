@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,13 +25,28 @@ def as_column(value) -> Column:
 
 def latest(df: DataFrame, column: str) -> Column:
     """The newest value of a column as a scalar subquery: no driver round trip."""
-    return df.agg(F.max(column)).scalar()
+    found = df.agg(F.max(column)).scalar()
+    found.newest_of = df, column
+    return found
+
+
+def shifted(as_of, change: Callable[[Column], Column]) -> Column:
+    """``change(as_of)``. The newest value of a column is changed inside its subquery.
+
+    A comparison with a bare subquery reaches the scan, one with an expression over a
+    subquery doesn't.
+    """
+    source = vars(as_of).get("newest_of") if isinstance(as_of, Column) else None
+    if source is None:
+        return change(as_column(as_of))
+    df, column = source
+    return df.agg(change(F.max(column))).scalar()
 
 
 def ago(as_of, **parts) -> Column:
     """``as_of`` minus days/hours/mins/secs."""
     args = {k: F.lit(v) for k, v in parts.items()}
-    return as_column(as_of) - F.make_dt_interval(**args)
+    return shifted(as_of, lambda now: now - F.make_dt_interval(**args))
 
 
 def ratio(numerator, denominator) -> Column:
@@ -104,11 +120,27 @@ def _scrub(column: Column, name: str, kind: T.DataType, words: tuple[str, ...])
         return F.when(column.isNotNull(), F.struct(*inner))
     if isinstance(kind, T.ArrayType):
         return F.transform(column, lambda x: _scrub(x, name, kind.elementType, words))
+    if isinstance(kind, T.MapType) and not sensitive:
+        return _scrub_map(column, kind, words)
     return _hide(column, kind) if sensitive else column
 
 
+def _scrub_map(column: Column, kind: T.MapType, words: tuple[str, ...]) -> Column:
+    """Map values by their keys: text is masked, other values under a sensitive key become NULL."""
+
+    def value(k: Column, v: Column) -> Column:
+        text = isinstance(kind.valueType, T.StringType)
+        hidden = _hide(v, kind.valueType) if text else F.lit(None).cast(kind.valueType)
+        inner = _scrub(v, "", kind.valueType, words)
+        name = F.lower(k.cast("string"))
+        sensitive = reduce(lambda a, b: a | b, [F.contains(name, F.lit(w)) for w in words], F.lit(False))
+        return F.when(sensitive & v.isNotNull(), hidden).when(~sensitive, inner)
+
+    return F.transform_values(column, value)
+
+
 def scrub_sensitive(df: DataFrame, words: tuple[str, ...] = SENSITIVE_WORDS) -> DataFrame:
-    """Mask every column, at any depth, whose name contains a sensitive word."""
+    """Mask every column, at any depth, whose name (in a map, whose key) contains a sensitive word."""
     return df.select(*[_scrub(F.col(f"`{f.name}`"), f.name, f.dataType, words).alias(f.name) for f in df.schema])
 
 

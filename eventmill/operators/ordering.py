@@ -17,7 +17,6 @@ from eventmill.session import stage
 
 _POSITION_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the row position in the low 33 bits
 _BLOCK = 100_000
-_TAKE_LIMIT = 10_000
 
 
 def sorted_stage(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -75,10 +74,15 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column], totals:
     joined = windowed.join(F.broadcast(carry), (F.col("_p") == F.col("_cp")) & same, "left")
     return joined.select(
         *df.columns,
-        *[(F.col(f"_run_{n}") + F.coalesce(f"_carry_{n}", F.lit(0))).alias(n) for n in totals],
+        *[_plus(F.col(f"_run_{n}"), F.col(f"_carry_{n}")).alias(n) for n in totals],
     )
 
 
+def _plus(run: Column, carry: Column) -> Column:
+    """Sum of two sums; as in a sum, NULL only where both are."""
+    return F.when(run.isNotNull() | carry.isNotNull(), F.coalesce(run, F.lit(0)) + F.coalesce(carry, F.lit(0)))
+
+
 def _same_keys(keys: list[str]) -> Column:
     condition = F.lit(True)
     for j, k in enumerate(keys):
@@ -117,12 +121,15 @@ def trailing_seconds(
     build: Callable[[WindowSpec], dict[str, Column]],
     block_seconds: int = 3600,
 ) -> DataFrame:
-    """Window columns over the last ``span`` seconds of rows that are already one per key and second."""
+    """Window columns over the last ``span`` seconds of rows that are already one per key and second.
+
+    A row is copied into the block after its own if frames there reach back to it. Blocks
+    are at least as long as a frame, so it never reaches further.
+    """
+    block_seconds = max(block_seconds, span)
     home = F.floor(F.col(second) / block_seconds)
-    reaches_next = F.col(second) % block_seconds > block_seconds - span
-    copies = per_second.withColumn("_home", home).withColumn(
-        "_b", F.explode(F.when(reaches_next, F.array(home, home + 1)).otherwise(F.array(home)))
-    )
+    last = F.floor((F.col(second) + (span - 1)) / block_seconds)
+    copies = per_second.withColumn("_home", home).withColumn("_b", F.explode(F.sequence(home, last)))
     frame = Window.partitionBy(*keys, "_b").orderBy(second).rangeBetween(-(span - 1), 0)
     return copies.withColumns(build(frame)).filter(F.col("_b") == F.col("_home")).drop("_home", "_b")
 
@@ -161,11 +168,15 @@ def ntile_columns(df: DataFrame, values: dict[str, bool], tie: str, tiles: int)
     return out
 
 
-def page(df: DataFrame, order: list[Column], offset: int, limit: int | None) -> DataFrame:
-    """One page in a total order. A deep page is cut by rank, not by pulling all rows before it."""
+def page(df: DataFrame, order: list[Column], offset: int, limit: int | None, by_rank: bool = False) -> DataFrame:
+    """One page in a total order.
+
+    ``by_rank`` ranks all rows and cuts the page out, for pages so deep that the rows
+    before them shouldn't come to one task; the result is the same.
+    """
     if limit is None or limit == 0:
         return df.orderBy(*order)
-    if offset + limit <= _TAKE_LIMIT:
+    if not by_rank:
         return df.orderBy(*order).offset(offset).limit(limit)
     ranked = global_rank(df, order)
     return ranked.filter(F.col("_g").between(offset, offset + limit - 1)).drop("_g")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventmill.functions.scalars import ago, as_column, percent, ratio
+from eventmill.functions.scalars import ago, as_column, percent, ratio, shifted
 from eventmill.operators.ordering import top_k
 
 
@@ -118,12 +118,12 @@ def calendar_history(customer_hours: DataFrame, transaction_hours: DataFrame, gr
 def with_product_names(top: DataFrame, products: DataFrame) -> DataFrame:
     """Left join of a bounded top list to a product dimension of any size.
 
-    The top list (at most k rows) is the broadcast side of the big join; what
-    comes back is again at most k rows.
+    The list is used once, so the fact behind it is read once; Spark broadcasts the
+    dimension if it is small and else shuffles its three columns.
     """
-    names = products.join(F.broadcast(top.select("product_id")), "product_id").select("product_id", "name", "category")
+    names = products.select("product_id", "name", "category")
     fallback = F.concat(F.lit("Product "), F.col("product_id").cast("string"))
-    return top.join(F.broadcast(names), "product_id", "left").withColumns(
+    return top.join(names, "product_id", "left").withColumns(
         {"name": F.coalesce("name", fallback), "category": F.coalesce("category", F.lit("Unknown"))}
     )
 
@@ -167,10 +167,8 @@ def top_customers(transactions: DataFrame, customers: DataFrame, limit: int = 10
         F.max("created_at").alias("last_order_date"),
     )
     top = top_k(spent, [F.desc("total_spent"), F.asc("customer_id")], limit)
-    names = customers.join(F.broadcast(top.select("customer_id")), "customer_id").select(
-        "customer_id", F.col("name").alias("customer_name")
-    )
-    return top.join(F.broadcast(names), "customer_id", "left")
+    names = customers.select("customer_id", F.col("name").alias("customer_name"))
+    return top.join(names, "customer_id", "left")
 
 
 # --- customers, users -------------------------------------------------------------
@@ -401,7 +399,8 @@ def day_over_day(transactions: DataFrame, as_of) -> DataFrame:
     """Revenue, orders and customers of the last day and their change."""
     day = F.to_date(as_column(as_of))
     # a range on the raw column, so that only the last two days are scanned
-    recent = transactions.filter(F.col("created_at") >= F.date_sub(day, 1).cast("timestamp"))
+    start = shifted(as_of, lambda now: F.date_sub(F.to_date(now), 1).cast("timestamp"))
+    recent = transactions.filter(F.col("created_at") >= start)
     today = F.to_date("created_at") == day
 
     def pair(name: str, agg) -> list[Column]:

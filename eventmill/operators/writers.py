@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventmill.operators.ordering import newest_per_key
+from eventmill.session import micros
 from eventmill.sources.files import child_dirs, exists, has_data, remove
 from eventmill.sources.tables import read_table
 
@@ -44,7 +45,8 @@ def write_table(
     writer = df.write.mode(mode).format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    with micros(df.sparkSession):
+        writer.save(path)
 
 
 def append_if_any(df: DataFrame | None, path: str) -> bool:
@@ -111,7 +113,8 @@ def validated_write(
 def register_table(df: DataFrame, path: str, name: str, partition_by: list[str]) -> None:
     """Append to partitioned files and make them known under a name."""
     writer = rebalanced(df, partition_by).write.mode("append").format("parquet").partitionBy(*partition_by)
-    writer.option("path", path).saveAsTable(name)
+    with micros(df.sparkSession):
+        writer.option("path", path).saveAsTable(name)
 
 
 def ensure_tables(spark: SparkSession, paths: dict[str, T.StructType]) -> list[str]:
@@ -207,6 +210,20 @@ def upsert(updates: DataFrame, path: str, keys: list[str], order: list[str] | No
     return write_version(updates if target is None else _merged(target, updates, keys), path)
 
 
+def read_partitions(spark: SparkSession, path: str, column: str, values: list, kind: T.DataType) -> DataFrame | None:
+    """Rows of the named partitions, NULL included, reading their folders only; None if none exists."""
+    names = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    found = None
+    for value in values:
+        text = None if value is None else str(value)
+        folder = f"{path}/{names.getPartitionPathString(column, text)}"
+        if has_data(spark, folder):
+            # the value comes from the folder's name, which type inference would change
+            rows = spark.read.parquet(folder).withColumn(column, F.lit(text).cast(kind))
+            found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    return found
+
+
 def upsert_partitions(
     updates: DataFrame,
     path: str,
@@ -228,20 +245,20 @@ def upsert_partitions(
     if not unique:
         updates = _unique(updates, keys, order)
     merged = updates
-    if has_data(spark, path):
-        # as many values as partitions are touched; literals prune the scan
-        if touched is None:
-            touched = [r[0] for r in updates.select(partition).distinct().collect()]
-        target = spark.read.parquet(path)
-        target = target.withColumn(partition, F.col(partition).cast(updates.schema[partition].dataType))
-        merged = _merged(target.filter(F.col(partition).isin(touched)), updates, keys)
-    (
-        rebalanced(merged, [partition])
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    # as many values as partitions are touched
+    if touched is None:
+        touched = [r[0] for r in updates.select(F.col(partition).cast("string")).distinct().collect()]
+    target = read_partitions(spark, path, partition, touched, updates.schema[partition].dataType)
+    if target is not None:
+        merged = _merged(target, updates, keys)
+    with micros(spark):
+        (
+            rebalanced(merged, [partition])
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(partition)
+            .parquet(path)
+        )
 
 
 # --- maintenance --------------------------------------------------------------------

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+TIMESTAMPS, MICROS = "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _local_root: str | None = None
-_staged: list[str] = []
+_staged: dict[str, list[str]] = {}  # by application
 
 
 def build_session(app: str = "eventmill", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
+        .config(TIMESTAMPS, MICROS)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
@@ -32,12 +35,15 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings every query relies on; a cluster keeps its own shuffle width."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if is_local(spark) and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    return spark
+@contextmanager
+def micros(spark: SparkSession):
+    """Times are stored as microseconds inside: Spark's old default has no statistics to prune by."""
+    before = spark.conf.get(TIMESTAMPS)
+    spark.conf.set(TIMESTAMPS, MICROS)
+    try:
+        yield
+    finally:
+        spark.conf.set(TIMESTAMPS, before)
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -58,12 +64,10 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 def discard_staged(spark: SparkSession) -> int:
-    """Remove the tables this process staged. Call it when no result depends on them any more."""
+    """Remove the tables this session's application staged. Call it when no result depends on them any more."""
     from eventmill.sources.files import remove
 
-    removed = sum(remove(spark, path) for path in _staged)
-    _staged.clear()
-    return removed
+    return sum(remove(spark, path) for path in _staged.pop(spark.sparkContext.applicationId, []))
 
 
 def stage(df, label: str):
@@ -74,6 +78,7 @@ def stage(df, label: str):
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    _staged.append(path)
-    df.write.parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    with micros(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventmill.functions.scalars import as_column
+from eventmill.functions.scalars import ago, as_column
 from eventmill.sources.files import child_dirs, exists, has_data
 
 LAYERS = ("bronze", "silver", "gold")
@@ -91,7 +91,7 @@ def read_date_folders(spark: SparkSession, base: str, table: str, start: date, e
 
 
 def read_bronze(
-    df: DataFrame, event_type: str | None = None, day: str | None = None, limit: int | None = 1000
+    df: DataFrame, event_type: str | None = None, day: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Bronze rows by partition; plain comparisons, so only matching folders are listed."""
     if event_type is not None:
@@ -124,7 +124,7 @@ def records_frame(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def since(df: DataFrame, column: str, as_of, **parts) -> DataFrame:
     """Rows of the last minutes, hours or days before ``as_of``."""
-    return df.filter(F.col(column) >= as_column(as_of) - F.make_dt_interval(**{k: F.lit(v) for k, v in parts.items()}))
+    return df.filter(F.col(column) >= ago(as_of, **parts))
 
 
 def table_counts(lake: Lake, layer: str, schemas: dict[str, T.StructType]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from eventmill.operators.writers import expire_versions, write_version
-from eventmill.session import ROCKSDB_PROVIDER
+from eventmill.session import ROCKSDB_PROVIDER, micros
 
 # Trigger intervals of the reference jobs (fixed values).
 RAW_BRONZE, TYPED_BRONZE, SILVER, GOLD = "30 seconds", "10 seconds", "60 seconds", "60 seconds"
@@ -29,7 +29,8 @@ def append_stream(
         writer = writer.partitionBy(*partition_by)
     if name:
         writer = writer.queryName(name)
-    return triggered(writer, every).start(path)
+    with micros(df.sparkSession):  # a stream keeps the settings it starts with
+        return triggered(writer, every).start(path)
 
 
 def batch_stream(
@@ -53,17 +54,27 @@ def console_stream(df: DataFrame, every: str | None = CONSOLE, mode: str = "upda
     return triggered(writer, every).start()
 
 
+def stream_id(spark: SparkSession) -> str:
+    """Id of the stream whose batch is being handled; ``none`` outside a stream."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
 def append_batches(path: str, partition_by: list[str]) -> Callable[[DataFrame, int], None]:
-    """Batch handler that appends once per batch id: a repeated batch replaces its own folder."""
+    """Batch handler that appends once per stream and batch: a repeated batch replaces its own folders.
+
+    Batch ids start again with every new checkpoint, so folders carry the id of the
+    stream, which its checkpoint keeps. They lie below the other partitions.
+    """
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        rows = df.withColumn("batch_id", F.lit(batch_id))
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id", *partition_by)
-            .parquet(path)
-        )
+        rows = df.withColumns({"stream_id": F.lit(stream_id(df.sparkSession)), "batch_id": F.lit(batch_id)})
+        with micros(df.sparkSession):
+            (
+                rows.write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(*partition_by, "stream_id", "batch_id")
+                .parquet(path)
+            )
 
     return handle
 
@@ -112,11 +123,14 @@ class QueryRegistry:
                 "id": str(q.id),
                 "active": q.isActive,
                 "batch": progress["batchId"] if progress else None,
-                "input_rows": sum(p["numInputRows"] for p in q.recentProgress),
             }
         return out
 
     def wait(self) -> None:
+        """Until all queries have ended; the first that fails raises at once."""
+        while any(q.isActive for q in self.queries.values()):
+            self.spark.streams.awaitAnyTermination()
+            self.spark.streams.resetTerminated()
         for q in self.queries.values():
             q.awaitTermination()
 

@@ -9,8 +9,8 @@ Two ways to publish:
 
 * ``append_metrics`` chains the second aggregation in the stream itself and emits
   a window once the watermark has passed it.
-* ``publish_metrics`` emits every change: changed state rows go to a log that
-  only grows, and the touched windows are summed again and upserted in gold.
+* ``publish_metrics`` emits every change: changed state rows are upserted into a copy
+  of the state, and the touched windows are summed again and upserted in gold.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventmill.operators.writers import upsert_partitions
-from eventmill.sources.files import has_data
-from eventmill.streaming.sinks import batch_stream
+from eventmill.operators.writers import read_partitions, upsert_partitions
+from eventmill.session import micros
+from eventmill.sources.files import remove
+from eventmill.streaming.sinks import batch_stream, stream_id
 
 
 @dataclass(frozen=True)
@@ -88,48 +89,42 @@ def publish_metrics(
     name: str | None = None,
     partition_unit: str = "day",
 ) -> StreamingQuery:
-    """Update-mode publication into ``<path>/gold`` by way of ``<path>/changes``.
+    """Update-mode publication into ``<path>/gold`` by way of ``<path>/state``.
 
-    Both are partitioned by the day of the window, or by a longer
-    ``partition_unit`` (week, month) where days hold few rows. A repeated batch overwrites its own change folder and upserts the same gold
-    rows. ``after`` receives the gold rows of the windows the batch touched.
+    Both are partitioned by the day of the window, or by another ``partition_unit``
+    (hour, week, month): a batch reads and rewrites the partitions it touches, whatever
+    lies beside them. Rows are replaced by key, so a repeated batch changes nothing.
+    ``after`` receives the gold rows of the windows the batch touched.
     """
-    changes_path, gold_path = f"{path}/changes", f"{path}/gold"
+    state_path, gold_path = f"{path}/state", f"{path}/gold"
     keys = ["window_start", "window_end", *metric.dims, *metric.unit_columns]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        day = F.date_trunc(partition_unit, "window_start").cast("date")
-        rows = _bounds(batch).withColumns({"window_date": day, "batch_id": F.lit(batch_id)})
-        # The one action on the batch: afterwards only its files are read.
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("window_date", "batch_id")
-            .parquet(changes_path)
-        )
-        if not has_data(spark, changes_path):
-            return
-        log = spark.read.schema(rows.schema).parquet(changes_path)
-        mine = log.filter(F.col("batch_id") == batch_id)
+        unit = F.date_trunc(partition_unit, "window_start")
+        day = unit.cast("date") if partition_unit != "hour" else F.date_format(unit, "yyyy-MM-dd-HH")
+        # the one action on the batch: afterwards only its own files are read
+        incoming = f"{path}/incoming/{stream_id(spark)}-{batch_id}"
+        with micros(spark):
+            _bounds(batch).withColumn("window_date", day).write.mode("overwrite").parquet(incoming)
+        mine = spark.read.parquet(incoming)
         # partitions the batch touched: as many as its time range has
-        days = [r[0] for r in mine.select("window_date").distinct().collect()]
-        if not days:
-            return
-        touched = mine.select("window_start").distinct()
-        history = log.filter(F.col("window_date").isin(days) & (F.col("batch_id") <= batch_id))
-        history = history.join(touched, "window_start", "left_semi")
-        # one column each: plain numbers aggregate by hash, a struct would be sorted
-        newest = [F.max_by(c, F.col("batch_id")).alias(c) for c in metric.partial]
-        current = history.groupBy(*keys, "window_date").agg(*newest)
-        gold = current.groupBy("window_start", "window_end", *metric.dims, "window_date").agg(
-            *[c.alias(n) for n, c in metric.final.items()]
-        )
-        gold_keys = ["window_start", *metric.dims]
-        upsert_partitions(_finish(gold, metric), gold_path, gold_keys, "window_date", unique=True, touched=days)
-        if after is not None:
-            published = spark.read.parquet(gold_path).filter(F.col("window_date").isin(days))
-            after(published.join(touched, "window_start", "left_semi"), batch_id)
+        days = [r[0] for r in mine.select(F.col("window_date").cast("string")).distinct().collect()]
+        if days:
+            upsert_partitions(mine, state_path, keys, "window_date", unique=True, touched=days)
+            touched = mine.select("window_start").distinct()
+            state = read_partitions(spark, state_path, "window_date", days, mine.schema["window_date"].dataType)
+            current = state.join(touched, "window_start", "left_semi")
+            gold = current.groupBy("window_start", "window_end", *metric.dims, "window_date").agg(
+                *[c.alias(n) for n, c in metric.final.items()]
+            )
+            gold_keys = ["window_start", *metric.dims]
+            upsert_partitions(_finish(gold, metric), gold_path, gold_keys, "window_date", unique=True, touched=days)
+            if after is not None:
+                kind = mine.schema["window_date"].dataType
+                published = read_partitions(spark, gold_path, "window_date", days, kind)
+                after(published.join(touched, "window_start", "left_semi"), batch_id)
+        remove(spark, incoming)
 
     return batch_stream(partial_rows(events, metric), handle, checkpoint, every, name=name)
 

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from eventmill.session import build_session, prepare  # noqa: E402
+from eventmill.session import build_session  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield prepare(session)
+    yield session
     session.stop()
 
 

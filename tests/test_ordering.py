@@ -66,6 +66,23 @@ def test_trailing_seconds_across_blocks(spark):
     assert {r.second: r.s for r in got.collect()} == want
 
 
+def test_running_totals_ignore_null(spark):
+    data = [(i, None if i < 600 or i % 7 == 0 else i) for i in range(800)]
+    df = spark.createDataFrame(data, "id long, v long").repartition(8)
+    got = {r.id: r.s for r in ordering.running_totals(df.withColumn("k", F.lit(1)), ["k"], [F.col("id")], {"s": F.col("v")}).collect()}
+    run, want = None, {}
+    for i, v in data:
+        run = run if v is None else (run or 0) + v
+        want[i] = run
+    assert got == want
+
+
+def test_frames_longer_than_a_block(spark):
+    df = spark.createDataFrame([(60 * i, 1) for i in range(300)], "second long, n int")
+    got = ordering.trailing_seconds(df, [], "second", 7200, lambda w: {"s": F.sum("n").over(w)})
+    assert {r.second: r.s for r in got.collect()} == {60 * i: min(i + 1, 120) for i in range(300)}
+
+
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("size", [3, 5, 23, 500])
 def test_ntile_matches_the_window_function(rows, size, descending):
@@ -93,12 +110,11 @@ def test_empty_frames(spark):
     assert empty.select(ordering.ntile_columns(empty, {"v": False}, "id", 5)["v"]).count() == 0
 
 
-def test_deep_page_equals_shallow_page(rows, monkeypatch):
+def test_deep_page_equals_shallow_page(rows):
     df, _ = rows
     order = [F.desc("t"), F.asc("id")]
     shallow = [r.id for r in ordering.page(df, order, 40, 30).collect()]
-    monkeypatch.setattr(ordering, "_TAKE_LIMIT", 10)
-    deep = sorted(r.id for r in ordering.page(df, order, 40, 30).collect())
+    deep = sorted(r.id for r in ordering.page(df, order, 40, 30, by_rank=True).collect())
     assert deep == sorted(shallow)
 
 

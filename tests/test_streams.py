@@ -117,6 +117,30 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
 
 
+def test_a_new_checkpoint_keeps_older_rows(spark, tmp_path):
+    files = write_files(spark, str(tmp_path), [rows(30)])
+    out = str(tmp_path / "out")
+    for cp in ("a", "b"):
+        handle = sinks.append_batches(out, ["action"])
+        sinks.batch_stream(stream(spark, files), handle, str(tmp_path / cp), None, mode="append").awaitTermination()
+    assert spark.read.parquet(out).count() == 60
+    assert spark.read.parquet(out).select("stream_id").distinct().count() == 2
+
+
+def test_publication_reads_touched_days_only(spark, in_order, tmp_path, monkeypatch):
+    files, batch = in_order
+    metric, path = windows.customer_metrics(), str(tmp_path / "out")
+    windows.publish_metrics(stream(spark, files), metric, path, str(tmp_path / "cp"), None).awaitTermination()
+    # days the stream never touches again: their files need not even be readable
+    for table in ("state", "gold"):
+        (tmp_path / "out" / table / "window_date=2001-01-01").mkdir()
+        (tmp_path / "out" / table / "window_date=2001-01-01" / "part-0.parquet").write_bytes(b"no parquet")
+    windows.publish_metrics(stream(spark, files), metric, path, str(tmp_path / "cp2"), None).awaitTermination()
+    got = spark.read.parquet(f"{path}/gold/window_date=2024-01-01")
+    assert got.agg(F.sum("event_count")).first()[0] == batch.count()
+    assert not (tmp_path / "out" / "incoming").exists() or not list((tmp_path / "out" / "incoming").iterdir())
+
+
 def test_typed_bronze_and_registry(spark, tables, lake):
     path = f"{lake.base}/messages"
     fixtures.envelope(tables.events).write.parquet(path)
