@@ -45,15 +45,30 @@ UNION ALL SELECT 'analytics_events', count(*) FROM ev WHERE {TOPIC} = 'analytics
 UNION ALL SELECT 'customer_metrics', count(*) FROM (SELECT DISTINCT time_bucket(INTERVAL 5 MINUTE, event_ts), event_type, device_type FROM ev
   WHERE {TOPIC} = 'customer-events' AND NOT {BAD})
 UNION ALL SELECT 'transaction_metrics', count(*) FROM (SELECT DISTINCT time_bucket(INTERVAL 5 MINUTE, event_ts), least(event_id % 5, 2), category FROM ev
-  WHERE {TOPIC} = 'transaction-events' AND NOT {BAD})""",
+  WHERE {TOPIC} = 'transaction-events' AND NOT {BAD})
+UNION ALL SELECT 'event_rates', sum(event_count)::BIGINT FROM (SELECT count(*) AS event_count FROM ev)
+UNION ALL SELECT 'customer_behavior', count(*) FROM ev WHERE {TOPIC} = 'customer-events'
+UNION ALL SELECT 'transactions', count(*) FROM ev WHERE {TOPIC} = 'transaction-events'
+UNION ALL SELECT 'analytics_metrics', count(*) FROM ev WHERE {TOPIC} = 'analytics-events'
+UNION ALL SELECT 'realtime_metrics', count(*) FROM ev WHERE {TOPIC} = 'customer-events' AND NOT {BAD}
+UNION ALL SELECT 'dashboard_metrics', count(*) FROM ev WHERE {TOPIC} = 'customer-events' AND NOT {BAD}""",
     ),
 )
 def _(t):
+    """Rows of the tables; of rates, real-time metrics and dashboard, the events they add up to."""
     lk = lake(t, "job1")
     raw = sources.table_stream(t.spark, t.path("events"), SOURCE_TABLES["events"])
     jobs.start_medallion(lk, fixtures.envelope(Tables.to_events(raw)), continuous=False).stop()
     parts = _counts(lk, ["raw_events"], "bronze").union(_counts(lk, list(medallion.SILVER_TABLES), "silver"))
+    parts = parts.union(_counts(lk, list(medallion.TYPED_TOPICS), "bronze"))
     gold = _counts(lk, ["customer_metrics", "transaction_metrics"], "gold", lambda p: windows.read_gold(t.spark, p))
+    for layer, name, column in (
+        ("gold", "event_rates", "event_count"),
+        ("silver", "realtime_metrics", "event_count"),
+        ("gold", "dashboard_metrics", "total_events_per_minute"),
+    ):
+        rows = windows.read_gold(t.spark, lk.path(layer, name)).agg(F.sum(column).alias("rows"))
+        gold = gold.unionByName(rows.withColumn("table_name", F.lit(name)))
     return parts.union(gold)
 
 
@@ -116,19 +131,33 @@ def _(t):
         f"""SELECT 'event_analytics' AS table_name, count(DISTINCT event_type) AS documents FROM ev WHERE event_ts >= {EVN} - INTERVAL 1 DAY
 UNION ALL SELECT 'customer_metrics', 1 FROM events HAVING count(*) > 0
 UNION ALL SELECT 'campaign_metrics', count(DISTINCT campaign_id) FROM ev WHERE event_ts >= {EVN} - INTERVAL 1 DAY
+UNION ALL SELECT 'segment_metrics', (SELECT count(DISTINCT c_mktsegment) FROM customer WHERE c_custkey IN (SELECT customer_id FROM ev WHERE event_ts >= {EVN} - INTERVAL 1 DAY))
+UNION ALL SELECT 'customer_action_aggregations', count(DISTINCT event_type) FROM ev WHERE event_ts >= {EVN} - INTERVAL 1 DAY
+UNION ALL SELECT 'pipeline_run_summary', 1
+UNION ALL SELECT 'customer_hourly', (SELECT count(*) FROM events) * 0 + 1 WHERE (SELECT count(*) FROM events) > 0
 UNION ALL SELECT 'lookups', count(DISTINCT event_type) FROM ev""",
     ),
 )
 def _(t):
+    """Documents per exported table; hourly tables only have to be there."""
     lk, out = lake(t, "job6"), shared_dir(t.spark, "job6out")
     segments = t.raw("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"))
     jobs.window_aggregation(lk, t.events, t.campaigns, segments, *day_window(t), _now(t))
-    jobs.export_windows(lk, out, *day_window(t))
+    jobs.range_aggregation(lk, t.events, t.transactions, t.metrics, *day_window(t), "run")
+    customers = rollups.windowed_customer_metrics(t.events)
+    transactions = rollups.windowed_transaction_metrics(t.transactions)
+    jobs.hourly_rollup(lk, customers, transactions, _now(t), latest(t.raw("orders"), "o_orderdate"))
+    jobs.document_export(lk, out, *day_window(t), _now(t))
     lookups = t.raw("events").select(F.lit("event_type").alias("lookupType"), F.col("event_type").alias("lookupValue")).distinct()
     jobs.export_lookups({"lookups": lookups}, out)
     result = t.spark.read.schema(lookups.schema).json(f"{out}/lookups").agg(F.count("*").alias("documents"))
     result = result.select(F.lit("lookups").alias("table_name"), "documents")
-    for name in ("event_analytics", "customer_metrics", "campaign_metrics"):
+    for name in ("customer_action_aggregations", "pipeline_run_summary", "customer_hourly"):
+        docs = t.spark.read.schema("doc_id string").json(f"{out}/{name}").agg(F.count_distinct("doc_id").alias("documents"))
+        if name == "customer_hourly":
+            docs = docs.select(F.least("documents", F.lit(1)).cast("long").alias("documents"))
+        result = result.unionByName(docs.withColumn("table_name", F.lit(name)))
+    for name in ("event_analytics", "customer_metrics", "campaign_metrics", "segment_metrics"):
         docs = writers.read_current(t.spark, f"{out}/{name}")
         result = result.unionByName(
             docs.agg(F.count_distinct("doc_id").alias("documents")).withColumn("table_name", F.lit(name))

@@ -27,22 +27,17 @@ def customer_360(events: DataFrame, as_of) -> DataFrame:
     so a hot customer is spread by value. Event ids and devices are counted from
     their own distinct pairs, on narrow scans: in one aggregation every row would
     be expanded once per distinct column, and a set aggregate beside them would
-    sort all expanded rows. The parts are one row per customer and already
-    partitioned by it, so joining them moves nothing.
+    sort all expanded rows. The parts are few rows per customer; one grouping of
+    their union puts them together, NULL customers like all others. A customer's
+    devices come as one array: they are classes, not device ids, so it is short.
     """
     as_of = as_column(as_of)
-    customer = F.col("customer_id").alias("_customer")
-    devices = (
-        events.select(customer, "device_type")
-        .distinct()
-        .groupBy("_customer")
-        .agg(F.array_sort(F.collect_list("device_type")).alias("devices_used"))
-    )
+    devices = events.select("customer_id", "device_type").distinct()
     ids = (
         events.filter(F.col("event_type").isin("page_view", "purchase") & F.col("event_id").isNotNull())
-        .select(customer, "event_type", "event_id")
+        .select("customer_id", "event_type", "event_id")
         .distinct()
-        .groupBy("_customer")
+        .groupBy("customer_id")
         .agg(F.count_if(_is("page_view")).alias("page_views"), F.count_if(_is("purchase")).alias("purchases"))
     )
     totals = events.groupBy("customer_id").agg(
@@ -54,9 +49,11 @@ def customer_360(events: DataFrame, as_of) -> DataFrame:
         F.max("event_ts").alias("last_seen"),
         F.count_distinct("product_id").alias("unique_products_viewed"),
     )
-    per_customer = totals
-    for part in (devices, ids):
-        per_customer = per_customer.join(part, totals["customer_id"].eqNullSafe(part["_customer"]), "left").drop("_customer")
+    parts = totals.unionByName(ids, allowMissingColumns=True).unionByName(devices, allowMissingColumns=True)
+    single = [c for c in parts.columns if c not in ("customer_id", "device_type")]
+    per_customer = parts.groupBy("customer_id").agg(
+        *[F.max(c).alias(c) for c in single], F.array_sort(F.collect_list("device_type")).alias("devices_used")
+    )
     return (
         per_customer.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("page_views", "purchases")})
         .withColumn("days_since_first_seen", F.date_diff(as_of, F.col("first_seen")))

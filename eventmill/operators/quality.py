@@ -14,7 +14,7 @@ MAX_NULL_SHARE = 0.95
 MAX_DUPLICATE_SHARE = 0.10
 MIN_RECORDS = 1
 WARN_NULL_PERCENT = 50
-FACTOR_TOO_FEW, FACTOR_NULLS, FACTOR_DUPLICATES, FACTOR_TYPES, FACTOR_RULES = 0.5, 0.9, 0.8, 0.9, 0.85
+FACTOR_TOO_FEW, FACTOR_NULLS, FACTOR_DUPLICATES, FACTOR_RULES = 0.5, 0.9, 0.8, 0.85
 MIN_SCORE = 0.7
 CRITICAL_SCORE = 0.5
 LARGE_BATCH = 100_000
@@ -144,9 +144,16 @@ def schema_issues(actual: T.StructType, expected: T.StructType) -> list[str]:
 
 
 def validate_batch(
-    df: DataFrame, table_name: str, expected: T.StructType | None = None, rules: list[Rule] = ()
+    df: DataFrame,
+    table_name: str,
+    expected: T.StructType | None = None,
+    rules: list[Rule] = (),
+    duplicates: bool = False,
 ) -> DataFrame:
-    """Quality report with the schema verdict and recommendations."""
+    """Quality report with the schema verdict and recommendations.
+
+    ``duplicates`` adds their share, at the price of a shuffle of whole rows.
+    """
     differences = schema_issues(df.schema, expected) if expected is not None else []
     advice = [
         F.lit("fix the schema before processing" if differences else None).cast("string"),
@@ -155,7 +162,7 @@ def validate_batch(
         ),
         F.when(F.col("total_records") > LARGE_BATCH, "partition large datasets"),
     ]
-    return quality_report(df, table_name, rules).withColumns(
+    return quality_report(df, table_name, rules, duplicates).withColumns(
         {
             "schema_issues": F.array(*[F.lit(d) for d in differences]).cast("array<string>"),
             "overall_passed": F.col("passed") & F.lit(not differences),

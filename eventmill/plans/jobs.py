@@ -24,7 +24,8 @@ from eventmill.streaming import medallion, sinks
 
 # --- streaming medallion ---------------------------------------------------------------
 def start_medallion(lake: Lake, envelope: DataFrame, continuous: bool = True) -> sinks.QueryRegistry:
-    """Bronze, silver, gold and event-rate streams.
+    """Bronze, silver, gold and event-rate streams, and the real-time chain beside them: typed
+    bronze, its 30-second metrics and their minute dashboard.
 
     ``continuous=False`` runs each layer to the end of the available data.
     """
@@ -46,6 +47,11 @@ def start_medallion(lake: Lake, envelope: DataFrame, continuous: bool = True) ->
     layer(lambda: medallion.silver_tables(lake, every(sinks.SILVER)))
     layer(lambda: medallion.gold_metrics(lake, every(sinks.GOLD)))
     layer(lambda: {"event_rates": medallion.event_rates(lake, every(sinks.EVENT_RATE))})
+    medallion.create_folders(lake, "bronze", list(medallion.TYPED_TOPICS))
+    typed = medallion.typed_bronze_tables(lake, envelope, every(sinks.TYPED_BRONZE))
+    layer(lambda: {f"typed_{name}": query for name, query in typed.items()})
+    behavior = medallion.typed_stream(lake, "customer_behavior")
+    layer(lambda: {"realtime_metrics": medallion.realtime_metrics(behavior, lake, every(sinks.SILVER_METRICS))})
     return registry
 
 
@@ -141,6 +147,18 @@ def export_generated(lake: Lake, out: str, names: list[str], ingested_at=None) -
     return written
 
 
+RUN_TABLES = (
+    "customer_action_aggregations", "customer_hourly_aggregations", "transaction_status_aggregations",
+    "revenue_hourly_aggregations", "system_metrics_summary", "system_metrics_timeseries", "pipeline_run_summary",
+)
+HOURLY_TABLES = ("customer_hourly", "transaction_hourly")
+
+
+def document_export(lake: Lake, out: str, start, end, ingested_at=None) -> list[str]:
+    """All gold tables that exist: windows by their id, run and hourly tables by content."""
+    return export_windows(lake, out, start, end) + export_generated(lake, out, [*RUN_TABLES, *HOURLY_TABLES], ingested_at)
+
+
 def export_lookups(lookups: dict[str, DataFrame], out: str) -> None:
     for name, df in lookups.items():
         documents.replace_documents(df, f"{out}/{name}")
@@ -148,7 +166,7 @@ def export_lookups(lookups: dict[str, DataFrame], out: str) -> None:
 
 # --- ingest ----------------------------------------------------------------------------
 def contract_ingest(lake: Lake, rows: DataFrame, contract: dict, domain: str, product: str, as_of, aggregate: bool = True) -> dict:
-    """Contract rows to bronze, then its SQL aggregations to gold."""
+    """Contract rows to bronze, then its SQL aggregations over all of bronze to gold, each replacing its last result."""
     table = f"{domain}_{product}".replace("-", "_")
     path = lake.path("bronze", table)
     clean = contracts.apply_contract(rows, contract, as_of)
@@ -159,7 +177,7 @@ def contract_ingest(lake: Lake, rows: DataFrame, contract: dict, domain: str, pr
 
         def write(target: str, df: DataFrame) -> None:
             out = contracts.with_partition_columns(df, as_of)
-            writers.write_table(out, lake.path("gold", target), "append", partition_by=["year", "month", "day"])
+            writers.write_table(out, lake.path("gold", target), partition_by=["year", "month", "day"])
 
         results = contracts.run_aggregations(src, table, contract, write)
     return {"success": ok, "table": table, "aggregations": results}
@@ -197,14 +215,19 @@ def incident_ingest(
     lookup = lake.path("silver", "IncidentLookup")
     existing = writers.read_current(lake.spark, lookup)
     writers.write_version(nested.incident_lookups(incidents, existing), lookup)
+    for name in ("IncidentLookup", *INCIDENT_KEYS):
+        writers.expire_versions(lake.spark, lake.path("silver", name))
 
 
 def traffic_ingest(lake: Lake, records: DataFrame, as_of) -> None:
-    """Header sessions and passages to bronze, and the lookup table."""
+    """Header sessions and passages to bronze; their values join those of earlier deliveries in the lookup."""
     writers.append_evolving(nested.header_sessions(records, as_of), lake.path("bronze", "TrafficHeaderSession"))
     passages = nested.passages(records, as_of)
     writers.write_table(passages, lake.path("bronze", "TrafficData"), "append", partition_by=["year", "month", "day"])
-    writers.write_version(nested.traffic_lookups(records), lake.path("bronze", "TrafficLookup"))
+    lookup = lake.path("bronze", "TrafficLookup")
+    existing = writers.read_current(lake.spark, lookup)
+    writers.write_version(nested.traffic_lookups(records, existing), lookup)
+    writers.expire_versions(lake.spark, lookup)
 
 
 def vpc_ingest(lake: Lake, events: DataFrame, clerks: DataFrame, batch_id: str, processed_at) -> dict[str, bool]:
@@ -233,7 +256,8 @@ def event_ingest(lake: Lake, events: DataFrame, batch_id: str, as_of) -> DataFra
     ).withColumns({"partition_date": F.to_date(as_column(as_of)), "job_id": F.lit(batch_id)})
     path = lake.path("bronze", "events")
     writers.write_table(rows, path, "append", partition_by=["partition_date", "event_type"])
-    stored = lake.spark.read.parquet(path).filter(F.col("job_id") == batch_id)
+    day = F.to_date(as_column(as_of))
+    stored = lake.spark.read.parquet(path).filter((F.col("partition_date") == day) & (F.col("job_id") == batch_id))
     return service.event_type_counts(stored)
 
 

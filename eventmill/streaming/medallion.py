@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from eventmill.operators.contracts import apply_contract
 from eventmill.operators.parse import CORRUPT, envelope_rows, silver_events, typed_bronze
 from eventmill.operators.rollups import minute_dashboard
-from eventmill.operators.writers import upsert_partitions
+from eventmill.operators.writers import read_partitions, upsert_partitions
 from eventmill.schemas import (
     BRONZE_TABLES,
     PAYLOADS,
@@ -99,6 +99,10 @@ def typed_bronze_tables(
     return out
 
 
+def typed_stream(lake: Lake, table: str) -> DataFrame:
+    return table_stream(lake.spark, lake.path("bronze", table), BRONZE_TABLES[table])
+
+
 def create_folders(lake: Lake, layer: str, tables: list[str]) -> None:
     """Empty folders for downstream streams to watch.
 
@@ -158,7 +162,7 @@ def realtime_metrics(
         minute = F.date_trunc("minute", "window_start")
         wanted = touched.select(minute.alias("_m"), "window_date").distinct()
         days = [r[0] for r in wanted.select("window_date").distinct().collect()]
-        rows = windows.read_all(spark, silver).filter(F.col("window_date").isin(days)).withColumn("_m", minute)
+        rows = read_partitions(spark, f"{silver}/gold", "window_date", days, T.DateType()).withColumn("_m", minute)
         rows = rows.join(wanted.select("_m").distinct(), "_m", "left_semi")
         totals = minute_dashboard(rows).withColumn("window_date", F.to_date("window_start"))
         upsert_partitions(totals, f"{minutes}/gold", ["window_start"], "window_date", unique=True, touched=days)
