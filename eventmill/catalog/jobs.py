@@ -158,7 +158,7 @@ def _(t):
             docs = docs.select(F.least("documents", F.lit(1)).cast("long").alias("documents"))
         result = result.unionByName(docs.withColumn("table_name", F.lit(name)))
     for name in ("event_analytics", "customer_metrics", "campaign_metrics", "segment_metrics"):
-        docs = writers.read_current(t.spark, f"{out}/{name}")
+        docs = writers.read_buckets(t.spark, f"{out}/{name}")
         result = result.unionByName(
             docs.agg(F.count_distinct("doc_id").alias("documents")).withColumn("table_name", F.lit(name))
         )
@@ -197,8 +197,8 @@ def _(t):
     lk = lake(t, "job8")
     for _ in range(2):  # the second delivery merges into the same rows
         jobs.incident_ingest(lk, fixtures.incidents(t), fixtures.STATE_MAP, "month")
-    names = ["Incident", "IncidentFiles", "IncidentHistory", "IncidentLookup"]
-    return _counts(lk, names, "silver", lambda p: writers.read_current(t.spark, p))
+    rows = _counts(lk, list(jobs.INCIDENT_KEYS), "silver", lambda p: writers.read_buckets(t.spark, p))
+    return rows.union(_counts(lk, ["IncidentLookup"], "silver", lambda p: writers.read_current(t.spark, p)))
 
 
 @register(

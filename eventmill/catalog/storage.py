@@ -209,10 +209,10 @@ def upsert_updates(t):
 def _upserted(t):
     path = lake(t, "snk10").path("silver", "orders")
     base = t.raw("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(0).alias("seq"))
-    writers.upsert(base, path, ["o_orderkey"])
+    writers.upsert_buckets(base, path, ["o_orderkey"], buckets=8)
     for _ in range(2):  # the second time must change nothing
-        writers.upsert(upsert_updates(t), path, ["o_orderkey"], ["seq"])
-    return writers.read_current(t.spark, path)
+        writers.upsert_buckets(upsert_updates(t), path, ["o_orderkey"], ["seq"], buckets=8)
+    return writers.read_buckets(t.spark, path)
 
 
 register("snk10_upsert", UPSERT)(lambda t: rounded(_upserted(t).drop("seq"), 2))
@@ -324,7 +324,7 @@ def _(t):
     path = lake(t, "snk18").path("gold", "event_documents")
     for _ in range(2):
         documents.upsert_documents(_event_docs(t), path)
-    return writers.read_current(t.spark, path).select(*_DOC)
+    return writers.read_buckets(t.spark, path).select(*_DOC)
 
 
 @register("snk19_document_replace", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from eventmill.functions.scalars import as_column, iso_utc
 from eventmill.operators.enrich import content_id
-from eventmill.operators.writers import upsert, write_table
+from eventmill.operators.writers import upsert_buckets, write_table
 
 # Dimension that completes the document id per gold table (fixed values).
 DIMENSION = {
@@ -43,8 +43,8 @@ def append_documents(df: DataFrame, path: str, ingested_at=None) -> None:
     write_table(generated_documents(df, ingested_at), path, "append", "json")
 
 
-def upsert_documents(df: DataFrame, path: str) -> int:
-    return upsert(df, path, ["doc_id"])
+def upsert_documents(df: DataFrame, path: str) -> None:
+    upsert_buckets(df, path, ["doc_id"])
 
 
 def replace_documents(df: DataFrame, path: str) -> None:

@@ -24,22 +24,32 @@ def between(df: DataFrame, column: str, start, end) -> DataFrame:
     return df.filter((c >= as_column(start)) & (c <= as_column(end)))
 
 
-def window_customer_metrics(events: DataFrame, start, end, created_at=None) -> DataFrame:
+def first_seen(events: DataFrame) -> DataFrame:
+    """Customers with the time of their first event."""
+    known = events.filter(F.col("customer_id").isNotNull())
+    return known.groupBy("customer_id").agg(F.min("event_ts").alias("first_seen"))
+
+
+def window_customer_metrics(events: DataFrame, start, end, created_at=None, known: DataFrame | None = None) -> DataFrame:
     """One row for a time window. ``new_customers`` are those never seen before it.
 
-    The history is reduced to one first-seen time per customer; both counts come
-    from that one grouping, so the events are read once.
+    ``known`` lists the customers seen before the window; then only the window's events
+    are read. Without it the history is reduced to one first-seen time per customer, and
+    both counts come from that one grouping.
     """
     inside = F.col("event_ts") >= as_column(start)
-    per_customer = (
-        events.filter(F.col("event_ts") <= as_column(end))
-        .groupBy("customer_id")
-        .agg(
-            F.min("event_ts").alias("first_seen"),
-            F.count_if(inside).alias("n"),
-            F.sum(F.when(inside, F.coalesce("value", F.lit(0.0)))).alias("v"),
-        )
+    history = events.filter(F.col("event_ts") <= as_column(end))
+    if known is not None:
+        history = history.filter(inside)
+    per_customer = history.groupBy("customer_id").agg(
+        F.min("event_ts").alias("first_seen"),
+        F.count_if(inside).alias("n"),
+        F.sum(F.when(inside, F.coalesce("value", F.lit(0.0)))).alias("v"),
     )
+    if known is not None:
+        earlier = known.select("customer_id").distinct().withColumn("_known", F.lit(True))
+        per_customer = per_customer.join(earlier, "customer_id", "left")
+        per_customer = per_customer.withColumn("first_seen", F.when(F.col("_known").isNull(), F.col("first_seen")))
     known = F.col("customer_id").isNotNull()
     active = known & (F.col("n") > 0)
     row = per_customer.agg(

@@ -199,7 +199,8 @@ def _unique(updates: DataFrame, keys: list[str], order: list[str] | None) -> Dat
 
 
 def upsert(updates: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> int:
-    """Matched keys are replaced, others inserted. Applying a batch twice changes nothing.
+    """Matched keys are replaced, others inserted, by rewriting the table: for small tables.
+    Applying a batch twice changes nothing.
 
     Of several updates for a key the newest by ``order`` counts. One writer at a
     time is assumed.
@@ -261,6 +262,22 @@ def upsert_partitions(
         )
 
 
+BUCKET = "key_bucket"
+
+
+def upsert_buckets(
+    updates: DataFrame, path: str, keys: list[str], order: list[str] | None = None, buckets: int = 16
+) -> None:
+    """Upsert into a table partitioned by a hash of the key: a batch rewrites the buckets its keys
+    fall in. The number of buckets belongs to the table; read it with :func:`read_buckets`."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    upsert_partitions(updates.withColumn(BUCKET, bucket), path, keys, BUCKET, order)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.parquet(path).drop(BUCKET) if has_data(spark, path) else None
+
+
 # --- maintenance --------------------------------------------------------------------
 def folder_bytes(spark: SparkSession, path: str) -> int:
     jvm = spark.sparkContext._jvm

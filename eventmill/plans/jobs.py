@@ -17,6 +17,7 @@ from eventmill.operators import (
     writers,
 )
 from eventmill.schemas import BRONZE_TABLES, GOLD_TABLES, VPC_CLERK, VPC_EVENT
+from eventmill.session import micros, stage
 from eventmill.sources import tables
 from eventmill.sources.tables import Lake
 from eventmill.streaming import medallion, sinks
@@ -75,9 +76,24 @@ def _overwrite(lake: Lake, name: str, df: DataFrame, **kw) -> str:
 
 
 def window_aggregation(lake: Lake, events: DataFrame, campaigns: DataFrame, segments: DataFrame, start, end, created_at=None):
-    """Four metric tables for one window. Running a window again replaces its rows."""
+    """Four metric tables for one window. Running a window again replaces its rows.
+
+    ``customer_first_seen`` holds earlier customers and how far they are known, window by
+    window; only the events since then are read to find those the table lacks.
+    """
+    seen_path = lake.path("gold", "customer_first_seen")
+    label = lake.spark.range(1).select(F.date_format(as_column(start).cast("timestamp"), "yyyyMMddHHmmss")).first()[0]
+    seen = tables.read_if_present(lake.spark, seen_path)
+    since = None
+    if seen is not None:  # a window that is run again doesn't count on itself
+        seen = seen.filter((F.col("window") != label) & (F.col("first_seen") < as_column(start)))
+        since = seen.filter(F.col("until") <= as_column(start)).agg(F.max("until")).first()[0]
+    gap = events.filter(F.col("event_ts") < as_column(start))
+    gap = gap.filter(F.col("event_ts") >= F.lit(since)) if since is not None else gap
+    gap = stage(rollups.first_seen(gap), "first-seen-gap")
+    known = gap.select("customer_id") if seen is None else gap.select("customer_id").union(seen.select("customer_id"))
     results = {
-        "customer_metrics": rollups.window_customer_metrics(events, start, end, created_at),
+        "customer_metrics": rollups.window_customer_metrics(events, start, end, created_at, known),
         "campaign_metrics": rollups.window_campaign_metrics(campaigns, start, end, created_at),
         "event_analytics": rollups.window_event_analytics(events, start, end, created_at),
         "segment_metrics": rollups.window_segment_metrics(events, segments, start, end, created_at),
@@ -86,6 +102,14 @@ def window_aggregation(lake: Lake, events: DataFrame, campaigns: DataFrame, segm
         keys = ["window_start", "window_end"] + [c for c in (documents.DIMENSION[name],) if c]
         dated = df.withColumn("window_date", F.to_date("window_start"))
         writers.upsert_partitions(dated, lake.path("gold", name), keys, "window_date")
+    # one folder per window, so that a window that is run again replaces its customers
+    found = rollups.first_seen(rollups.between(events, "event_ts", start, end)).unionByName(gap)
+    found = found.groupBy("customer_id").agg(F.min("first_seen").alias("first_seen"))
+    if seen is not None:
+        found = found.join(seen.select("customer_id").distinct(), "customer_id", "left_anti")
+    found = stage(found.withColumns({"until": as_column(end).cast("timestamp"), "window": F.lit(label)}), "first-seen")
+    with micros(lake.spark):
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window").parquet(seen_path)
 
 
 def range_aggregation(
@@ -211,12 +235,11 @@ def incident_ingest(
         if partition_unit != "day":
             dated = df.withColumn("date", F.date_trunc(partition_unit, "date").cast("date"))
         writers.write_table(dated, lake.path("bronze", name), "append", partition_by=["date"])
-        writers.upsert(df, lake.path("silver", name), INCIDENT_KEYS[name], ["InsertionTime"])
+        writers.upsert_buckets(df, lake.path("silver", name), INCIDENT_KEYS[name], ["InsertionTime"])
     lookup = lake.path("silver", "IncidentLookup")
     existing = writers.read_current(lake.spark, lookup)
     writers.write_version(nested.incident_lookups(incidents, existing), lookup)
-    for name in ("IncidentLookup", *INCIDENT_KEYS):
-        writers.expire_versions(lake.spark, lake.path("silver", name))
+    writers.expire_versions(lake.spark, lookup)
 
 
 def traffic_ingest(lake: Lake, records: DataFrame, as_of) -> None:

@@ -95,3 +95,19 @@ def test_stored_times_prune(spark, tmp_path):
 
     file = next(ds.dataset(path).get_fragments())
     assert "INT64" in str(file.metadata.schema.column(0).physical_type)
+
+
+def test_first_seen_table_equals_the_whole_history(spark, tables, lake):
+    from eventmill.operators import rollups
+
+    segments = tables.raw("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"))
+    for day in ("2024-01-02", "2024-01-03", "2024-01-03", "2024-01-06", "2024-01-03"):
+        start, end = F.lit(day).cast("timestamp"), F.lit(f"{day} 12:00:00").cast("timestamp")
+        jobs.window_aggregation(lake, tables.events, tables.campaigns, segments, start, end, start)
+        got = spark.read.parquet(lake.path("gold", "customer_metrics")).filter(F.col("window_start") == start)
+        want = rollups.window_customer_metrics(tables.events, start, end, start)
+        assert [tuple(r) for r in got.select(*want.columns).collect()] == [tuple(r) for r in want.collect()]
+    seen = spark.read.parquet(lake.path("gold", "customer_first_seen"))
+    late = F.lit("2024-01-06 12:00:00").cast("timestamp")
+    everyone = tables.events.filter((F.col("event_ts") <= late) & F.col("customer_id").isNotNull())
+    assert seen.select("customer_id").distinct().count() == everyone.select("customer_id").distinct().count()
