@@ -46,7 +46,7 @@ def resolve_revisits(
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html")).withColumns(
         {"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1(F.col("html").cast("binary"))}
     )
-    # the length is part of the digest's group, as it is of the payload's equality
+    # payloads are equal when their SHA-1 is
     headers = rows.filter(F.col("payload_bytes") >= min_bytes).select("payload_digest", "page_id", "url")
     originals = (
         headers.groupBy("payload_digest")
