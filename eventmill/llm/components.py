@@ -42,13 +42,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     whole = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     pair = whole.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges = stage(pair.filter("u != v").distinct(), "links")
-    while True:
-        after = stage(_small(_large(edges)), "links")
-        changed = after.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(
-            after, ["u", "v"], "left_anti"
+    stars = edges.isEmpty()
+    while not stars:
+        edges = stage(_small(_large(edges)), "links")
+        # done when every node has one link, to a node that has none to a smaller one
+        once = edges.groupBy("u").agg(F.count("*").alias("n"))
+        stars = once.filter("n > 1").isEmpty() and edges.join(
+            once.select(F.col("u").alias("v")), "v", "left_semi"
         ).isEmpty()
-        edges = after
-        if changed:
-            break
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

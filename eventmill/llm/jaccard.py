@@ -8,18 +8,19 @@ when d <= r = 0.2. Equal sets are one point. Two kinds of pivots cut the space:
    cell of x is that of its first shingle. If d(x, y) <= r, then |x - y| <= r |x|, so y
    holds one of any floor(r |x|) + 1 shingles of x: x is copied into the cells of that
    many first pivots, which is all the boundary there is, and each linked pair meets in a
-   cell. The order puts shingles last whose share in a count sketch of all texts is
-   large, so passages that many texts share do not crowd cells. Document pivots cannot
-   open the join: nearly all texts are at distance 1 from all of them.
+   cell. The order is that of the hashes, but shingles that stand first in more than
+   COMMON texts come last, the more common the later: passages that many texts share do
+   not crowd cells. They are counted over all texts. Document pivots cannot open the
+   join: nearly all texts are at distance 1 from all of them.
 2. Texts, inside crowded cells, where distances are small. Every text of a region is
    measured against a few pivot texts. It enters the region of pivot j when a lower bound
    of d(x, pj) is at most its distance to its nearest pivot plus r (of a linked pair, the
    one nearer to its pivot has the other within r there). Texts within r of pivot j are
    connected through it and stay in that region only if the triangle inequality allows a
-   link to one that is not. Regions join recursively, with twice the pivots each time,
-   until they are small, whose pairs are all measured.
+   link to one that is not. Regions join recursively, with more pivots each time,
+   until all but a few of their texts are connected; these few are measured against all.
 
-Distances are bounded from below by counts of the sets' hashes in 64 classes, which is a
+Distances are bounded from below by counts of the sets' hashes in 256 classes, which is a
 pivot table of the symmetric difference; only pairs it cannot exclude read the sets. The
 question is which texts are connected, so pairs already connected are not measured.
 Regions are tables and rounds are written; no task holds a whole region.
@@ -35,15 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventmill.llm.components import components
-from eventmill.llm.shingles import set_key, shingle_set
+from eventmill.llm.shingles import set_key, shingle_sets
 from eventmill.session import stage
 
 PERCENT = 80
 SIZE = 5
-SKETCH = 1 << 18  # counters of the sketch; the driver holds one byte of each
-CLASSES = 64
-SMALL = 16  # regions up to this size measure all their open pairs
-_SIG = np.dtype("<u2")
+MOST_SHARED = 1 << 20  # shared shingles that the order may know; a bound of the broadcast
+CLASSES = 256
+COMMON = 16  # a shingle in more texts than this comes late in the order
+FIRST_PIVOTS = 16  # of a crowded region; the next ones get four times as many
+MOST_OUTSIDE = 512  # with up to this many texts outside its largest component a region measures all open pairs
+FEW_IDS = 2_000_000  # ids up to this number are broadcast to pick texts, more are joined
 
 
 def _arrow(kind) -> pa.DataType:
@@ -52,89 +55,94 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def _batches(column, rows: int = 2000) -> Iterator[list]:
+    for at in range(0, len(column), rows):
+        yield column[at : at + rows].to_pylist()
+
+
 def _survey(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, key, sig of every row; and bucket, seen: each task's share of the sketch."""
+    """doc_id, n, key, sig of every row; sig counts the set's hashes by class, up to 255."""
     id_type = docs.schema["doc_id"].dataType
-    schema = pa.schema(
-        [
-            ("doc_id", _arrow(id_type)),
-            ("n", pa.int64()),
-            ("key", pa.binary()),
-            ("sig", pa.binary()),
-            ("bucket", pa.int32()),
-            ("seen", pa.int64()),
-        ]
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int64)
         for batch in batches:
             n, key, sig = [], [], []
-            for text in batch.column("text"):
-                x = shingle_set(text.as_py(), size)
-                n.append(len(x))
-                key.append(set_key(x))
-                sig.append(np.minimum(np.bincount(x & np.uint64(CLASSES - 1), minlength=CLASSES), 65535).astype(_SIG).tobytes())
-                np.add.at(sketch, _bucket(x), 1)
-            none = pa.nulls(batch.num_rows)
+            for texts in _batches(batch.column("text")):
+                for x in shingle_sets(texts, size):
+                    n.append(len(x))
+                    key.append(set_key(x))
+                    counts = np.bincount((x & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+                    sig.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(key), pa.array(sig), none.cast(pa.int32()), none.cast(pa.int64())],
-                schema=schema,
-            )
-        at = np.flatnonzero(sketch)
-        for part in np.array_split(at, max(1, len(at) // 20_000)):
-            none = pa.nulls(len(part))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    none.cast(schema.field(0).type),
-                    none.cast(pa.int64()),
-                    none.cast(pa.binary()),
-                    none.cast(pa.binary()),
-                    pa.array(part.astype(np.int32)),
-                    pa.array(sketch[part]),
-                ],
-                schema=schema,
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
+                names=["doc_id", "n", "key", "sig"],
             )
 
-    return docs.mapInArrow(
-        run, f"doc_id {id_type.simpleString()}, n long, key binary, sig binary, bucket int, seen long"
-    )
+    return docs.mapInArrow(run, f"doc_id {id_type.simpleString()}, n long, key binary, sig binary")
 
 
-def _bucket(x: np.ndarray) -> np.ndarray:
-    return ((x >> np.uint64(20)) & np.uint64(SKETCH - 1)).astype(np.int64)
+def _entered(n: int, percent: int) -> int:
+    """Cells that a set of ``n`` shingles enters: n - ceil(t n) + 1, which is floor(r n) + 1."""
+    return n + (-percent * n // 100) + 1
 
 
-def _levels(survey: DataFrame) -> np.ndarray:
-    """How far, in powers of two, each counter of the sketch is above the mean."""
-    counts = survey.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen"))
-    found = counts.toPandas()  # at most SKETCH rows
-    seen = np.zeros(SKETCH)
-    seen[found["bucket"].to_numpy(np.int64)] = found["seen"].to_numpy(np.float64)
-    mean = max(1.0, seen.sum() / SKETCH)
-    return np.floor(np.log2(np.maximum(seen / mean, 1))).astype(np.uint8)
+def _shared_shingles(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand first, by hash, in more than COMMON texts, and their levels.
 
+    Of each text those are counted that it would enter, and a quarter and 24 more, as the
+    places of common ones go to the next.
+    """
 
-def _cells(docs: DataFrame, levels, size: int, percent: int) -> DataFrame:
-    """cell, k64: each set's first floor(r n) + 1 shingles in the common order."""
-    schema = pa.schema([("cell", pa.int64()), ("k64", pa.int64())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in _batches(batch.column("text")):
+                low = [x[: _entered(len(x), percent) * 5 // 4 + 24] for x in shingle_sets(texts, size)]
+                h, times = np.unique(np.concatenate(low), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], names=["h", "times"])
+
+    counts = docs.select("text").mapInArrow(run, "h long, times long").groupBy("h").agg(F.sum("times").alias("times"))
+    level = F.floor(F.log2("times")).cast("int").alias("level")
+    shared = stage(counts.filter(F.col("times") > COMMON).select("h", level), "jaccard-shared")
+    least, rows = 0, 0
+    for r in sorted(shared.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        rows += r["count"]
+        if rows > MOST_SHARED:
+            least = r["level"] + 1
+            break
+    found = shared.filter(F.col("level") >= least).toPandas()  # at most MOST_SHARED rows
+    h = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["level"].to_numpy(np.uint8)[order]
+
+
+def _first(x: np.ndarray, shared: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The first floor(r n) + 1 shingles in the common order: by level, then by hash."""
+    h, level = shared
+    count = _entered(len(x), percent)
+    if not len(h):
+        return x[:count]
+    at = np.minimum(np.searchsorted(h, x), len(h) - 1)
+    rank = np.where(h[at] == x, level[at], 0)
+    return x[np.argsort(rank, kind="stable")[:count]]
+
+
+def _cells(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
+    """cell, k64: the cells that each set enters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
         for batch in batches:
-            cells, sizes, keys = [], [], []
-            for text in batch.column("text"):
-                x = shingle_set(text.as_py(), size)
-                if len(x):
-                    first = len(x) + (-percent * len(x) // 100) + 1  # n - ceil(t n) + 1
-                    cells.append(x[np.lexsort((x, level[_bucket(x)]))[:first]])
-                    sizes.append(first)
-                    keys.append(int.from_bytes(set_key(x)[:8], "big", signed=True))
-            if cells:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), sizes))],
-                    schema=schema,
-                )
+            for texts in _batches(batch.column("text")):
+                sets = {set_key(x): x for x in shingle_sets(texts, size) if len(x)}
+                if sets:
+                    cells = [_first(x, shared.value, percent) for x in sets.values()]
+                    keys = np.array([int.from_bytes(k[:8], "big", signed=True) for k in sets], np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate(cells).view(np.int64)),
+                            pa.array(np.repeat(keys, [len(c) for c in cells])),
+                        ],
+                        names=["cell", "k64"],
+                    )
 
     return docs.select("text").mapInArrow(run, "cell long, k64 long")
 
@@ -149,11 +157,11 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), _SIG).reshape(-1, CLASSES).astype(np.int64)
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
                 for c in ("sa", "sb")
             )
             n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            apart = np.abs(x - y).sum(1)
+            apart = np.abs(x - y).sum(1, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("a", "b", "na", "nb")] + [pa.array(2 * apart / (n + apart))],
                 names=["a", "b", "na", "nb", "lo"],
@@ -171,14 +179,15 @@ class _Join:
     def _contents(self, nodes: DataFrame) -> DataFrame:
         """node, content: the hashes of the sets of ``nodes``."""
         wanted = self.sets.join(nodes.distinct(), "node", "left_semi").select("node", "key", "doc")
-        ids = wanted.select("doc").distinct()
+        ids = stage(wanted.select("doc").distinct(), "jaccard-ids")
+        ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
         rows = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi").select("text")
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    content = [shingle_set(t.as_py(), size) for t in batch.column("text")[at : at + 500]]
+                for texts in _batches(batch.column("text"), 500):
+                    content = list(shingle_sets(texts, size))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([set_key(x) for x in content]), pa.array([x.tobytes() for x in content], pa.binary())],
                         names=["key", "content"],
@@ -227,23 +236,46 @@ class _Join:
         """Sizes that a link allows."""
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
-    def stars(self, regions: DataFrame) -> DataFrame:
-        """Every text of a region with the region's first text in hash order."""
+    def star(self, regions: DataFrame) -> DataFrame:
+        """Measure every text of a region against the region's first text in hash order and give
+        the regions that remain: texts beyond r of it, and those within that may link to one."""
         rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("n").alias("pn"))
         first = regions.groupBy("region").agg(F.min(rank).alias("p")).select("region", "p.pivot", "p.pn")
-        return self._pairs(regions.join(first, "region"))
+        rows = regions.join(first, "region")
+        told = stage(self._told(rows, self.measure(self._pairs(rows))), "jaccard-told")
+        return self._open(told, ["region"]).select("region", "node", "n")
+
+    def _told(self, rows: DataFrame, known: DataFrame) -> DataFrame:
+        """Texts and pivots with bounds of their distance: lo and hi, both d where it was measured."""
+        ends = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
+        return (
+            rows.filter(F.col("node") != F.col("pivot"))
+            .select("*", *ends)
+            .join(known, ["a", "b"], "left")
+            # sizes alone bound the distance of pairs that were not measured
+            .withColumn("lo", F.coalesce("d", "lo", 1 - F.least("n", "pn") / F.greatest("n", "pn")))
+            .withColumn("hi", F.coalesce("d", F.lit(1.0)))
+            .select("region", "node", "n", "pivot", "lo", "hi", "d")
+        )
+
+    def _open(self, told: DataFrame, region: list[str]) -> DataFrame:
+        """Without the core of a pivot, which is connected, but for texts that may link to one outside it."""
+        core = F.col("hi") <= self.r + 1e-9
+        edge = told.filter(~core).groupBy(*region).agg(F.min("lo").alias("edge"))
+        return told.join(edge, region).filter(~core | (F.col("d") >= F.col("edge") - self.r - 1e-9))
 
     def _pairs(self, rows: DataFrame) -> DataFrame:
         rows = rows.filter((F.col("node") != F.col("pivot")) & self.fits("n", "pn"))
         return rows.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
-    def small(self, regions: DataFrame) -> DataFrame:
-        """Pairs of different components inside regions of at most SMALL texts."""
-        other = regions.select("region", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "component")])
-        both = regions.join(other, "region").filter(
-            (F.col("node") < F.col("o_node")) & (F.col("component") != F.col("o_component")) & self.fits("n", "o_n")
+    def across(self, regions: DataFrame) -> DataFrame:
+        """Pairs of different components: texts outside a region's largest component with all its texts."""
+        outside = regions.filter(F.col("component") != F.col("largest"))
+        outside = outside.select("region", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "component")])
+        both = regions.join(outside, "region").filter(
+            (F.col("component") != F.col("o_component")) & self.fits("n", "o_n")
         )
-        return both.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+        return both.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
     def split(self, regions: DataFrame, pivots: int, turn: int) -> DataFrame:
         """Measure crowded regions against ``pivots`` of their texts and give the regions that remain."""
@@ -255,24 +287,13 @@ class _Join:
         chosen = stage(chosen.select("region", F.inline("p")), "jaccard-pivots")
         rows = regions.join(chosen, "region")
         known = self.measure(self._pairs(rows))
-        ends = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
-        told = (
-            rows.filter(F.col("node") != F.col("pivot"))
-            .select("*", *ends)
-            .join(known, ["a", "b"], "left")
-            # sizes alone bound the distance of pairs that were not measured
-            .withColumn("lo", F.coalesce("d", "lo", 1 - F.least("n", "pn") / F.greatest("n", "pn")))
-            .withColumn("hi", F.coalesce("d", F.lit(1.0)))
-        )
+        told = self._told(rows, known)
         texts = stage(
             told.join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti"), "jaccard-told"
         )
         nearest = texts.groupBy("region", "node").agg(F.min("hi").alias("least"))
         inside = texts.join(nearest, ["region", "node"]).filter(F.col("lo") <= F.col("least") + self.r + 1e-9)
-        core = F.col("hi") <= self.r + 1e-9
-        # the core of a pivot is connected; it stays only to meet texts outside the core
-        edge = inside.filter(~core).groupBy("region", "pivot").agg(F.min("lo").alias("edge"))
-        open_ = inside.join(edge, ["region", "pivot"]).filter(~core | (F.col("d") >= F.col("edge") - self.r - 1e-9))
+        open_ = self._open(inside, ["region", "pivot"])
         # a region that its pivots don't part stays one
         before = texts.select("region", "node").distinct().groupBy("region").agg(F.count("*").alias("was"))
         after = open_.groupBy("region").agg(F.count("*").alias("now"))
@@ -283,23 +304,25 @@ class _Join:
         return apart.union(whole)
 
     def run(self, regions: DataFrame) -> None:
-        self.measure(self.stars(regions))
-        turn, pivots = 0, 4
+        regions = stage(self.star(regions), "jaccard-regions")
+        turn, pivots = 0, FIRST_PIVOTS
         while True:
             groups = components(self.all_links())
             labelled = regions.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            spread = labelled.groupBy("region").agg(
-                F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("texts")
+            sizes = labelled.groupBy("region", "component").agg(F.count("*").alias("texts"))
+            spread = sizes.groupBy("region").agg(
+                F.max_by("component", F.struct("texts", "component")).alias("largest"),
+                (F.sum("texts") - F.max("texts")).alias("outside"),
             )
-            labelled = stage(labelled.join(spread.filter("lo != hi").select("region", "texts"), "region"), "jaccard-regions")
-            crowded = labelled.filter(F.col("texts") > SMALL).select("region", "node", "n")
-            few = self.small(labelled.filter(F.col("texts") <= SMALL))
+            open_ = stage(labelled.join(spread.filter("outside > 0"), "region"), "jaccard-regions")
+            few = self.across(open_.filter(F.col("outside") <= MOST_OUTSIDE))
             if not few.isEmpty():
                 self.measure(few)
+            crowded = open_.filter(F.col("outside") > MOST_OUTSIDE).select("region", "node", "n")
             if crowded.isEmpty():
                 return
             regions = stage(self.split(crowded, pivots, turn), "jaccard-regions")
-            turn, pivots = turn + 1, pivots * 2
+            turn, pivots = turn + 1, pivots * 4
 
 
 def near_duplicates(
@@ -314,8 +337,7 @@ def near_duplicates(
     table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    survey = stage(_survey(rows, size), "jaccard-survey")
-    slim = survey.filter("bucket is null").select("doc_id", "n", "key", "sig")
+    slim = stage(_survey(rows, size), "jaccard-survey")
     sets = stage(
         slim.filter("n > 0")
         .groupBy("key")
@@ -324,12 +346,12 @@ def near_duplicates(
         .withColumn("k64", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")),
         "jaccard-points",
     )
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(survey))
-    emitted = stage(_cells(rows, levels, size, percent), "jaccard-cells")
+    shared = docs.sparkSession.sparkContext.broadcast(_shared_shingles(rows, size, percent))
+    emitted = stage(_cells(rows, shared, size, percent), "jaccard-cells")
     ends = emitted.groupBy("cell").agg(F.min("k64").alias("lo"), F.max("k64").alias("hi"))
-    shared = emitted.join(ends.filter("lo != hi").select("cell"), "cell", "left_semi").distinct()
+    met = emitted.join(ends.filter("lo != hi").select("cell"), "cell", "left_semi").distinct()
     regions = stage(
-        shared.join(sets.select("k64", "node", "n"), "k64").select(F.col("cell").alias("region"), "node", "n"),
+        met.join(sets.select("k64", "node", "n"), "k64").select(F.col("cell").alias("region"), "node", "n"),
         "jaccard-regions",
     )
     join = _Join(rows, sets, size, percent)
