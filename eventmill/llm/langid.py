@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventmill.llm.sampling import sample_rows
+from eventmill.llm.worker_cache import kept
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 2000  # labelled documents that training may take
 SAMPLE_CHARS = 1500  # characters of each, from a place its hash chooses
 SEGMENT = 32
 GROUP_WORDS = 300_000
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 350_000
 HELD_MODULUS, HELD_REMAINDER = 4, 2
 
 
@@ -281,16 +282,6 @@ class Tagger:
             yield group[j][0], keep[span] - firsts[j], post[span]
 
 
-_taggers: dict[str, Tagger] = {}
-
-
-def tagger_of(key: str, model: Model) -> Tagger:
-    if key not in _taggers:
-        _taggers.clear()
-        _taggers[key] = Tagger(model)
-    return _taggers[key]
-
-
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
@@ -347,7 +338,7 @@ def predict(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         k = len(model.labels)
-        tagger = tagger_of(key, model) if k > 1 else None
+        tagger = kept(f"language {key}", lambda: Tagger(model)) if k > 1 else None
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventmill.llm.worker_cache import kept
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 _MARK = "\udc81"  # stands for a blank mark of the text; no valid text holds a lone surrogate
 NORMAL, UNKNOWN, BYTE, BPE = 1, 2, 6, 2
-KNOWN_STRETCHES = 500_000
-KNOWN_PAIRS = 500_000
+KNOWN_STRETCHES = 400_000
+KNOWN_PAIRS = 300_000
 UNKNOWN_PENALTY = 10.0
 _NEVER = (float("inf"), 0)
 #: Letters of the Latin, Greek and Cyrillic blocks, for cutting only.
@@ -250,17 +252,6 @@ class Encoder(dict):
         return b"".join([self[x] for x in self.v.cut.findall(whole)])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(key: str, v: Vocabulary) -> Encoder:
-    """One encoder for each Python worker and vocabulary, whose tables stay between tasks."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(v)
-    return _encoders[key]
-
-
 def decode(ids, v: Vocabulary) -> str:
     """The text of ``ids``; exact for what :class:`Encoder` gives with a byte-complete vocabulary."""
     table = v.text
@@ -289,7 +280,7 @@ def encode_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        encoder = encoder_of(key, v)
+        encoder = kept(f"pieces {key}", lambda: Encoder(v))
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             coded = [encoder.encode(t) for t in texts]
