@@ -43,7 +43,8 @@ PERCENT = 80
 SIZE = 5
 MOST_SHARED = 1 << 20  # shared shingles that the order may know; a bound of the broadcast
 CLASSES = 256
-COMMON = 16  # a shingle in more texts than this comes late in the order
+COMMON = 4  # a shingle in more texts than this comes late in the order
+STARS = 3  # pivots that every region starts with
 FIRST_PIVOTS = 16  # of a crowded region; the next ones get four times as many
 MOST_OUTSIDE = 512  # with up to this many texts outside its largest component a region measures all open pairs
 FEW_IDS = 2_000_000  # ids up to this number are broadcast to pick texts, more are joined
@@ -200,6 +201,8 @@ class _Join:
         """a, b, lo, d, linked of distinct pairs; d is NULL where lo excludes a link."""
         bounded = stage(_bounded(pairs, self.sets), "jaccard-pairs")
         near = bounded.filter(F.col("lo") <= self.r + 1e-9)
+        if near.isEmpty():
+            return bounded.select("a", "b", "lo", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked"))
         nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node")))
         content = self._contents(nodes)
         both = near.join(content.withColumnsRenamed({"node": "a", "content": "x"}), "a").join(
@@ -227,8 +230,8 @@ class _Join:
         return bounded.select("a", "b", "lo").join(exact, ["a", "b"], "left")
 
     def all_links(self) -> DataFrame:
-        found = self.links[0]
-        for more in self.links[1:]:
+        found = self.sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        for more in self.links:
             found = found.union(more)
         return found
 
@@ -236,14 +239,39 @@ class _Join:
         """Sizes that a link allows."""
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
-    def star(self, regions: DataFrame) -> DataFrame:
-        """Measure every text of a region against the region's first text in hash order and give
-        the regions that remain: texts beyond r of it, and those within that may link to one."""
-        rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("n").alias("pn"))
-        first = regions.groupBy("region").agg(F.min(rank).alias("p")).select("region", "p.pivot", "p.pn")
-        rows = regions.join(first, "region")
-        told = stage(self._told(rows, self.measure(self._pairs(rows))), "jaccard-told")
-        return self._open(told, ["region"]).select("region", "node", "n")
+    def labels(self) -> DataFrame:
+        """node, component of linked texts: the smallest text within two links, so equal ones are connected."""
+        links = self.all_links()
+        ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        by_end = near.select(F.col("a").alias("b"), F.col("m").alias("mb"))
+        two = ends.join(by_end, "b").groupBy("a").agg(F.min("mb").alias("mb"))
+        return two.join(near, "a").select(F.col("a").alias("node"), F.least("m", "mb").alias("component"))
+
+    def chosen(self, regions: DataFrame, pivots: int, turn: int) -> DataFrame:
+        """region, pivot, pn: the first texts of each region in ``pivots`` hash orders."""
+        picks = [
+            F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(j)), F.col("node").alias("pivot"), F.col("n").alias("pn")))
+            for j in range(pivots)
+        ]
+        plain = F.transform(F.array(*picks), lambda p: F.struct(p["pivot"].alias("pivot"), p["pn"].alias("pn")))
+        return regions.groupBy("region").agg(F.array_distinct(plain).alias("p")).select("region", F.inline("p"))
+
+    def stars(self, regions: DataFrame) -> DataFrame:
+        """Measure every text of a region against STARS of its texts and give the regions that remain.
+
+        A text goes if it is a pivot, or lies in the core of one so deep that no text outside
+        the core can link to it: what may link to it is connected with it already.
+        """
+        rows = regions.join(self.chosen(regions, STARS, 0), "region")
+        own = F.col("node") == F.col("pivot")
+        told = self._told(rows, self.measure(self._pairs(rows)))
+        core = F.col("hi") <= self.r + 1e-9
+        edges = told.groupBy("region", "pivot").agg(F.min(F.when(~core, F.col("lo"))).alias("edge"))
+        deep = core & (F.col("d") < F.coalesce("edge", F.lit(9.0)) - self.r - 1e-9)
+        gone = told.join(edges, ["region", "pivot"]).filter(deep).select("region", "node")
+        gone = gone.union(rows.filter(own).select("region", "node")).distinct()
+        return regions.join(gone, ["region", "node"], "left_anti")
 
     def _told(self, rows: DataFrame, known: DataFrame) -> DataFrame:
         """Texts and pivots with bounds of their distance: lo and hi, both d where it was measured."""
@@ -279,12 +307,7 @@ class _Join:
 
     def split(self, regions: DataFrame, pivots: int, turn: int) -> DataFrame:
         """Measure crowded regions against ``pivots`` of their texts and give the regions that remain."""
-        picks = [
-            F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(j)), F.col("node").alias("pivot"), F.col("n").alias("pn")))
-            for j in range(pivots)
-        ]
-        chosen = regions.groupBy("region").agg(F.array_distinct(F.transform(F.array(*picks), lambda p: F.struct(p["pivot"].alias("pivot"), p["pn"].alias("pn")))).alias("p"))
-        chosen = stage(chosen.select("region", F.inline("p")), "jaccard-pivots")
+        chosen = stage(self.chosen(regions, pivots, turn), "jaccard-pivots")
         rows = regions.join(chosen, "region")
         known = self.measure(self._pairs(rows))
         told = self._told(rows, known)
@@ -304,20 +327,17 @@ class _Join:
         return apart.union(whole)
 
     def run(self, regions: DataFrame) -> None:
-        regions = stage(self.star(regions), "jaccard-regions")
-        turn, pivots = 0, FIRST_PIVOTS
+        regions = stage(self.stars(regions), "jaccard-regions")
+        turn, pivots = 1, FIRST_PIVOTS
         while True:
-            groups = components(self.all_links())
-            labelled = regions.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            labelled = regions.join(self.labels(), "node", "left").withColumn("component", F.coalesce("component", "node"))
             sizes = labelled.groupBy("region", "component").agg(F.count("*").alias("texts"))
             spread = sizes.groupBy("region").agg(
                 F.max_by("component", F.struct("texts", "component")).alias("largest"),
                 (F.sum("texts") - F.max("texts")).alias("outside"),
             )
             open_ = stage(labelled.join(spread.filter("outside > 0"), "region"), "jaccard-regions")
-            few = self.across(open_.filter(F.col("outside") <= MOST_OUTSIDE))
-            if not few.isEmpty():
-                self.measure(few)
+            self.measure(self.across(open_.filter(F.col("outside") <= MOST_OUTSIDE)))
             crowded = open_.filter(F.col("outside") > MOST_OUTSIDE).select("region", "node", "n")
             if crowded.isEmpty():
                 return
