@@ -36,6 +36,15 @@ BLOCKS = set(
 )
 UNSEEN = set("script style template noscript head title svg math iframe object textarea select button option".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+RAW = set("script style textarea title iframe".split())  # hold text up to their own end tag
+IN_HEAD = set("base link meta title style script noscript template".split())
+OPTION_ENDS = set("select datalist optgroup".split())
+#: Start tags that end SVG and MathML, and where these hold HTML.
+BREAKOUT = set(
+    "b big blockquote body center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li menu nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split()
+)
+HTML_INSIDE = {"foreignobject", "desc", "title", "annotation-xml"}
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
@@ -74,10 +83,19 @@ class Node:
 
 
 class Page(HTMLParser):
-    """Block elements of a page in order, and text blocks as (node, text)."""
+    """Block elements of a page in order, and text blocks as (node, text).
+
+    Unseen elements end by HTML's rules: an option at the next one or its parent's end, a
+    head at the first body content, SVG at HTML that can't be in it, all but raw text where
+    an enclosing block ends. One that holds blocks and is open at the end of the page has no
+    end: the page is read again without it.
+    """
 
-    def __init__(self, html: str | None):
+    def __init__(self, html: str | None, endless: dict[str, int] | None = None):
         super().__init__(convert_charrefs=True)
+        self.endless = endless or {}  # tag -> from which of its elements on it isn't unseen
+        self.begun: Counter = Counter()
+        self.holds_blocks = False
         self.nodes = [Node("html", -1, 0)]
         self.blocks: list[tuple[int, str]] = []
         self.open = [0]  # open block elements
@@ -89,7 +107,11 @@ class Page(HTMLParser):
             self.feed(html or "")
             self.close()
         except AssertionError:  # a declaration the parser has no rule for: read again without them
-            self.__init__(re.sub(r"<!\[[^>]*>?", "", html or ""))
+            self.__init__(re.sub(r"<!\[[^>]*>?", "", html or ""), endless)
+            return
+        if self.unseen and self.holds_blocks and self.unseen[0] not in RAW:
+            self.__init__(html, {**self.endless, self.unseen[0]: self.begun[self.unseen[0]]})
+            return
         self._flush()
 
     def _flush(self) -> None:
@@ -105,15 +127,22 @@ class Page(HTMLParser):
         self.open_tags[self.nodes[self.open.pop()].tag] -= 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in UNSEEN:
-            if not self.unseen or tag == self.unseen[0]:
-                self.unseen.append(tag)
-            return
         if self.unseen:
-            if self.unseen[0] == "head" and tag == "body":
-                self.unseen.clear()
-            else:
+            within = self.unseen[0]
+            if not self._left_by(tag):
+                if tag not in VOID:
+                    self.unseen.append(tag)
+                self.holds_blocks |= tag in BLOCKS
                 return
+            if within == tag == "select":  # inside one it stands for the end tag
+                return
+        if tag == "head" and len(self.open) > 1:
+            return
+        if tag in UNSEEN:
+            self.begun[tag] += 1
+            if self.begun[tag] < self.endless.get(tag, self.begun[tag] + 1):
+                self.unseen, self.holds_blocks = [tag], False
+            return
         if tag == "a":
             self.links += 1
         if tag == "br":
@@ -150,15 +179,49 @@ class Page(HTMLParser):
         self.open_tags[tag] += 1
         self.nodes.append(node)
 
+    def _raw(self) -> bool:
+        return self.unseen[-1] in RAW and self.unseen[0] not in ("svg", "math")
+
+    def _left_by(self, tag: str) -> bool:
+        """Whether a start tag ends the unseen element; inner ones it ends are taken off."""
+        first, last = self.unseen[0], self.unseen[-1]
+        if self._raw():
+            return False
+        if last == "head":
+            left = tag not in IN_HEAD
+        elif first in ("svg", "math"):
+            left = tag in BREAKOUT and not HTML_INSIDE.intersection(self.unseen)
+        elif tag in ("option", "optgroup") and last == "option":
+            self.unseen.pop()
+            left = not self.unseen
+        else:
+            left = (tag == first and tag in ("button", "select")) or (first == "head" and tag == "body")
+        if left:
+            self.unseen.clear()
+        return left
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag == "br" or tag not in VOID | {"svg", "iframe"}:
+        if self.unseen and (tag in UNSEEN or self.unseen[0] in ("svg", "math")) and tag not in BREAKOUT:
+            return
+        if tag == "br" or tag not in VOID | (UNSEEN - {"script", "style", "head"}):
             self.handle_starttag(tag, attrs)
+        elif self.unseen:  # an empty element
+            self._left_by(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if self.unseen:
-            if tag == self.unseen[-1]:
-                self.unseen.pop()
-            return
+            if tag in self.unseen:
+                while self.unseen.pop() != tag:
+                    pass
+                return
+            if self._raw():
+                return
+            if self.unseen == ["option"] and tag in OPTION_ENDS:
+                self.unseen.clear()
+            elif tag in BLOCKS - {"html", "body"} and self.open_tags[tag]:
+                self.unseen.clear()
+            else:
+                return
         if tag == "a":
             self.links = max(0, self.links - 1)
         if tag not in BLOCKS or not self.open_tags[tag]:
@@ -173,6 +236,8 @@ class Page(HTMLParser):
             self._pop()
 
     def handle_data(self, data: str) -> None:
+        if self.unseen == ["head"] and data.strip():
+            self.unseen.clear()
         if not self.unseen:
             self.text.append(data)
             if self.links:

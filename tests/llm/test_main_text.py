@@ -71,3 +71,31 @@ def test_odd_pages(spark):
     assert by[1] == by[2] == by[4] == ""
     assert len(by[6]) == len("long words, again. ") * 60_000 - 1
     assert M.main_text(pages.limit(0)).count() == 0
+
+
+def test_unseen_elements_end_by_the_rules_of_html():
+    article = "<article><p>The text of the article.</p></article>"
+    seen = lambda page: [t for _, t in M.Page(page).blocks]
+    for before in (
+        "<form><datalist id=d><option value=a>A<option value=b>B</datalist></form>",
+        "<datalist><option value=a><option value=b></datalist>",
+        "<datalist><option value=a /><option value=b /></datalist>",
+        "<select><option>A<optgroup label=x><option>B</select>",
+        "<select><option>A<option>B<select>",
+        "<div><select><option>A<option>B</div>",
+        "<div><button type=submit /></div>",
+        "<div><button>Search<button>Find</div>",
+        "<div><object data=x></div>",
+        "<div><svg><g><path d=x></div>",
+        "<svg><path d=x><p></p>",
+        "<div><template><div>x</div></template><noscript><p>y</noscript></div>",
+        "<button>Search",
+        "<object data=x>",
+    ):
+        for start in ("<html><head><title>T</title></head><body>", "<head><title>T</title><meta charset=x>", ""):
+            got = seen(start + before + article)
+            assert "The text of the article." in got and not {"A", "B", "Find", "T", "x", "y"} & set(got), (start, before, got)
+    assert seen("<head><title>T</title>Loose text") == ["Loose text"]
+    assert seen("<p>a</p><textarea><div>b</div>") == ["a"]
+    assert seen("<p>a</p><select><option>b") == ["a"]
+    assert seen("<head><title>T</title><noscript><img src=x>n</noscript><script>s</script></head><p>a") == ["a"]
