@@ -2,8 +2,9 @@
 
 A word's features are its affixes, character n-grams, and its entry in the lexicon of
 words seen in training; transitions between word labels are learned with them. Training
-takes a bounded sample of labelled documents, cut into stretches and strung together
-across languages, so that it sees switches. Forward-backward then gives every word of a
+takes a bounded sample of labelled documents, drawn for each language of all labelled rows
+and among distinct texts, cut into stretches and strung together across languages, so that
+it sees switches. Forward-backward then gives every word of a
 text, code-switched or not, a distribution over languages; the mean over its words is the
 text's. Nothing but the text enters a prediction.
 
@@ -24,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventmill.llm.sampling import sample_rows
 from eventmill.llm.worker_cache import kept
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 2000  # labelled documents that training may take
+SAMPLE_DOCS = 2000  # labelled documents that training may take, shared out evenly to the languages
+LEAST_DOCS = 20  # of each language, however many there are
 SAMPLE_CHARS = 1500  # characters of each, from a place its hash chooses
 SEGMENT = 32
 GROUP_WORDS = 300_000
 KNOWN_WORDS = 350_000
+_SPAN = 1 << 30
 HELD_MODULUS, HELD_REMAINDER = 4, 2
 
 
@@ -289,16 +291,37 @@ def has_letter(text: str | None) -> bool:
 def labelled_sample(
     docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_limit: int = SAMPLE_DOCS
 ) -> list[tuple[str, str]]:
-    """At most ``docs_limit`` (text, language) pairs of documents that aren't held out, chosen by hash."""
+    """(text, language) pairs of documents that aren't held out, the same number for each language.
+
+    Languages are counted over all rows whose text has letters. Each gets its share of
+    ``docs_limit`` distinct texts, ``LEAST_DOCS`` at least, chosen by hash, or all it has.
+    """
     row = docs.select(
         F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y")
     )
-    learn = row.filter("t is not null and y is not null").filter(~is_held_out(F.col("i")))
-    h = F.xxhash64("i", "t")
+    learn = row.filter("y is not null").filter(F.col("t").rlike(r"\p{L}")).filter(~is_held_out(F.col("i")))
+    learn = learn.withColumn("h", F.xxhash64("t")).withColumn("drawn", F.pmod("h", F.lit(_SPAN)))
+    texts = {r.y: r.n for r in learn.groupBy("y").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not texts:
+        return []
+    quota = max(LEAST_DOCS, docs_limit // len(texts))
+    spark = docs.sparkSession
+    shares = [(y, int(min(1.0, (1.5 * quota + 20) / max(1, n)) * _SPAN) + 1) for y, n in texts.items()]
+    near = learn.join(F.broadcast(spark.createDataFrame(shares, "y string, below long")), "y").filter("drawn < below")
+    # one row of each text, whatever its copies
+    one = near.groupBy("y", "drawn", "h").agg(F.min(F.xxhash64("i", "t")).alias("r")).collect()
+    chosen, taken = [], Counter()
+    for r in sorted(one):
+        if taken[r.y] < quota:
+            taken[r.y] += 1
+            chosen.append((r.y, r.h, r.r))
+    wanted = F.broadcast(spark.createDataFrame(chosen, "y string, h long, r long"))
     room = F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1
-    part = F.substring(F.col("t"), (F.pmod(h, room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    rows = sample_rows(learn.select(part.alias("t"), "y", h.alias("h")), F.col("h"), docs_limit)
-    return [(r.t, r.y) for r in rows]
+    part = F.substring(F.col("t"), (F.pmod("h", room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    lettered = F.substring(F.regexp_replace("t", r"^\P{L}+", ""), 1, SAMPLE_CHARS)
+    rows = near.withColumn("r", F.xxhash64("i", "t")).join(wanted, ["y", "h", "r"]).dropDuplicates(["y", "h"])
+    rows = rows.select(F.when(part.rlike(r"\p{L}"), part).otherwise(lettered).alias("t"), "y", "drawn", "h")
+    return [(r.t, r.y) for r in sorted(rows.collect(), key=lambda r: (r.drawn, r.h, r.y))]
 
 
 def is_held_out(doc_id) -> F.Column:

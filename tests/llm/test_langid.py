@@ -76,3 +76,17 @@ def test_small_tables_give_the_same(monkeypatch):
     monkeypatch.setattr(L, "KNOWN_WORDS", 3)
     got = {i: p for i, _, p in L.Tagger(model).tag(texts)}
     assert want.keys() == got.keys() and all(np.allclose(want[i], got[i], atol=1e-6) for i in want)
+
+
+def test_every_language_gets_its_documents(spark):
+    rows = [(i, f"the cat number {'abcdefghij'[i % 10]} and the dog {chr(97 + i // 10 % 26)} ran {chr(97 + i // 260)}", "en") for i in range(800)]
+    rows += [(i, "one text that was copied again and again", "en") for i in range(800, 1600)]
+    rows += [(i, f"12 34 {chr(97 + i % 26)}lempi talo ja metsä", "fi") for i in range(2000, 2012)]
+    rows += [(i, "1 2 3", "xx") for i in range(3000, 3040)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = L.labelled_sample(docs, "doc_id", "text", "lang", 100)
+    finnish = {r[1] for r in rows if r[2] == "fi" and zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert {t for t, y in sample if y == "fi"} == finnish
+    assert sum(y == "en" for _, y in sample) == 50 and len(set(sample)) == len(sample)
+    assert {y for _, y in sample} == {"en", "fi"}
+    assert "fi" in {r.lang_pred for r in L.identify(docs).filter("doc_id between 2000 and 2999").collect()}
