@@ -35,6 +35,8 @@ SEGMENT = 32
 GROUP_WORDS = 300_000
 KNOWN_WORDS = 350_000
 _SPAN = 1 << 30
+SURE = 0.7  # of the way from chance to certainty: the mean certainty of words a learned language has at least
+ENOUGH = 20  # letters; shorter texts say too little to be told from all learned languages
 HELD_MODULUS, HELD_REMAINDER = 4, 2
 
 
@@ -335,26 +337,41 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(labelled_sample(docs, id_col, text_col, lang_col))
 
 
+def _certainty(text: str, post: np.ndarray) -> float:
+    """Mean over the words of their largest posterior; 1 for texts that say too little."""
+    if len(post) < ENOUGH and sum(c.isalpha() for c in text) < ENOUGH:
+        return 1.0
+    return float(post.max(1).mean())
+
+
 def predict(
-    docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", runs: bool = False
+    docs: DataFrame,
+    model: Model,
+    keep: list[str] | None = None,
+    text_col: str = "text",
+    runs: bool = False,
+    certainty: bool = False,
 ) -> DataFrame:
     """Columns ``keep`` (doc_id) of each row, lang_pred, score, and with ``runs`` the label runs.
 
     lang_pred is the language with the largest mean posterior over the text's words, score
     that mean; NULL texts and texts without letters are ``und`` with score 0. With one
     language learned all others are it, with score 1; with none, ``und``. A run is (lang,
-    first token, tokens) over the white-space tokens with letters. Repeated rows are rows
-    of their own; other columns are not read.
+    first token, tokens) over the white-space tokens with letters. ``certainty`` adds the
+    mean over the words of their largest posterior: low where no learned language fits, high
+    in texts that switch between learned ones; NULL without letters, 1 where there is nothing
+    to tell apart. Repeated rows are rows of their own; other columns are not read.
     """
     keep = ["doc_id"] if keep is None else keep
     held = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)], F.col(text_col).alias("_text"))
     shared, key = docs.sparkSession.sparkContext.broadcast(model), model.key
-    names = [*held, "lang_pred", "score"] + ["runs"] * runs
+    names = [*held, "lang_pred", "score"] + ["runs"] * runs + ["certainty"] * certainty
     schema = ", ".join(
         [f"{h} {rows.schema[h].dataType.simpleString()}" for h in held]
         + ["lang_pred string", "score double"]
         + ["runs array<struct<lang:string,first:long,tokens:long>>"] * runs
+        + ["certainty double"] * certainty
     )
     run_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("tokens", pa.int64())]))
 
@@ -366,6 +383,7 @@ def predict(
             texts = batch.column("_text").to_pylist()
             pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             spans: list[list[dict]] = [[] for _ in texts]
+            certain = [1.0 if has_letter(t) else None for t in texts] if certainty else []
             if k == 1:
                 sure = [has_letter(t) for t in texts]
                 pred = [model.labels[0] if s else UNKNOWN for s in sure]
@@ -374,6 +392,8 @@ def predict(
                 mean = post.mean(0)
                 best = int(mean.argmax())
                 pred[i], score[i] = model.labels[best], min(1.0, float(mean[best]))
+                if certainty:
+                    certain[i] = _certainty(texts[i], post)
                 if runs:
                     y = post.argmax(1)
                     cuts = np.flatnonzero(np.diff(y)) + 1
@@ -382,6 +402,7 @@ def predict(
                         spans[i].append({"lang": model.labels[y[part[0]]], "first": first, "tokens": last - first + 1})
             added = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             added += [pa.array(spans, run_type)] * runs
+            added += [pa.array(certain, pa.float64())] * certainty
             yield pa.RecordBatch.from_arrays([*[batch.column(h) for h in held], *added], names=names)
 
     told = rows.mapInArrow(run, schema)
@@ -399,10 +420,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def drop_unidentified(
     docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """``docs`` without the rows that have no language, or one with a score below ``least``."""
+    """``docs`` without texts in none of the learned languages, without letters, or with a score below ``least``.
+
+    In a text of a learned language, or of several, words are certain of theirs; where none
+    fits they stay near chance. A text goes if the mean certainty of its words is less than
+    ``SURE`` of the way from chance to 1. Texts of fewer than ``ENOUGH`` letters stay, and all
+    texts with letters where fewer than two languages are learned.
+    """
     model = fit(docs, id_col, text_col, lang_col)
+    chance = 1 / max(2, len(model.labels))
     place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(c).alias(p) for c, p in place.items()])
-    told = predict(plain, model, list(place.values()), place[text_col])
-    kept = told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    told = predict(plain, model, list(place.values()), place[text_col], certainty=True)
+    kept = told.filter((F.col("certainty") >= chance + SURE * (1 - chance)) & (F.col("score") >= least))
     return kept.select(*[F.col(p).alias(c) for c, p in place.items()])

@@ -1,3 +1,5 @@
+import zlib
+
 import corpus_pipeline
 from tests.llm import test_contamination, test_jaccard
 
@@ -44,3 +46,27 @@ def test_odd_and_empty_input(spark, sf_dir, odd_docs, no_docs):
         for _, step in corpus_pipeline.STAGES:
             docs = step(spark, docs, sf_dir)
         assert docs.count() <= len(rows)
+
+
+def test_language_stage_decides(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    texts = {r.lang: r.text for r in docs.filter("n_chars > 400").collect()}
+    foreign = {
+        -1: "Все люди рождаются свободными и равными в своем достоинстве и правах Они наделены разумом и совестью",
+        -2: "Minden emberi lény szabadon születik és egyenlő méltósága és joga van Az emberek ésszel és lelkiismerettel bírván",
+        -3: "日本国民は正当に選挙された国会における代表者を通じて行動し",
+    }
+    mixed = " ".join(texts["en"].split()[:40] + texts["de"].split()[:40])
+    more = spark.createDataFrame([*((i, t, None) for i, t in foreign.items()), (-4, mixed, None)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.union(more), sf_dir).collect()}
+    assert not kept & set(foreign) and -4 in kept
+    assert {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} <= kept
+
+
+def test_language_stage_without_labels(spark, sf_dir):
+    rows = [(1, "a clean document", None), (2, "12 34", None), (3, None, None), (4, "", None)]
+    held = next(i for i in range(5, 50) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for more in ([], [(held, "noch ein text", "de")]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+        kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf_dir).collect()}
+        assert kept == {1, *(i for i, _, _ in more)}
