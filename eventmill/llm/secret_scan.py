@@ -3,14 +3,16 @@
 One pass over the texts finds the spans of three patterns and every candidate: a run of
 token characters with a digit, cut into tiles with the characters around them. Candidates
 inside pattern spans are labelled findings, all others labelled negatives. A bounded
-sample of both trains the network; a quarter of it, never trained on, calibrates its
-scores and sets the threshold: the highest that keeps the demanded share of findings.
-Candidates above it that no pattern found are added; pattern spans always stay.
+sample of both trains the network. It then scores every candidate over all its tiles; the
+histogram of these scores over the whole table calibrates them and sets the threshold: the
+highest that keeps the demanded share of all findings. Candidates above it that no pattern
+found are added; pattern spans always stay.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +39,7 @@ BEFORE, TILE, AFTER, STEP = 24, 48, 8, 24
 WIDTH = BEFORE + TILE + AFTER
 SAMPLE = 2000  # labelled rows of each class that training may take
 RECALL = 0.99
+BINS, FAR = 256, 64.0  # bins of a unit of the network's output, and where they end
 CLASSES = 98
 _TILE = pa.list_(pa.binary())
 _FOUND = "base array<struct<kind:string,start:long,end:long>>, candidates array<struct<start:long,end:long,label:int,tiles:array<binary>>>"
@@ -88,6 +91,7 @@ class Network:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    cut: float = 0.0  # the threshold as an output of the network
 
     def _windows(self, codes: np.ndarray) -> np.ndarray:
         inside = (codes >= 128).astype(np.float32)[..., None]
@@ -101,7 +105,39 @@ class Network:
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
         """Calibrated probabilities."""
-        return 1 / (1 + np.exp(-(self.scale * self.logits(codes) + self.shift)))
+        return self.calibrated(self.logits(codes))
+
+    def calibrated(self, logits: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.scale * logits + self.shift)))
+
+    def best(self, candidates: list[list[bytes]]) -> np.ndarray:
+        """Largest output over all tiles of each candidate."""
+        if not candidates:
+            return np.empty(0)
+        ends = np.cumsum([len(c) for c in candidates])
+        flat = np.frombuffer(b"".join(t for c in candidates for t in c), np.uint8).reshape(-1, WIDTH)
+        out = np.concatenate([self.logits(flat[k : k + 2000]) for k in range(0, len(flat), 2000)]).astype(np.float64)
+        return np.maximum.reduceat(out, np.concatenate([[0], ends[:-1]]))
+
+    def settle(self, logit: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float) -> None:
+        """Platt scaling and threshold from ``n`` candidates of each output and label.
+
+        Newton steps with a weak pull to the identity; the cut is the largest of the outputs
+        that leaves at most ``1 - recall`` of the findings below it.
+        """
+        a, b = 1.0, 0.0
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(a * logit + b)))
+            g = np.array([(n * (p - y) * logit).sum() + 0.1 * (a - 1), (n * (p - y)).sum() + 0.1 * b])
+            s = n * p * (1 - p)
+            hess = np.array([[(s * logit**2).sum() + 0.1, (s * logit).sum()], [(s * logit).sum(), s.sum() + 0.1]])
+            a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, g), -1, 1)
+        self.scale, self.shift = float(max(a, 1e-3)), float(b)
+        order = np.argsort(logit[y == 1], kind="stable")
+        found, of = logit[y == 1][order], n[y == 1][order]
+        below = np.cumsum(of) - of
+        self.cut = float(found[below <= np.floor((1 - recall) * of.sum())].max())
+        self.threshold = float(self.calibrated(np.float64(self.cut)))
 
 
 def _gradients(net: Network, codes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -158,16 +194,7 @@ def train(
             v += 0.001 * (g * g - v)
             net.weights[k] -= (0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     logit, y = net.logits(codes[held]).astype(np.float64), labels[held].astype(np.float64)
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Platt scaling by Newton steps, with a weak pull to the identity
-        p = 1 / (1 + np.exp(-(a * logit + b)))
-        g = np.array([((p - y) * logit).sum() + 0.1 * (a - 1), (p - y).sum() + 0.1 * b])
-        s = p * (1 - p)
-        hess = np.array([[(s * logit**2).sum() + 0.1, (s * logit).sum()], [(s * logit).sum(), s.sum() + 0.1]])
-        a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, g), -1, 1)
-    net.scale, net.shift = float(max(a, 1e-3)), float(b)
-    found = np.sort(net.scores(codes[held])[y == 1])
-    net.threshold = float(found[int(np.floor((1 - recall) * len(found)))])
+    net.settle(logit, y, np.ones(len(y)), recall)
     return net
 
 
@@ -211,6 +238,29 @@ def labelled_tiles(scanned: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray
     return codes, np.array([r.label for r in rows], np.int64)
 
 
+def settle_over_all(scanned: DataFrame, net: Network, recall: float = RECALL) -> None:
+    """Calibrate ``net`` and set its threshold by all candidates of the table, each over all its tiles."""
+    shared = scanned.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        seen: Counter = Counter()
+        for batch in batches:
+            each = [c for found in batch.column("candidates").to_pylist() for c in found]
+            for at in range(0, len(each), 500):
+                part = each[at : at + 500]
+                bins = np.floor(np.clip(net.best([c["tiles"] for c in part]), -FAR, FAR) * BINS).astype(np.int64)
+                seen.update(zip([c["label"] for c in part], bins.tolist(), strict=True))
+        label, at = [k[0] for k in seen], [k[1] for k in seen]
+        columns = [pa.array(label, pa.int32()), pa.array(at, pa.int64()), pa.array(list(seen.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["label", "bin", "n"])
+
+    bins = scanned.select("candidates").mapInArrow(run, "label int, bin long, n long")
+    rows = sorted(bins.groupBy("label", "bin").agg(F.sum("n").alias("n")).collect())  # at most 4 * BINS * FAR rows
+    y, at, n = (np.array([r[i] for r in rows], np.float64) for i in range(3))
+    net.settle(at / BINS, y, n, recall)
+
+
 def find_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, recall: float = RECALL
 ) -> DataFrame:
@@ -224,6 +274,8 @@ def find_secrets(
     scanned = stage(_scan(docs, id_col, text_col), "secrets")
     codes, labels = labelled_tiles(scanned, sample)
     net = train(codes, labels, recall) if len(set(labels)) == 2 else None
+    if net:
+        settle_over_all(scanned, net, recall)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = scanned.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
@@ -236,12 +288,10 @@ def find_secrets(
             new = [(i, c) for i, found in enumerate(candidates) for c in found if not c["label"]] if net else []
             for at in range(0, len(new), 500):
                 part = new[at : at + 500]
-                ends = np.cumsum([len(c["tiles"]) for _, c in part])
-                flat = np.frombuffer(b"".join(t for _, c in part for t in c["tiles"]), np.uint8).reshape(-1, WIDTH)
-                scores = np.concatenate([net.scores(flat[k : k + 2000]) for k in range(0, len(flat), 2000)])
-                best = np.maximum.reduceat(scores, np.concatenate([[0], ends[:-1]]))
-                for (i, c), score in zip(part, best.tolist(), strict=True):
-                    if score >= net.threshold:
+                best = net.best([c["tiles"] for _, c in part])
+                scores = net.calibrated(best)
+                for (i, c), logit, score in zip(part, best.tolist(), scores.tolist(), strict=True):
+                    if logit >= net.cut:
                         out[i].append({"kind": "model", "start": c["start"], "end": c["end"], "score": score})
             spans = [sorted(x, key=lambda s: (s["start"], KINDS.index(s["kind"]))) for x in out]
             yield pa.RecordBatch.from_arrays(

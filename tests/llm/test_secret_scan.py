@@ -84,3 +84,30 @@ def test_network_is_calibrated_and_keeps_recall():
 def test_odd_rows(odd_docs, no_docs):
     assert S.report(S.find_secrets(odd_docs)).count() == odd_docs.count()
     assert S.report(S.find_secrets(no_docs)).count() == 0
+
+
+def test_threshold_and_calibration_cover_the_whole_table(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        body = "".join(rng.choices("0123456789GHJKMN", k=rng.choice((14, 70, 130))))
+        rows.append((i, f"words {'password=' if i % 20 == 0 else 'number '}{body} end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nets, train = [], S.train
+
+    def short(*args):  # hardly trained: both classes overlap
+        nets.append(train(*args, steps=3))
+        return nets[-1]
+
+    monkeypatch.setattr(S, "train", short)
+    S.find_secrets(docs, sample=12, recall=0.9).count()
+    net = nets[0]
+    found = [c for r in S._scan(docs, "doc_id", "text").collect() for c in r.candidates]
+    best = net.best([[bytes(t) for t in c.tiles] for c in found])
+    label = np.array([c.label for c in found])
+    assert label.sum() == 20 and (label == 0).sum() == 380
+    assert abs(net.calibrated(best).mean() - label.mean()) < 0.01
+    kept = (best[label == 1] >= net.cut).sum()
+    assert kept >= 18 and (best[label == 1] >= net.cut + 2 / S.BINS).sum() <= 18
