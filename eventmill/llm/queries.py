@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventmill.llm import contamination, dedup, jaccard, langid, main_text, pieces, secret_scan, sharding, suffix_tree, warc
+from eventmill.llm import (
+    contamination,
+    dedup,
+    filter_audit,
+    jaccard,
+    langid,
+    main_text,
+    pieces,
+    secret_scan,
+    sharding,
+    suffix_tree,
+    warc,
+)
 from eventmill.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +136,8 @@ def op9(spark, sf_dir):
 @register("op10_main_text")
 def op10(spark, sf_dir):
     return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@register("op11_filter_audit", filter_audit.ORACLE)
+def op11(spark, sf_dir):
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
