@@ -19,6 +19,7 @@ from eventmill.llm import (
     secret_scan,
     sharding,
     suffix_tree,
+    token_alignment,
     warc,
 )
 from eventmill.session import shared_dir
@@ -141,3 +142,8 @@ def op10(spark, sf_dir):
 @register("op11_filter_audit", filter_audit.ORACLE)
 def op11(spark, sf_dir):
     return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op12_cross_tokenizer")
+def op12(spark, sf_dir):
+    return token_alignment.cross_alignment(table(spark, sf_dir, "documents"))

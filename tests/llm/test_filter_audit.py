@@ -14,8 +14,8 @@ def brute(docs, labels):
     for i, text, _ in docs:
         if i is not None:
             first[text or ""] = min(i, first.get(text or "", i))
-    good = {i for i, q, _ in labels if q == 1}
-    bad = {i for i, _, x in labels if x == 1}
+    good = {i for i, q, _ in labels if q == 1} - {None}
+    bad = {i for i, _, x in labels if x == 1} - {None}
     for i, text, part in docs:
         t = text or ""
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
