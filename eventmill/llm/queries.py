@@ -20,6 +20,7 @@ from eventmill.llm import (
     sharding,
     suffix_tree,
     token_alignment,
+    toxicity,
     warc,
 )
 from eventmill.session import shared_dir
@@ -147,3 +148,8 @@ def op11(spark, sf_dir):
 @register("op12_cross_tokenizer")
 def op12(spark, sf_dir):
     return token_alignment.cross_alignment(table(spark, sf_dir, "documents"))
+
+
+@register("op13_toxicity")
+def op13(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
