@@ -14,7 +14,9 @@ corpus, and that is what the counts sent to the driver and back are bounded by.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,8 +43,18 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Fixed value: how a byte-level BPE of this family cuts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_FAR = re.compile("[^\x00-\u024f]")  # beyond the Latin blocks engines may disagree on classes
+_LONG = re.compile(r"\S{2000}|\s{2000}")
+
+
 def byte_level(path: str) -> tuple[list[bytes], Callable[[list[str]], list[list[int]]]]:
-    """Bytes of every id of a byte-level BPE, and its encoder; special tokens' strings are plain text."""
+    """Bytes of every id of a byte-level BPE, and its encoder; special tokens' strings are plain text.
+
+    Where the ids of the file are in the order of its merges, Latin texts go through an engine
+    that merges by rank and is several times as fast; tests hold its ids against the other's.
+    """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -51,7 +63,33 @@ def byte_level(path: str) -> tuple[list[bytes], Callable[[list[str]], list[list[
     alphabet = byte_alphabet()
     names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
     decoded = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in names]
-    return decoded, lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    by_rank = ranked(path, alphabet)
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        quick = [by_rank is not None and not _FAR.search(t) and not _LONG.search(t) for t in texts]
+        rest = iter(tokenizer.encode_batch_fast([t for t, q in zip(texts, quick, strict=True) if not q], add_special_tokens=False))
+        return [by_rank.encode_ordinary(t) if q else next(rest).ids for t, q in zip(texts, quick, strict=True)]
+
+    return decoded, encode
+
+
+def ranked(path: str, alphabet: dict[str, int]):
+    """The file's merges as ranks, or None if it is another kind of tokenizer."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, cut = file["model"], file.get("pre_tokenizer") or {}
+    if file.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    if model.get("type") != "BPE" or model.get("ignore_merges") or model.get("dropout"):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    single = sorted(i for t, i in model["vocab"].items() if len(t) == 1)
+    if single != list(range(256)) or [model["vocab"].get(a + b) for a, b in merges] != list(range(256, 256 + len(merges))):
+        return None
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merges)}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def pieces(path: str) -> tuple[list[bytes], Callable[[list[str]], list[list[int]]]]:

@@ -82,11 +82,12 @@ def fold(text: str) -> str:
 
 
 _CLASS = _class_table()
+_CLASS_OF = {chr(i): int(k) for i, k in enumerate(_CLASS)}
 
 
 def class_of(c: str) -> int:
-    code = ord(c)
-    return int(_CLASS[code]) if code < 0x250 else OTHER if c.isalnum() else EDGE
+    known = _CLASS_OF.get(c)
+    return known if known is not None else OTHER if c.isalnum() else EDGE
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -155,6 +156,16 @@ def restore(raw: str, log: list[list[float]]) -> str:
     return "".join(reversed(out))
 
 
+def spelled(word: str, log: list[list[float]]) -> float:
+    """Log probability of a word of letters and digits."""
+    state, total = 0, 0.0
+    for c in word:
+        k = class_of(c)
+        total += log[state][k]
+        state = (state % (CLASSES * CLASSES)) * CLASSES + k
+    return total + log[state][EDGE]
+
+
 _TAIL = re.compile(r"[!$@*+|#%&=~]{2,}$")
 
 
@@ -163,9 +174,14 @@ def words_of(token: str, log: list[list[float]]) -> list[str]:
     plain = _TAIL.sub("", fold(token).strip(_OUTER)).rstrip("!")
     if not any(map(str.isalpha, plain)):
         return []
-    if _MARKED.search(plain):
-        return restore(plain, log).split()
-    return [plain]
+    marks = _MARKED.findall(plain)
+    if not marks:
+        return [plain]
+    if len(marks) == 1 and marks[0] and plain.isalpha() and marks[0] * 3 not in plain:
+        # the lattice of one doubled letter has two ways
+        once = plain.replace(marks[0] * 2, marks[0])
+        return [once if spelled(once, log) + AGAIN > spelled(plain, log) else plain]
+    return restore(plain, log).split()
 
 
 class Grams:
@@ -196,9 +212,19 @@ class Grams:
 
 
 def tokens_of(text: str) -> set[str]:
-    """Distinct tokens of a text and the stretches of single letters in it."""
-    low = text.lower()
-    return set(low.split()).union(_SPACED.findall(low))
+    """Distinct tokens of a text and the stretches of three single characters and more in it."""
+    tokens = text.lower().split()
+    found, held, last = set(tokens), [], -1
+    short = [i for i, t in enumerate(tokens) if len(t) < 3 and len(t.strip(_OUTER)) == 1]
+    for i in [*short, -2]:
+        if i != last + 1:
+            if len(held) > 2:
+                found.add(" ".join(held))
+            held = []
+        if i >= 0:
+            held.append(tokens[i])
+        last = i
+    return found
 
 
 def restore_text(text: str | None, log: list[list[float]]) -> str:
@@ -374,12 +400,22 @@ class Scorer(dict):
             self[t] = own or None
             at += len(found)
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> Iterator[float]:
+        """Of texts, whose new tokens are learned together, about ``PIECE_CHARS`` at a time."""
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            held.append(tokens_of(text) if text else set())
+            size += len(text or "")
+            if size >= PIECE_CHARS or k == len(texts) - 1:
+                self.learn(set().union(*held))
+                yield from map(self.score, held)
+                held, size = [], 0
+
+    def score(self, tokens: set[str]) -> float:
+        """Of a text by its tokens, all of them learned."""
         m = self.model
         if not m.learned:
             return m.base
-        tokens = tokens_of(text) if text else set()
-        self.learn(tokens)
         words = {w: rows for t in tokens if (held := self[t]) for w, rows in held}
         z = m.constant
         if words:
@@ -495,7 +531,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = kept(f"toxicity {key}", lambda: Scorer(shared.value))
         for batch in batches:
-            found = [scorer.score(t) for t in batch.column("_text").to_pylist()]
+            found = list(scorer.scores(batch.column("_text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     scored = rows.mapInArrow(run, "doc_id long, score double")

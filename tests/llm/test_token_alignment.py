@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 from collections import Counter
@@ -13,6 +14,30 @@ def v():
     return ta.load(ta.TOKENIZER_A, ta.TOKENIZER_B)
 
 
+@functools.cache
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(ta.TOKENIZER_A)
+    t.encode_special_tokens = True
+    return t
+
+
+def plain(text):
+    """Ids by the file's own library."""
+    return library().encode(text, add_special_tokens=False).ids
+
+
+def test_engines_agree(v):
+    chars = [chr(c) for c in range(0x250)]
+    texts = [f"a{c}b {c}{c} 1{c}2  {c} x{c}" for c in chars] + [f" don't{c}'ll it'S {c}\n\n{c} " for c in chars]
+    rng = random.Random(4)
+    texts += ["".join(rng.choices(chars[:256] + list(" \n\t'stre") * 30, k=200)) for _ in range(200)]
+    texts += ["a" * 5000, " " * 5000, "日本 \u2003 x", "<|endoftext|>"]
+    assert v.encode_a(texts) == [plain(t) for t in texts]
+    assert ta.ranked(ta.TOKENIZER_A, ta.byte_alphabet()) is not None
+
+
 def spans(ids, table):
     out, at = [], 0
     for i in ids:
@@ -35,7 +60,7 @@ def brute(rows, v):
     """The query's rows, token by token, with plain calls of the tokenizers."""
     tokens, links = [], Counter()
     for _, text in rows:
-        x, y = ([], []) if not text else (v.encode_a([" " + text])[0], v.encode_b([text])[0])
+        x, y = ([], []) if not text else (plain(" " + text), v.encode_b([text])[0])
         if b"".join(v.a[i] for i in x) != (" " + (text or "")).encode() or b"".join(v.b[i] for i in y) != (" " + (text or "")).encode():
             x, y = [], []
         own = [(i, j) for i, (_, e) in zip(x, spans(x, v.a), strict=True) for j, (_, f) in zip(y, spans(y, v.b), strict=True) if e == f]
