@@ -78,9 +78,13 @@ def fold(text: str) -> str:
     """Lower case without accents."""
     if text.isascii():
         return text.lower()
+    if _LATIN and max(text) < "\u0250":
+        return text.translate(_LATIN)
     return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
 
 
+_LATIN: dict[int, str] = {}
+_LATIN = {code: fold(chr(code)) for code in range(0x250)}
 _CLASS = _class_table()
 _CLASS_OF = {chr(i): int(k) for i, k in enumerate(_CLASS)}
 
@@ -375,29 +379,29 @@ class Model:
         return cls(log, np.full(BUCKETS, -1, np.int32), np.zeros((0, LEVELS + 1)), 0.0, base, False)
 
 
-class Scorer(dict):
-    """Token -> its restored words that hold features, with these; bounded."""
+class Scorer:
+    """Tokens met so far, and of those that hold features their words with these; bounded."""
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model, self.wanted = model, model.place >= 0
+        self.met: set[str] = set()
+        self.telling: dict[str, list[tuple[str, list[int]]]] = {}
 
     def learn(self, tokens: set[str]) -> None:
         """The new ones among the tokens, all at once."""
-        new = [t for t in tokens if t not in self]
-        if len(self) + len(new) > KNOWN_WORDS:
-            self.clear()
-            new = list(tokens)
+        new = tokens - self.met
+        if len(self.met) + len(new) > KNOWN_WORDS:
+            self.met, self.telling, new = set(), {}, tokens
+        self.met |= new
         words = [words_of(t, self.model.log) for t in new]
-        flat = [w for found in words for w in found]
-        word, bucket = Grams(flat).of(self.wanted)
-        telling: dict[int, list[int]] = {}
+        word, bucket = Grams([w for found in words for w in found]).of(self.wanted)
+        rows: dict[int, list[int]] = {}
         for w, p in zip(word.tolist(), self.model.place[bucket].tolist(), strict=True):
-            telling.setdefault(w, []).append(p)
+            rows.setdefault(w, []).append(p)
         at = 0
         for t, found in zip(new, words, strict=True):
-            own = [(w, telling[at + k]) for k, w in enumerate(found) if at + k in telling]
-            self[t] = own or None
+            if own := [(w, rows[at + k]) for k, w in enumerate(found) if at + k in rows]:
+                self.telling[t] = own
             at += len(found)
 
     def scores(self, texts: list[str | None]) -> Iterator[float]:
@@ -416,7 +420,7 @@ class Scorer(dict):
         m = self.model
         if not m.learned:
             return m.base
-        words = {w: rows for t in tokens if (held := self[t]) for w, rows in held}
+        words = {w: rows for t in tokens & self.telling.keys() for w, rows in self.telling[t]}
         z = m.constant
         if words:
             row, count = np.unique(np.concatenate(list(words.values())), return_counts=True)
