@@ -7,7 +7,7 @@ from eventmill.catalog.projections import BAD, CONTRACT, CROWS, HOLES, LOOK, TOP
 from eventmill.catalog.registry import ctes, register, rounded
 from eventmill.catalog.rollups import EVN, TXN, day_window
 from eventmill.functions.scalars import latest
-from eventmill.operators import rollups, writers
+from eventmill.operators import changes, documents, rollups, writers
 from eventmill.plans import jobs
 from eventmill.schemas import SOURCE_TABLES
 from eventmill.session import shared_dir
@@ -61,14 +61,19 @@ def _(t):
     jobs.start_medallion(lk, fixtures.envelope(Tables.to_events(raw)), continuous=False).stop()
     parts = _counts(lk, ["raw_events"], "bronze").union(_counts(lk, list(medallion.SILVER_TABLES), "silver"))
     parts = parts.union(_counts(lk, list(medallion.TYPED_TOPICS), "bronze"))
-    gold = _counts(lk, ["customer_metrics", "transaction_metrics"], "gold", lambda p: windows.read_gold(t.spark, p))
-    for layer, name, column in (
-        ("gold", "event_rates", "event_count"),
-        ("silver", "realtime_metrics", "event_count"),
-        ("gold", "dashboard_metrics", "total_events_per_minute"),
+    metrics = {"customer_metrics": windows.customer_metrics(), "transaction_metrics": windows.transaction_metrics()}
+    gold = None
+    for name, metric in metrics.items():
+        line = _counts(lk, [name], "gold", lambda p, m=metric: windows.read_gold(t.spark, p, m))
+        gold = line if gold is None else gold.unionByName(line)
+    rates = windows.read_gold(t.spark, lk.path("gold", "event_rates"), windows.event_rate())
+    realtime = windows.read_gold(t.spark, lk.path("silver", "realtime_metrics"), windows.realtime_metrics())
+    for name, rows, column in (
+        ("event_rates", rates, "event_count"),
+        ("realtime_metrics", realtime, "event_count"),
+        ("dashboard_metrics", medallion.read_minutes(lk), "total_events_per_minute"),
     ):
-        rows = windows.read_gold(t.spark, lk.path(layer, name)).agg(F.sum(column).alias("rows"))
-        gold = gold.unionByName(rows.withColumn("table_name", F.lit(name)))
+        gold = gold.unionByName(rows.agg(F.sum(column).alias("rows")).withColumn("table_name", F.lit(name)))
     return parts.union(gold)
 
 
@@ -134,12 +139,14 @@ UNION ALL SELECT 'campaign_metrics', count(DISTINCT campaign_id) FROM ev WHERE e
 UNION ALL SELECT 'segment_metrics', (SELECT count(DISTINCT c_mktsegment) FROM customer WHERE c_custkey IN (SELECT customer_id FROM ev WHERE event_ts >= {EVN} - INTERVAL 1 DAY))
 UNION ALL SELECT 'customer_action_aggregations', count(DISTINCT event_type) FROM ev WHERE event_ts >= {EVN} - INTERVAL 1 DAY
 UNION ALL SELECT 'pipeline_run_summary', 1
-UNION ALL SELECT 'customer_hourly', (SELECT count(*) FROM events) * 0 + 1 WHERE (SELECT count(*) FROM events) > 0
+UNION ALL SELECT 'customer_hourly', count(*) FROM (SELECT DISTINCT date_trunc('hour', event_ts), event_type, device_type FROM ev WHERE event_ts >= {EVN} - INTERVAL 24 HOUR)
+UNION ALL SELECT 'transaction_hourly', (SELECT count(*) FROM (SELECT DISTINCT date_trunc('hour', o_orderdate), o_orderstatus FROM orders
+  WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 24 HOUR))
 UNION ALL SELECT 'lookups', count(DISTINCT event_type) FROM ev""",
     ),
 )
 def _(t):
-    """Documents per exported table; hourly tables only have to be there."""
+    """Documents per exported table."""
     lk, out = lake(t, "job6"), shared_dir(t.spark, "job6out")
     segments = t.raw("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"))
     jobs.window_aggregation(lk, t.events, t.campaigns, segments, *day_window(t), _now(t))
@@ -152,13 +159,11 @@ def _(t):
     jobs.export_lookups({"lookups": lookups}, out)
     result = t.spark.read.schema(lookups.schema).json(f"{out}/lookups").agg(F.count("*").alias("documents"))
     result = result.select(F.lit("lookups").alias("table_name"), "documents")
-    for name in ("customer_action_aggregations", "pipeline_run_summary", "customer_hourly"):
+    for name in ("customer_action_aggregations", "pipeline_run_summary", "customer_hourly", "transaction_hourly"):
         docs = t.spark.read.schema("doc_id string").json(f"{out}/{name}").agg(F.count_distinct("doc_id").alias("documents"))
-        if name == "customer_hourly":
-            docs = docs.select(F.least("documents", F.lit(1)).cast("long").alias("documents"))
         result = result.unionByName(docs.withColumn("table_name", F.lit(name)))
     for name in ("event_analytics", "customer_metrics", "campaign_metrics", "segment_metrics"):
-        docs = writers.read_buckets(t.spark, f"{out}/{name}")
+        docs = documents.read_documents(t.spark, f"{out}/{name}")
         result = result.unionByName(
             docs.agg(F.count_distinct("doc_id").alias("documents")).withColumn("table_name", F.lit(name))
         )
@@ -197,7 +202,10 @@ def _(t):
     lk = lake(t, "job8")
     for _ in range(2):  # the second delivery merges into the same rows
         jobs.incident_ingest(lk, fixtures.incidents(t), fixtures.STATE_MAP, "month")
-    rows = _counts(lk, list(jobs.INCIDENT_KEYS), "silver", lambda p: writers.read_buckets(t.spark, p))
+    rows = None
+    for name, keys in jobs.INCIDENT_KEYS.items():
+        line = _counts(lk, [name], "silver", lambda p, k=keys: changes.read_merged(t.spark, p, k))
+        rows = line if rows is None else rows.union(line)
     return rows.union(_counts(lk, ["IncidentLookup"], "silver", lambda p: writers.read_current(t.spark, p)))
 
 
@@ -210,7 +218,8 @@ UNION ALL SELECT 'TrafficLookup', (SELECT count(DISTINCT "SessionIndex") + count
 def _(t):
     lk = lake(t, "job9")
     jobs.traffic_ingest(lk, fixtures.traffic_records(t), _now(t))
-    flat = _counts(lk, ["TrafficHeaderSession", "TrafficData"], "bronze")
+    flat = _counts(lk, ["TrafficHeaderSession"], "bronze", lambda p: writers.read_evolving(t.spark, p))
+    flat = flat.union(_counts(lk, ["TrafficData"], "bronze"))
     return flat.union(_counts(lk, ["TrafficLookup"], "bronze", lambda p: writers.read_current(t.spark, p)))
 
 
@@ -240,7 +249,7 @@ def _(t):
         blank.alias("LastHeartbeat"),
     )
     accepted = jobs.vpc_ingest(lk, events, clerks, "batch_1", _now(t))
-    counts = _counts(lk, ["VpcEvent", "VpcClerks"], "bronze")
+    counts = _counts(lk, ["VpcEvent", "VpcClerks"], "bronze", lambda p: writers.read_evolving(t.spark, p))
     return counts.withColumn("accepted", F.lit(accepted["VpcEvent"] and accepted["VpcClerks"]))
 
 

@@ -8,7 +8,7 @@ from eventmill.catalog.marts import CUSTOMER_360, DAILY, DEVICE, PRODUCT, c360
 from eventmill.catalog.registry import ctes, more, register, rounded
 from eventmill.catalog.rollups import GOLD, day_window
 from eventmill.functions.scalars import ago, latest
-from eventmill.operators import documents, marts, rollups, writers
+from eventmill.operators import changes, documents, marts, rollups, writers
 from eventmill.schemas import BRONZE_TABLES, GOLD_TABLES, SOURCE_TABLES
 from eventmill.session import shared_dir
 from eventmill.sources import tables
@@ -209,10 +209,10 @@ def upsert_updates(t):
 def _upserted(t):
     path = lake(t, "snk10").path("silver", "orders")
     base = t.raw("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(0).alias("seq"))
-    writers.upsert_buckets(base, path, ["o_orderkey"], buckets=8)
+    changes.publish(base, path)
     for _ in range(2):  # the second time must change nothing
-        writers.upsert_buckets(upsert_updates(t), path, ["o_orderkey"], ["seq"], buckets=8)
-    return writers.read_buckets(t.spark, path)
+        changes.upsert(upsert_updates(t), path, ["o_orderkey"], ["seq"])
+    return changes.read_merged(t.spark, path, ["o_orderkey"])
 
 
 register("snk10_upsert", UPSERT)(lambda t: rounded(_upserted(t).drop("seq"), 2))
@@ -261,7 +261,7 @@ for _name in ("snk12_validated_write", "snk13_safe_write"):
 
         refused = writers.validated_write(bad, path, valid=no_nulls)
         accepted = writers.validated_write(good, path, valid=no_nulls)
-        rows = tables.read_table(t.spark, path, good.schema).agg(F.count("*").alias("rows"))
+        rows = writers.read_evolving(t.spark, path).agg(F.count("*").alias("rows"))
         return rows.withColumns({"accepted_bad": F.lit(refused), "accepted_good": F.lit(accepted)})
 
 
@@ -324,7 +324,7 @@ def _(t):
     path = lake(t, "snk18").path("gold", "event_documents")
     for _ in range(2):
         documents.upsert_documents(_event_docs(t), path)
-    return writers.read_buckets(t.spark, path).select(*_DOC)
+    return documents.read_documents(t.spark, path).select(*_DOC)
 
 
 @register("snk19_document_replace", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

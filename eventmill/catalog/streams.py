@@ -8,7 +8,7 @@ from eventmill.catalog.projections import BAD, CONTRACT, CROWS, PARSED_TS, TOPIC
 from eventmill.catalog.registry import ctes, more, register, rounded
 from eventmill.catalog.rollups import DASH
 from eventmill.functions.scalars import latest
-from eventmill.operators import writers
+from eventmill.operators import changes, writers
 from eventmill.schemas import ENVELOPE, SOURCE_TABLES, TOPIC_ANALYTICS, TOPIC_CUSTOMER, TOPIC_TRANSACTION
 from eventmill.session import shared_dir
 from eventmill.sources import nested as fixtures
@@ -150,8 +150,9 @@ for _name in ("str3_customer_metrics", "snk4_update_mode_upsert"):
     def _(t):
         lk = lake(t, "str3")
         path = lk.path("gold", "customer_metrics")
-        done(windows.publish_metrics(behavior_stream(t), unrounded(windows.customer_metrics()), path, lk.checkpoint("m"), None))
-        return rounded(windows.read_gold(t.spark, path))
+        metric = unrounded(windows.customer_metrics())
+        done(windows.publish_metrics(behavior_stream(t), metric, path, lk.checkpoint("m"), None))
+        return rounded(windows.read_gold(t.spark, path, metric))
 
 
 @register("str3_customer_metrics_batch_twin", ctes("ev", CUSTOMER_METRICS))
@@ -175,9 +176,8 @@ def _(t):
     raw = sources.table_stream(t.spark, t.path("orders"), SOURCE_TABLES["orders"])
     rows = Tables.to_transactions(raw).withColumn("event_timestamp", F.col("created_at"))
     metric = unrounded(windows.transaction_metrics())
-    # seven years of few orders a day: monthly folders
-    done(windows.publish_metrics(rows, metric, path, lk.checkpoint("m"), None, partition_unit="month"))
-    return rounded(windows.read_gold(t.spark, path))
+    done(windows.publish_metrics(rows, metric, path, lk.checkpoint("m"), None))
+    return rounded(windows.read_gold(t.spark, path, metric))
 
 
 @register(
@@ -193,7 +193,7 @@ def _(t):
     path = lk.path("gold", "event_rates")
     rows = fixtures.envelope(events_stream(t)).withColumn("processing_timestamp", F.col("timestamp"))
     done(windows.publish_metrics(rows, windows.event_rate(), path, lk.checkpoint("m"), None))
-    return rounded(windows.read_gold(t.spark, path))
+    return rounded(windows.read_gold(t.spark, path, windows.event_rate()))
 
 
 TYPED = f"""SELECT CASE {TOPIC} WHEN 'customer-events' THEN 'customer_behavior' WHEN 'transaction-events' THEN 'transactions'
@@ -224,14 +224,14 @@ MINUTES = """SELECT window_start, window_end, total_events_per_minute, sum_uniqu
 def _(t):
     lk = lake(t, "str7")
     done(medallion.realtime_metrics(behavior_stream(t), lk, None, with_minutes=False))
-    return rounded(windows.read_gold(t.spark, lk.path("silver", "realtime_metrics")))
+    return rounded(windows.read_gold(t.spark, lk.path("silver", "realtime_metrics"), windows.realtime_metrics()))
 
 
 @register("str8_minute_dashboard", more("ev", DASH, MINUTES))
 def _(t):
     lk = lake(t, "str8")
     done(medallion.realtime_metrics(behavior_stream(t), lk, None))
-    return rounded(windows.read_gold(t.spark, lk.path("gold", "dashboard_metrics")))
+    return rounded(medallion.read_minutes(lk))
 
 
 FIVE = """SELECT time_bucket(INTERVAL 5 SECOND, event_ts) AS window_start, time_bucket(INTERVAL 5 SECOND, event_ts) + INTERVAL 5 SECOND AS window_end,
@@ -244,7 +244,7 @@ def _five(t, after=None):
     path = lk.path("gold", "five_seconds")
     rows = events_stream(t).withColumn("processing_time", F.col("event_ts"))
     done(windows.publish_metrics(rows, windows.five_second_counts(), path, lk.checkpoint("m"), None, after=after))
-    return windows.read_gold(t.spark, path)
+    return windows.read_gold(t.spark, path, windows.five_second_counts())
 
 
 register("str9_five_second_counts", ctes("ev", FIVE))(lambda t: rounded(_five(t)))
@@ -391,14 +391,13 @@ def _(t):
     done(
         sinks.batch_stream(
             counts,
-            lambda df, i: writers.upsert_partitions(
-                df.withColumn("day", F.to_date("window_start")), path, ["window_start", "identifier"], "day", unique=True
-            ),
+            lambda df, i: changes.publish(df, path, f"{sinks.stream_id(t.spark)}-{i}") and None,
             f"{path}-cp",
             None,
         )
     )
-    return t.spark.read.parquet(path).select("window_start", "identifier", "requests")
+    rows = changes.read_merged(t.spark, path, ["window_start", "identifier"])
+    return rows.select("window_start", "identifier", "requests")
 
 
 @register(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventmill.functions.scalars import as_column, iso_utc
+from eventmill.operators import changes
 from eventmill.operators.enrich import content_id
-from eventmill.operators.writers import upsert_buckets, write_table
+from eventmill.operators.writers import write_table
 
 # Dimension that completes the document id per gold table (fixed values).
 DIMENSION = {
@@ -44,7 +45,11 @@ def append_documents(df: DataFrame, path: str, ingested_at=None) -> None:
 
 
 def upsert_documents(df: DataFrame, path: str) -> None:
-    upsert_buckets(df, path, ["doc_id"])
+    changes.upsert(df, path, ["doc_id"])
+
+
+def read_documents(spark, path: str) -> DataFrame | None:
+    return changes.read_merged(spark, path, ["doc_id"])
 
 
 def replace_documents(df: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException, PySparkException
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventmill.operators import changes
 from eventmill.operators.ordering import newest_per_key
 from eventmill.session import micros
 from eventmill.sources.files import child_dirs, exists, has_data, remove
@@ -79,32 +81,39 @@ def with_retry(
             sleep(min(cap_seconds, base_seconds * 2**n))
 
 
-def append_evolving(df: DataFrame, path: str, attempts: int = 3) -> None:
-    """Create or append; files may differ in columns, readers merge them."""
-    with_retry(lambda: write_table(df, path, "append"), attempts)
+def append_evolving(df: DataFrame, path: str, attempts: int = 3, key: str | None = None) -> bool:
+    """Create or append; batches may differ in columns, readers merge them.
+
+    A batch counts once its write has finished, so no attempt leaves rows twice. A caller
+    that may run again names the batch by ``key``, which is then published once.
+    """
+    name, done = key or uuid.uuid4().hex, []
+    with_retry(lambda: done.append(changes.publish(df, path, name)), attempts)
+    return done[-1]
 
 
-def read_evolving(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(path)
+def read_evolving(spark: SparkSession, path: str) -> DataFrame | None:
+    return changes.read_published(spark, path)
 
 
 def validated_write(
     df: DataFrame,
     path: str,
-    mode: str = "append",
     partition_by: list[str] = (),
     valid: Callable[[DataFrame], Column] | None = None,
     attempts: int = 3,
+    key: str | None = None,
 ) -> bool:
-    """Validate in one aggregation, write with retries, then check the stored schema.
+    """Validate in one aggregation, publish as one batch with retries, then check the stored schema.
 
-    ``valid`` turns the frame into one boolean aggregate; False refuses the batch.
+    ``valid`` turns the frame into one boolean aggregate; False refuses the batch. Read
+    the table with :func:`read_evolving`; ``key`` as in :func:`append_evolving`.
     """
     if valid is not None and not df.agg(valid(df).alias("ok")).first().ok:
         return False
-    with_retry(lambda: write_table(df, path, mode, partition_by=partition_by), attempts)
-    stored = set(read_table(df.sparkSession, path).columns)
-    missing = set(df.columns) - stored
+    rows, name = rebalanced(df, partition_by) if partition_by else df, key or uuid.uuid4().hex
+    with_retry(lambda: changes.publish(rows, path, name, partition_by), attempts)
+    missing = set(df.columns) - set(read_evolving(df.sparkSession, path).columns)
     if missing:
         raise ValueError(f"{path} lacks {sorted(missing)} after the write")
     return True
@@ -212,17 +221,17 @@ def upsert(updates: DataFrame, path: str, keys: list[str], order: list[str] | No
 
 
 def read_partitions(spark: SparkSession, path: str, column: str, values: list, kind: T.DataType) -> DataFrame | None:
-    """Rows of the named partitions, NULL included, reading their folders only; None if none exists."""
-    names = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    found = None
-    for value in values:
-        text = None if value is None else str(value)
-        folder = f"{path}/{names.getPartitionPathString(column, text)}"
-        if has_data(spark, folder):
-            # the value comes from the folder's name, which type inference would change
-            rows = spark.read.parquet(folder).withColumn(column, F.lit(text).cast(kind))
-            found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
-    return found
+    """Rows of the named partitions, NULL included: one scan, pruned by a filter; None without data."""
+    if not has_data(spark, path):
+        return None
+    # the column keeps the type of its writer, which type inference from folder names would change
+    stored = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(column, kind) if f.name == column else f for f in stored])
+    named = [v for v in values if v is not None]
+    wanted = F.col(column).isin([F.lit(v).cast(kind) for v in named]) if named else F.lit(False)
+    if len(named) < len(values):
+        wanted = wanted | F.col(column).isNull()
+    return spark.read.schema(schema).parquet(path).filter(wanted)
 
 
 def upsert_partitions(
@@ -240,7 +249,8 @@ def upsert_partitions(
     names their partitions where the caller knows them, which saves a job.
 
     Only valid when ``partition`` is a function of the key: a key whose partition
-    could change would leave its old row behind.
+    could change would leave its old row behind. For tables of small partitions that are
+    rewritten as a whole anyway; keys all over a table belong in :mod:`changes`.
     """
     spark = updates.sparkSession
     if not unique:
@@ -262,22 +272,6 @@ def upsert_partitions(
         )
 
 
-BUCKET = "key_bucket"
-
-
-def upsert_buckets(
-    updates: DataFrame, path: str, keys: list[str], order: list[str] | None = None, buckets: int = 16
-) -> None:
-    """Upsert into a table partitioned by a hash of the key: a batch rewrites the buckets its keys
-    fall in. The number of buckets belongs to the table; read it with :func:`read_buckets`."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    upsert_partitions(updates.withColumn(BUCKET, bucket), path, keys, BUCKET, order)
-
-
-def read_buckets(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path).drop(BUCKET) if has_data(spark, path) else None
-
-
 # --- maintenance --------------------------------------------------------------------
 def folder_bytes(spark: SparkSession, path: str) -> int:
     jvm = spark.sparkContext._jvm

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventmill.functions.scalars import as_column
 from eventmill.operators import (
+    changes,
     contracts,
     documents,
     enrich,
@@ -17,7 +18,7 @@ from eventmill.operators import (
     writers,
 )
 from eventmill.schemas import BRONZE_TABLES, GOLD_TABLES, VPC_CLERK, VPC_EVENT
-from eventmill.session import micros, stage
+from eventmill.session import stage
 from eventmill.sources import tables
 from eventmill.sources.tables import Lake
 from eventmill.streaming import medallion, sinks
@@ -75,23 +76,80 @@ def _overwrite(lake: Lake, name: str, df: DataFrame, **kw) -> str:
     return path
 
 
-def window_aggregation(lake: Lake, events: DataFrame, campaigns: DataFrame, segments: DataFrame, start, end, created_at=None):
+def _earliest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("customer_id").agg(F.min("first_seen").alias("first_seen"), F.max("until").alias("until"))
+
+
+def first_seen_table(lake: Lake) -> DataFrame | None:
+    """Customers with the time of their first event, as far as the window jobs have read."""
+    return changes.read_totals(lake.spark, lake.path("gold", "customer_first_seen"), _earliest)
+
+
+def _learn_first_seen(lake: Lake, events: DataFrame, ingested: str | None) -> DataFrame:
+    """Bring ``customer_first_seen`` up to date; returns the customers whose first event changed, with the
+    old time (NULL for new ones).
+
+    ``ingested`` names the column with the time an event came in: then only events since the
+    newest one read before are grouped, however early or late they happened. Without it the
+    whole history is.
+    """
+    path = lake.path("gold", "customer_first_seen")
+    before = first_seen_table(lake)
+    until = F.max(ingested) if ingested else F.lit(None).cast("timestamp")
+    since = before.agg(F.max("until")).first()[0] if before is not None and ingested else None
+    fresh = events.filter(F.col(ingested) >= F.lit(since)) if since is not None else events
+    fresh = fresh.filter(F.col("customer_id").isNotNull()).groupBy("customer_id")
+    found = fresh.agg(F.min("event_ts").alias("first_seen"), until.alias("until"))
+    if before is None:
+        found = found.withColumn("was", F.lit(None).cast("timestamp"))
+    else:
+        old = before.select("customer_id", F.col("first_seen").alias("was"))
+        found = found.join(old, "customer_id", "left").filter(F.col("was").isNull() | (F.col("first_seen") < F.col("was")))
+    found = stage(found, "first-seen")
+    if not found.isEmpty():
+        changes.publish(found.drop("was"), path)
+        changes.fold(lake.spark, path, totals=_earliest, at_least=FOLD_AFTER)
+    return found
+
+
+def _days(start: Column, end: Column) -> Column:
+    return F.explode(F.sequence(F.to_date(start), F.to_date(end)))
+
+
+def _mend_new_customers(lake: Lake, moved: DataFrame) -> None:
+    """Count ``new_customers`` again in earlier windows that hold an old or new first event of ``moved``."""
+    path = lake.path("gold", "customer_metrics")
+    gold = tables.read_if_present(lake.spark, path)
+    if gold is None:
+        return
+    stored = gold.select("window_start", "window_end", _days(F.col("window_start"), F.col("window_end")).alias("_day"))
+    times = moved.select(F.explode(F.array("first_seen", "was")).alias("_at")).filter("_at IS NOT NULL")
+    inside = F.col("_at").between(F.col("window_start"), F.col("window_end"))
+    touched = stored.join(times.withColumn("_day", F.to_date("_at")), "_day").filter(inside)
+    touched = touched.select("window_start", "window_end").distinct()
+    spread = touched.select("*", _days(F.col("window_start"), F.col("window_end")).alias("_day"))
+    firsts = first_seen_table(lake).select(F.col("first_seen").alias("_at"), F.to_date("first_seen").alias("_day"))
+    counted = spread.join(firsts, "_day").filter(inside).groupBy("window_start", "window_end").agg(F.count("*").alias("_new"))
+    windows = touched.join(counted, ["window_start", "window_end"], "left")
+    again = gold.join(windows, ["window_start", "window_end"]).withColumn("new_customers", F.coalesce("_new", F.lit(0)))
+    again = stage(again.select(*gold.columns), "mended")
+    if not again.isEmpty():
+        writers.upsert_partitions(again, path, ["window_start", "window_end"], "window_date", unique=True)
+
+
+def window_aggregation(
+    lake: Lake, events: DataFrame, campaigns: DataFrame, segments: DataFrame, start, end, created_at=None, ingested: str | None = None
+):
     """Four metric tables for one window. Running a window again replaces its rows.
 
-    ``customer_first_seen`` holds earlier customers and how far they are known, window by
-    window; only the events since then are read to find those the table lacks.
+    ``customer_first_seen`` is a keyed minimum, so that an event that comes in after its window
+    was run still counts: its customer isn't new any more in later windows, and
+    earlier windows that took the customer for new are counted again. See
+    :func:`_learn_first_seen` for ``ingested``.
     """
-    seen_path = lake.path("gold", "customer_first_seen")
-    label = lake.spark.range(1).select(F.date_format(as_column(start).cast("timestamp"), "yyyyMMddHHmmss")).first()[0]
-    seen = tables.read_if_present(lake.spark, seen_path)
-    since = None
-    if seen is not None:  # a window that is run again doesn't count on itself
-        seen = seen.filter((F.col("window") != label) & (F.col("first_seen") < as_column(start)))
-        since = seen.filter(F.col("until") <= as_column(start)).agg(F.max("until")).first()[0]
-    gap = events.filter(F.col("event_ts") < as_column(start))
-    gap = gap.filter(F.col("event_ts") >= F.lit(since)) if since is not None else gap
-    gap = stage(rollups.first_seen(gap), "first-seen-gap")
-    known = gap.select("customer_id") if seen is None else gap.select("customer_id").union(seen.select("customer_id"))
+    moved = _learn_first_seen(lake, events, ingested)
+    known = first_seen_table(lake)
+    known = moved.select("customer_id") if known is None else known.filter(F.col("first_seen") < as_column(start))
     results = {
         "customer_metrics": rollups.window_customer_metrics(events, start, end, created_at, known),
         "campaign_metrics": rollups.window_campaign_metrics(campaigns, start, end, created_at),
@@ -102,14 +160,7 @@ def window_aggregation(lake: Lake, events: DataFrame, campaigns: DataFrame, segm
         keys = ["window_start", "window_end"] + [c for c in (documents.DIMENSION[name],) if c]
         dated = df.withColumn("window_date", F.to_date("window_start"))
         writers.upsert_partitions(dated, lake.path("gold", name), keys, "window_date")
-    # one folder per window, so that a window that is run again replaces its customers
-    found = rollups.first_seen(rollups.between(events, "event_ts", start, end)).unionByName(gap)
-    found = found.groupBy("customer_id").agg(F.min("first_seen").alias("first_seen"))
-    if seen is not None:
-        found = found.join(seen.select("customer_id").distinct(), "customer_id", "left_anti")
-    found = stage(found.withColumns({"until": as_column(end).cast("timestamp"), "window": F.lit(label)}), "first-seen")
-    with micros(lake.spark):
-        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window").parquet(seen_path)
+    _mend_new_customers(lake, moved)
 
 
 def range_aggregation(
@@ -197,7 +248,7 @@ def contract_ingest(lake: Lake, rows: DataFrame, contract: dict, domain: str, pr
     ok = writers.validated_write(clean, path, partition_by=["year", "month", "day"])
     results = []
     if ok and aggregate:
-        src = lake.spark.read.parquet(path)
+        src = writers.read_evolving(lake.spark, path)
 
         def write(target: str, df: DataFrame) -> None:
             out = contracts.with_partition_columns(df, as_of)
@@ -207,6 +258,9 @@ def contract_ingest(lake: Lake, rows: DataFrame, contract: dict, domain: str, pr
     return {"success": ok, "table": table, "aggregations": results}
 
 
+#: Batches of a merged table before they are folded into a new base.
+FOLD_AFTER = 24
+
 INCIDENT_KEYS = {
     "Incident": ["PrimaryFileName"],
     "IncidentFiles": ["PrimaryFileName", "ordinal"],
@@ -235,7 +289,8 @@ def incident_ingest(
         if partition_unit != "day":
             dated = df.withColumn("date", F.date_trunc(partition_unit, "date").cast("date"))
         writers.write_table(dated, lake.path("bronze", name), "append", partition_by=["date"])
-        writers.upsert_buckets(df, lake.path("silver", name), INCIDENT_KEYS[name], ["InsertionTime"])
+        changes.upsert(df, lake.path("silver", name), INCIDENT_KEYS[name], ["InsertionTime"])
+        changes.fold(lake.spark, lake.path("silver", name), INCIDENT_KEYS[name], at_least=FOLD_AFTER)
     lookup = lake.path("silver", "IncidentLookup")
     existing = writers.read_current(lake.spark, lookup)
     writers.write_version(nested.incident_lookups(incidents, existing), lookup)

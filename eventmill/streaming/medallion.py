@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from eventmill.operators import changes
 from eventmill.operators.contracts import apply_contract
 from eventmill.operators.parse import CORRUPT, envelope_rows, silver_events, typed_bronze
 from eventmill.operators.rollups import minute_dashboard
-from eventmill.operators.writers import read_partitions, upsert_partitions
 from eventmill.schemas import (
     BRONZE_TABLES,
     PAYLOADS,
@@ -160,12 +160,14 @@ def realtime_metrics(
         """Minutes that hold a touched window, summed again from all their windows."""
         spark = touched.sparkSession
         minute = F.date_trunc("minute", "window_start")
-        wanted = touched.select(minute.alias("_m"), "window_date").distinct()
-        days = [r[0] for r in wanted.select("window_date").distinct().collect()]
-        rows = read_partitions(spark, f"{silver}/gold", "window_date", days, T.DateType()).withColumn("_m", minute)
-        rows = rows.join(wanted.select("_m").distinct(), "_m", "left_semi")
-        totals = minute_dashboard(rows).withColumn("window_date", F.to_date("window_start"))
-        upsert_partitions(totals, f"{minutes}/gold", ["window_start"], "window_date", unique=True, touched=days)
+        wanted = touched.select(minute.alias("_m")).distinct()
+        low, high = wanted.agg(F.min("_m"), F.max(F.col("_m") + F.expr("INTERVAL 1 MINUTE"))).first()
+        if low is None:
+            return
+        near = (F.col("window_start") >= F.lit(low)) & (F.col("window_start") < F.lit(high))
+        rows = windows.read_gold(spark, silver, windows.realtime_metrics(), near).withColumn("_m", minute)
+        totals = minute_dashboard(rows.join(wanted, "_m", "left_semi"))
+        changes.upsert(totals, minutes, ["window_start"], key=f"{sinks.stream_id(spark)}-{batch_id}")
 
     return windows.publish_metrics(
         events, windows.realtime_metrics(), silver, lake.checkpoint("silver_realtime_metrics"), every,
@@ -173,6 +175,10 @@ def realtime_metrics(
     )
 
 
+def read_minutes(lake: Lake) -> DataFrame | None:
+    return changes.read_merged(lake.spark, lake.path("gold", "dashboard_metrics"), ["window_start"])
+
+
 def contract_table(
     lake: Lake, values: DataFrame, contract: dict, table: str, every: str | None = "10 seconds", as_of=None
 ) -> StreamingQuery:

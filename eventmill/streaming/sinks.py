@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from eventmill.operators.writers import expire_versions, write_version
-from eventmill.session import ROCKSDB_PROVIDER, micros
+from eventmill.session import micros
 
 # Trigger intervals of the reference jobs (fixed values).
 RAW_BRONZE, TYPED_BRONZE, SILVER, GOLD = "30 seconds", "10 seconds", "60 seconds", "60 seconds"
@@ -41,8 +41,7 @@ def batch_stream(
     mode: str = "update",
     name: str | None = None,
 ) -> StreamingQuery:
-    """foreachBatch with the RocksDB state store."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    """foreachBatch; state larger than memory needs the RocksDB store of ``session.build_session``."""
     writer = df.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
@@ -128,9 +127,11 @@ class QueryRegistry:
 
     def wait(self) -> None:
         """Until all queries have ended; the first that fails raises at once."""
-        while any(q.isActive for q in self.queries.values()):
-            self.spark.streams.awaitAnyTermination()
-            self.spark.streams.resetTerminated()
+        while running := [q for q in self.queries.values() if q.isActive]:
+            for q in self.queries.values():
+                if q.exception() is not None:
+                    q.awaitTermination()  # raises; other queries of the session don't matter here
+            running[0].awaitTermination(1)
         for q in self.queries.values():
             q.awaitTermination()
 

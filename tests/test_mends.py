@@ -107,7 +107,58 @@ def test_first_seen_table_equals_the_whole_history(spark, tables, lake):
         got = spark.read.parquet(lake.path("gold", "customer_metrics")).filter(F.col("window_start") == start)
         want = rollups.window_customer_metrics(tables.events, start, end, start)
         assert [tuple(r) for r in got.select(*want.columns).collect()] == [tuple(r) for r in want.collect()]
-    seen = spark.read.parquet(lake.path("gold", "customer_first_seen"))
-    late = F.lit("2024-01-06 12:00:00").cast("timestamp")
-    everyone = tables.events.filter((F.col("event_ts") <= late) & F.col("customer_id").isNotNull())
-    assert seen.select("customer_id").distinct().count() == everyone.select("customer_id").distinct().count()
+    seen = jobs.first_seen_table(lake)
+    everyone = tables.events.filter(F.col("customer_id").isNotNull())
+    assert seen.count() == everyone.select("customer_id").distinct().count()
+
+
+EVENT = "event_id long, customer_id long, event_type string, value double, event_ts timestamp, came timestamp, device_type string"
+
+
+def _at(text):
+    from datetime import datetime
+
+    return datetime.fromisoformat(f"2024-01-01 {text}")
+
+
+def _run(spark, tables, lake, data, start, end, ingested):
+    events = spark.createDataFrame(data, EVENT)
+    segments = spark.createDataFrame([(7, "a")], "customer_id long, segment string")
+    bounds = [F.lit(_at(x)) for x in (start, end)]
+    jobs.window_aggregation(lake, events, tables.campaigns, segments, *bounds, bounds[1], ingested=ingested)
+    rows = spark.read.parquet(lake.path("gold", "customer_metrics")).collect()
+    return {r.window_start.strftime("%H:%M"): r.new_customers for r in rows}
+
+
+def test_late_events_mend_new_customers(spark, tables, lake):
+    for ingested in (None, "came"):
+        own = scans.Lake(spark, f"{lake.base}/{ingested}")
+        data = [
+            (1, 5, "view", 1.0, _at("10:01"), _at("10:01"), "m"),
+            (2, 7, "view", 1.0, _at("10:06"), _at("10:06"), "m"),
+            (3, 8, "view", 1.0, _at("10:07"), _at("10:07"), "m"),
+        ]
+        assert _run(spark, tables, own, data[:1], "10:00", "10:04:59", ingested) == {"10:00": 1}
+        # customer 7 came in first at 10:02, which is only known after that window was run
+        data.append((4, 7, "view", 1.0, _at("10:02"), _at("10:08"), "m"))
+        assert _run(spark, tables, own, data, "10:05", "10:09:59", ingested) == {"10:00": 2, "10:05": 1}
+        # and customer 8 only after both
+        data.append((5, 8, "view", 1.0, _at("10:03"), _at("10:12"), "m"))
+        got = _run(spark, tables, own, data, "10:10", "10:14:59", ingested)
+        assert got == {"10:00": 3, "10:05": 0, "10:10": 0}
+        assert _run(spark, tables, own, data, "10:05", "10:09:59", ingested) == got
+        seen = {r.customer_id: r.first_seen for r in jobs.first_seen_table(own).collect()}
+        assert seen == {5: _at("10:01"), 7: _at("10:02"), 8: _at("10:03")}
+
+
+def test_first_seen_folders_are_bounded(spark, tables, lake, monkeypatch):
+    monkeypatch.setattr(jobs, "FOLD_AFTER", 3)
+    data = []
+    for k in range(9):
+        data.append((k, 100 + k, "view", 1.0, _at(f"10:{k:02d}"), _at(f"10:{k:02d}"), "m"))
+        _run(spark, tables, lake, data, f"10:{k:02d}", f"10:{k:02d}:59", "came")
+    from eventmill.sources.files import child_dirs
+
+    names = child_dirs(spark, lake.path("gold", "customer_first_seen"))
+    assert sum(n.startswith(("batch_key=", "base=")) for n in names) <= 2 * 3 + 2
+    assert jobs.first_seen_table(lake).count() == 9

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from eventmill.session import ROCKSDB_PROVIDER
 from eventmill.sources import nested as fixtures
 from eventmill.streaming import keyed, medallion, sinks, sources, windows
 
@@ -59,13 +60,13 @@ def test_published_updates_equal_the_batch(spark, in_order, tmp_path):
     q = windows.publish_metrics(stream(spark, files), metric, path, str(tmp_path / "cp"), None)
     q.awaitTermination()
     assert len([p for p in q.recentProgress if p["numInputRows"]]) == 4
-    assert as_set(windows.read_gold(spark, path)) == as_set(windows.batch_metrics(batch, metric))
+    assert as_set(windows.read_gold(spark, path, metric)) == as_set(windows.batch_metrics(batch, metric))
 
 
 def test_append_equals_the_closed_windows(spark, in_order, tmp_path):
     files, batch = in_order
     metric = windows.customer_metrics()
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sinks.ROCKSDB_PROVIDER)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     out = str(tmp_path / "out")
     sinks.append_stream(windows.append_metrics(stream(spark, files), metric), out, str(tmp_path / "cp"), None).awaitTermination()
     closed = batch.agg(F.max("event_timestamp")).first()[0] - timedelta(minutes=10)
@@ -76,7 +77,7 @@ def test_append_equals_the_closed_windows(spark, in_order, tmp_path):
 
 def test_chained_minutes_equal_the_closed_minutes(spark, in_order, tmp_path):
     files, batch = in_order
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sinks.ROCKSDB_PROVIDER)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     out = str(tmp_path / "out")
     minutes = windows.append_minute_totals(stream(spark, files))
     sinks.append_stream(minutes, out, str(tmp_path / "cp"), None).awaitTermination()
@@ -96,7 +97,7 @@ def test_late_events_are_dropped_and_counted(spark, tmp_path):
     q.awaitTermination()
     dropped = sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"])
     assert dropped == 1
-    assert windows.read_gold(spark, path).agg(F.sum("event_count")).first()[0] == 301
+    assert windows.read_gold(spark, path, windows.customer_metrics()).agg(F.sum("event_count")).first()[0] == 301
 
 
 def test_a_second_run_continues_from_the_checkpoint(spark, in_order, tmp_path):
@@ -105,7 +106,7 @@ def test_a_second_run_continues_from_the_checkpoint(spark, in_order, tmp_path):
     path, cp = str(tmp_path / "out"), str(tmp_path / "cp")
     for _ in range(2):
         windows.publish_metrics(stream(spark, files), metric, path, cp, None).awaitTermination()
-    assert windows.read_gold(spark, path).agg(F.sum("event_count")).first()[0] == batch.count()
+    assert windows.read_gold(spark, path, metric).agg(F.sum("event_count")).first()[0] == batch.count()
 
 
 def test_repeated_batch_replaces_itself(spark, tmp_path):
@@ -127,18 +128,40 @@ def test_a_new_checkpoint_keeps_older_rows(spark, tmp_path):
     assert spark.read.parquet(out).select("stream_id").distinct().count() == 2
 
 
-def test_publication_reads_touched_days_only(spark, in_order, tmp_path, monkeypatch):
+def test_what_a_batch_writes_does_not_grow(spark, tmp_path):
+    """Customers that come back all day: each batch writes the windows it touches, and no state."""
+    data = rows(1600, step=1)
+    files = write_files(spark, str(tmp_path), [data[i : i + 200] for i in range(0, 1600, 200)])
+    metric, path = windows.customer_metrics(), tmp_path / "out"
+    wide = replace(metric, width="1 day")
+    windows.publish_metrics(stream(spark, files), wide, str(path), str(tmp_path / "cp"), None).awaitTermination()
+    sizes = {}
+    for folder in sorted(path.iterdir()):
+        n = spark.read.parquet(str(folder)).count()
+        sizes[folder.name] = (n, sum(f.stat().st_size for f in folder.glob("*.parquet")))
+    full = [v for v in sizes.values() if v[0]]
+    assert len(full) == 8 and {n for n, _ in full} == {2}
+    assert full[-1][1] < 1.5 * full[0][1]
+    batch = spark.createDataFrame(data, SCHEMA)
+    assert as_set(windows.read_gold(spark, str(path), wide)) == as_set(windows.batch_metrics(batch, wide))
+
+
+def test_folded_metrics_stay_the_same_and_go_on(spark, in_order, tmp_path):
     files, batch = in_order
-    metric, path = windows.customer_metrics(), str(tmp_path / "out")
-    windows.publish_metrics(stream(spark, files), metric, path, str(tmp_path / "cp"), None).awaitTermination()
-    # days the stream never touches again: their files need not even be readable
-    for table in ("state", "gold"):
-        (tmp_path / "out" / table / "window_date=2001-01-01").mkdir()
-        (tmp_path / "out" / table / "window_date=2001-01-01" / "part-0.parquet").write_bytes(b"no parquet")
-    windows.publish_metrics(stream(spark, files), metric, path, str(tmp_path / "cp2"), None).awaitTermination()
-    got = spark.read.parquet(f"{path}/gold/window_date=2024-01-01")
-    assert got.agg(F.sum("event_count")).first()[0] == batch.count()
-    assert not (tmp_path / "out" / "incoming").exists() or not list((tmp_path / "out" / "incoming").iterdir())
+    metric, path, cp = windows.realtime_metrics(), str(tmp_path / "out"), str(tmp_path / "cp")
+    windows.publish_metrics(stream(spark, files), metric, path, cp, None).awaitTermination()
+    want = as_set(windows.batch_metrics(batch, metric))
+    assert as_set(windows.read_gold(spark, path, metric)) == want
+    assert windows.fold_metrics(spark, path, metric) and not windows.fold_metrics(spark, path, metric)
+    assert as_set(windows.read_gold(spark, path, metric)) == want
+    more = [(9000 + i, 3, "view", "mobile", "c", 1.0, BASE + timedelta(hours=3, seconds=i)) for i in range(50)]
+    write_files(spark, str(tmp_path / "more"), [more])
+    import os
+
+    os.link(tmp_path / "more" / "in" / "000.parquet", f"{files}/900.parquet")
+    windows.publish_metrics(stream(spark, files), metric, path, cp, None).awaitTermination()
+    both = batch.unionByName(spark.createDataFrame(more, SCHEMA))
+    assert as_set(windows.read_gold(spark, path, metric)) == as_set(windows.batch_metrics(both, metric))
 
 
 def test_typed_bronze_and_registry(spark, tables, lake):
@@ -173,9 +196,9 @@ def test_continuous_medallion_reaches_gold(spark, tables, lake, monkeypatch):
     n = tables.events.count()
     assert spark.read.parquet(lake.path("bronze", "raw_events")).count() == n
     assert sum(spark.read.parquet(lake.path("silver", t)).count() for t in medallion.SILVER_TABLES) == n
-    rates = windows.read_gold(spark, lake.path("gold", "event_rates"))
+    rates = windows.read_gold(spark, lake.path("gold", "event_rates"), windows.event_rate())
     assert rates.agg(F.sum("event_count")).first()[0] == n
-    assert windows.read_gold(spark, lake.path("gold", "customer_metrics")).count() > 0
+    assert windows.read_gold(spark, lake.path("gold", "customer_metrics"), windows.customer_metrics()).count() > 0
 
 
 def test_sources_by_type(spark):
