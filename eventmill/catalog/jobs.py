@@ -39,17 +39,18 @@ def _counts(lk, names, layer, reader=None):
     ctes(
         "ev",
         f"""SELECT 'raw_events' AS table_name, count(*) AS rows FROM ev
-UNION ALL SELECT 'customer_events', count(*) FROM ev WHERE {TOPIC} = 'customer-events'
-UNION ALL SELECT 'transaction_events', count(*) FROM ev WHERE {TOPIC} = 'transaction-events'
-UNION ALL SELECT 'analytics_events', count(*) FROM ev WHERE {TOPIC} = 'analytics-events'
+UNION ALL SELECT 'customer_events', count(*) FROM ev WHERE {TOPIC} = 'customer-events' AND NOT {BAD}
+UNION ALL SELECT 'transaction_events', count(*) FROM ev WHERE {TOPIC} = 'transaction-events' AND NOT {BAD}
+UNION ALL SELECT 'analytics_events', count(*) FROM ev WHERE {TOPIC} = 'analytics-events' AND NOT {BAD}
 UNION ALL SELECT 'customer_metrics', count(*) FROM (SELECT DISTINCT time_bucket(INTERVAL 5 MINUTE, event_ts), event_type, device_type FROM ev
   WHERE {TOPIC} = 'customer-events' AND NOT {BAD})
 UNION ALL SELECT 'transaction_metrics', count(*) FROM (SELECT DISTINCT time_bucket(INTERVAL 5 MINUTE, event_ts), least(event_id % 5, 2), category FROM ev
   WHERE {TOPIC} = 'transaction-events' AND NOT {BAD})
 UNION ALL SELECT 'event_rates', sum(event_count)::BIGINT FROM (SELECT count(*) AS event_count FROM ev)
-UNION ALL SELECT 'customer_behavior', count(*) FROM ev WHERE {TOPIC} = 'customer-events'
-UNION ALL SELECT 'transactions', count(*) FROM ev WHERE {TOPIC} = 'transaction-events'
-UNION ALL SELECT 'analytics_metrics', count(*) FROM ev WHERE {TOPIC} = 'analytics-events'
+UNION ALL SELECT 'customer_behavior', count(*) FROM ev WHERE {TOPIC} = 'customer-events' AND NOT {BAD}
+UNION ALL SELECT 'transactions', count(*) FROM ev WHERE {TOPIC} = 'transaction-events' AND NOT {BAD}
+UNION ALL SELECT 'analytics_metrics', count(*) FROM ev WHERE {TOPIC} = 'analytics-events' AND NOT {BAD}
+UNION ALL SELECT 'rejected', count(*) FROM ev WHERE {BAD}
 UNION ALL SELECT 'realtime_metrics', count(*) FROM ev WHERE {TOPIC} = 'customer-events' AND NOT {BAD}
 UNION ALL SELECT 'dashboard_metrics', count(*) FROM ev WHERE {TOPIC} = 'customer-events' AND NOT {BAD}""",
     ),
@@ -59,7 +60,7 @@ def _(t):
     lk = lake(t, "job1")
     raw = sources.table_stream(t.spark, t.path("events"), SOURCE_TABLES["events"])
     jobs.start_medallion(lk, fixtures.envelope(Tables.to_events(raw)), continuous=False).stop()
-    parts = _counts(lk, ["raw_events"], "bronze").union(_counts(lk, list(medallion.SILVER_TABLES), "silver"))
+    parts = _counts(lk, ["raw_events"], "bronze").union(_counts(lk, [*medallion.SILVER_TABLES, "rejected"], "silver"))
     parts = parts.union(_counts(lk, list(medallion.TYPED_TOPICS), "bronze"))
     metrics = {"customer_metrics": windows.customer_metrics(), "transaction_metrics": windows.transaction_metrics()}
     gold = None

@@ -4,6 +4,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from eventmill.catalog.marts import SESSIONS
 from eventmill.catalog.projections import BAD, CONTRACT, CROWS, PARSED_TS, TOPIC, contract_rows
 from eventmill.catalog.registry import ctes, more, register, rounded
 from eventmill.catalog.rollups import DASH
@@ -14,7 +15,7 @@ from eventmill.session import shared_dir
 from eventmill.sources import nested as fixtures
 from eventmill.sources.canonical import Tables
 from eventmill.sources.tables import Lake
-from eventmill.streaming import keyed, medallion, sinks, sources, windows
+from eventmill.streaming import keyed, medallion, sessions, sinks, sources, windows
 
 EVN = "(SELECT max(ts) FROM events)"
 
@@ -120,7 +121,7 @@ def _(t):
 
 SILVER_COUNTS = f"""SELECT CASE {TOPIC} WHEN 'customer-events' THEN 'customer_events' WHEN 'transaction-events' THEN 'transaction_events'
   ELSE 'analytics_events' END AS table_name, strftime(event_ts, '%Y-%m-%d') AS day, count(*) AS n,
-  max(CASE WHEN {BAD} THEN NULL ELSE {PARSED_TS} END) AS newest FROM ev GROUP BY 1, 2"""
+  max({PARSED_TS}) AS newest FROM ev WHERE NOT {BAD} GROUP BY 1, 2"""
 
 for _name in ("str2_silver_parse", "snk3_silver_append"):
 
@@ -139,6 +140,50 @@ for _name in ("str2_silver_parse", "snk3_silver_append"):
         return out
 
 
+def spoiled(rows):
+    """The message stream with a tenth each of cut, empty, foreign and unknown messages."""
+    text, k = F.col("value").cast("string"), F.col("offset") % 10
+    value = F.when(k == 1, F.expr("left(string(value), length(string(value)) div 2)")).when(k == 2, F.lit("  "))
+    value = value.when(k == 3, F.lit('{"unknown": 1}')).otherwise(text)
+    topic = F.when(k == 4, F.lit("other-topic")).otherwise(F.col("topic"))
+    return rows.withColumns({"value": value.cast("binary"), "topic": topic})
+
+
+REJECTS = f"""SELECT CASE event_id % 10 WHEN 1 THEN 'rejected:malformed_json' WHEN 2 THEN 'rejected:empty' WHEN 3 THEN 'rejected:no_known_field'
+    WHEN 4 THEN 'rejected:unknown_topic' ELSE CASE WHEN {BAD} THEN 'rejected:malformed_json' ELSE CASE {TOPIC} WHEN 'customer-events' THEN 'CUST' WHEN 'transaction-events' THEN 'TRANS' ELSE 'METRIC' END END END AS kind,
+  count(*) AS n, min(event_id) AS first_offset FROM ev GROUP BY 1"""
+
+
+def _kept_and_rejected(t, lk, layer, tables):
+    out = t.spark.read.parquet(lk.path(layer, "rejected")).groupBy(F.concat(F.lit("rejected:"), "reason").alias("kind"))
+    out = out.agg(F.count("*").alias("n"), F.min("offset").alias("first_offset"))
+    return out, {name: t.spark.read.parquet(lk.path(layer, table)) for name, table in tables.items()}
+
+
+@register("str2_rejected_payloads", ctes("ev", f"SELECT kind, n, CASE WHEN kind LIKE 'rejected%' THEN first_offset END AS first_offset FROM ({REJECTS})"))
+def _(t):
+    lk = lake(t, "str2r")
+    done(medallion.raw_bronze(lk, spoiled(fixtures.envelope(events_stream(t))), None))
+    done(*medallion.silver_tables(lk, None).values())
+    out, kept = _kept_and_rejected(t, lk, "silver", {"CUST": "customer_events", "TRANS": "transaction_events", "METRIC": "analytics_events"})
+    for name, rows in kept.items():
+        line = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n", F.lit(None).cast("long").alias("first_offset"))
+        out = out.unionByName(line)
+    return out
+
+
+@register("str6_rejected_payloads", ctes("ev", f"SELECT kind, n, CASE WHEN kind LIKE 'rejected%' THEN first_offset END AS first_offset FROM ({REJECTS})"))
+def _(t):
+    lk = lake(t, "str6r")
+    medallion.create_folders(lk, "bronze", list(medallion.TYPED_TOPICS))
+    done(*medallion.typed_bronze_tables(lk, spoiled(fixtures.envelope(events_stream(t))), None).values())
+    out, kept = _kept_and_rejected(t, lk, "bronze", {"CUST": "customer_behavior", "TRANS": "transactions", "METRIC": "analytics_metrics"})
+    for name, rows in kept.items():
+        line = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n", F.lit(None).cast("long").alias("first_offset"))
+        out = out.unionByName(line)
+    return out
+
+
 CUSTOMER_METRICS = """SELECT time_bucket(INTERVAL 5 MINUTE, event_ts) AS window_start, time_bucket(INTERVAL 5 MINUTE, event_ts) + INTERVAL 5 MINUTE AS window_end,
   event_type AS action, device_type, count(customer_id) AS event_count, count(DISTINCT customer_id) AS unique_customers,
   round(avg(value), 6) AS avg_value, round(sum(value), 6) AS total_value FROM ev GROUP BY 1, 2, 3, 4"""
@@ -197,7 +242,7 @@ def _(t):
 
 
 TYPED = f"""SELECT CASE {TOPIC} WHEN 'customer-events' THEN 'customer_behavior' WHEN 'transaction-events' THEN 'transactions'
-  ELSE 'analytics_metrics' END AS table_name, count(*) AS n, max(event_ts) AS newest FROM ev GROUP BY 1"""
+  ELSE 'analytics_metrics' END AS table_name, count(*) AS n, max(event_ts) AS newest FROM ev WHERE NOT {BAD} GROUP BY 1"""
 
 for _name in ("str6_typed_bronze", "snk2_typed_bronze_append"):
 
@@ -344,6 +389,43 @@ register(
     more("ev", f"c AS ({COUNTERS})", f"SELECT event_type, latest_event_id FROM c WHERE latest_ts >= {EVN} - INTERVAL 3600 SECOND"),
 )(lambda t: keyed.alive(_counters(t), "latest_ts", latest(t.raw("events"), "ts"), 3600).select("event_type", "latest_event_id"))
 
+LIVES = f"""marked AS (SELECT *, CASE WHEN event_ts - lag(event_ts) OVER w <= INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS fresh
+  FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY event_ts, event_id)),
+lives AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY event_ts, event_id) AS life FROM marked)
+SELECT event_type, min(event_ts) AS starts, max(event_ts) + INTERVAL 3600 SECOND AS ends, count(*) AS count,
+  max_by(event_id, (event_ts, event_id)) AS latest_event_id, max_by(value, (event_ts, event_id)) AS latest_value,
+  max(event_ts) + INTERVAL 3600 SECOND > {EVN} AS alive FROM lives GROUP BY event_type, life"""
+
+
+@register("str12_counter_lives", more("ev", *LIVES.split("\nSELECT event_type", 1)[:1], "SELECT event_type" + LIVES.split("\nSELECT event_type", 1)[1]))
+def _(t):
+    """Counters that expire after an hour without an event: those that did, and those still in the state."""
+    path, keys, made = shared_dir(t.spark, "str12l"), ["event_type"], sessions.counter_aggregates()
+    rows = sessions.windowed_sessions(events_stream(t), keys, "3600 seconds", made, "1 hour")
+    done(sessions.publish_sessions(rows, f"{path}/out", f"{path}/cp", None))
+    gone = t.spark.read.schema(rows.schema).parquet(f"{path}/out")
+    here = sessions.open_sessions(t.spark, f"{path}/cp", keys, list(made))
+    return sessions.as_counters(gone.unionByName(here), latest(t.raw("events"), "ts"))
+
+
+@register(
+    "agg53_stream_sessions",
+    more(
+        "ev",
+        SESSIONS,
+        """SELECT customer_id, session_start, session_end, events::BIGINT AS events, page_views::BIGINT AS page_views,
+  purchases::BIGINT AS purchases, round(revenue, 6) AS revenue, round(duration_seconds, 6) AS duration_seconds FROM sess""",
+    ),
+)
+def _(t):
+    path, keys, made = shared_dir(t.spark, "agg53s"), ["customer_id"], sessions.customer_aggregates()
+    rows = sessions.windowed_sessions(events_stream(t), keys, "30 minutes", made, "1 hour")
+    done(sessions.publish_sessions(rows, f"{path}/out", f"{path}/cp", None))
+    closed = t.spark.read.schema(rows.schema).parquet(f"{path}/out")
+    live = sessions.open_sessions(t.spark, f"{path}/cp", keys, list(made))
+    return rounded(sessions.as_sessions(closed.unionByName(live)))
+
+
 # A day instead of a minute and lower limits: the test table has few events per minute.
 DAY_LIMITS = {"anonymous": 2, "authenticated": 3, "auth": 1, "upload": 2, "ml": 2}
 REQ = """req AS (SELECT event_id AS request_id, ts, CASE WHEN user_id % 3 = 0 THEN 'ip:10.0.0.' || (user_id % 7) ELSE 'user:' || user_id END AS identifier,

@@ -38,6 +38,45 @@ def parse_payload(rows: DataFrame, column: str, schema: T.StructType, keep: list
     return rows.select(*keep, parsed.alias("_data")).select(*keep, "_data.*")
 
 
+def unusable(payload: list[str]) -> Column:
+    """No field of the payload could be read."""
+    return F.coalesce(*[F.col(c).cast("string") for c in payload]).isNull()
+
+
+def reject_reason(raw: Column) -> Column:
+    """Why a payload without a usable field was rejected; needs ``_corrupt_record``."""
+    return (
+        F.when(F.length(F.trim(F.coalesce(raw, F.lit("")))) == 0, "empty")
+        .when(F.col(CORRUPT).isNotNull(), "malformed_json")
+        .otherwise("no_known_field")
+    )
+
+
+REJECTED = ["topic", "partition", "offset", "kafka_timestamp", "raw_data", "processing_timestamp", "date_partition"]
+
+
+def rejected_rows(bronze: DataFrame, payloads: dict[str, T.StructType]) -> DataFrame:
+    """Messages of raw bronze that no typed table takes, as they came, with the reason.
+
+    Together with :func:`usable_rows` of every topic each message is somewhere, once.
+    """
+    known = F.col("topic").isin(*payloads)
+    out = bronze.filter(~F.coalesce(known, F.lit(False))).select(*REJECTED, F.lit("unknown_topic").alias("reason"))
+    for topic, schema in payloads.items():
+        held = [F.col(c).alias(f"_raw_{c}") for c in REJECTED]
+        rows = bronze.filter(F.col("topic") == topic).select("raw_data", *held)
+        flat = parse_payload(rows, "raw_data", schema, [f"_raw_{c}" for c in REJECTED])
+        bad = flat.filter(unusable(schema.names))
+        out = out.unionByName(
+            bad.select(*[F.col(f"_raw_{c}").alias(c) for c in REJECTED], reject_reason(F.col("_raw_raw_data")).alias("reason"))
+        )
+    return out
+
+
+def usable_rows(parsed: DataFrame, schema: T.StructType) -> DataFrame:
+    return parsed.filter(~unusable(schema.names))
+
+
 def silver_events(bronze: DataFrame, topic: str, schema: T.StructType | None = None) -> DataFrame:
     """One topic of the raw bronze table as typed rows with an event time."""
     rows = bronze.filter(F.col("topic") == topic)
@@ -53,7 +92,7 @@ def typed_bronze(envelope: DataFrame, topic: str, schema: T.StructType, ingested
     rows = envelope.filter(F.col("topic") == topic).select(
         F.col("value").cast("string").alias("_json"), F.col("timestamp").alias("kafka_timestamp")
     )
-    flat = parse_payload(rows, "_json", schema, ["kafka_timestamp"])
+    flat = usable_rows(parse_payload(rows, "_json", schema, ["kafka_timestamp"]), schema)
     return flat.drop(CORRUPT).select(
         *schema.names,
         lenient_timestamp(F.col("timestamp")).alias("event_timestamp"),

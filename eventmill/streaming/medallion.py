@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventmill.operators import changes
 from eventmill.operators.contracts import apply_contract
-from eventmill.operators.parse import CORRUPT, envelope_rows, silver_events, typed_bronze
+from eventmill.operators.parse import CORRUPT, envelope_rows, rejected_rows, silver_events, typed_bronze, usable_rows
 from eventmill.operators.rollups import minute_dashboard
 from eventmill.schemas import (
     BRONZE_TABLES,
@@ -67,10 +67,10 @@ def raw_stream(lake: Lake, files_per_trigger: int | None = None) -> DataFrame:
 
 
 def silver_tables(lake: Lake, every: str | None = sinks.SILVER) -> dict[str, StreamingQuery]:
-    """One parsed table per topic, partitioned by day."""
+    """One parsed table per topic, partitioned by day, and :func:`rejected` beside them."""
     return {
         table: append_stream(
-            silver_events(raw_stream(lake), topic).drop(CORRUPT),
+            usable_rows(silver_events(raw_stream(lake), topic), PAYLOADS[topic]).drop(CORRUPT),
             lake.path("silver", table),
             lake.checkpoint(f"silver_{table}"),
             every,
@@ -78,17 +78,26 @@ def silver_tables(lake: Lake, every: str | None = sinks.SILVER) -> dict[str, Str
             f"silver_{table}",
         )
         for table, topic in SILVER_TABLES.items()
-    }
+    } | {"rejected": rejected(raw_stream(lake), lake, "silver", every)}
+
+
+def rejected(raw: DataFrame, lake: Lake, layer: str, every: str | None, payloads: dict | None = None) -> StreamingQuery:
+    """Messages that no table of the layer takes, with their text and the reason."""
+    payloads = payloads or {topic: PAYLOADS[topic] for topic in SILVER_TABLES.values()}
+    rows = rejected_rows(raw, payloads)
+    return append_stream(
+        rows, lake.path(layer, "rejected"), lake.checkpoint(f"{layer}_rejected"), every, ["date_partition"], f"{layer}_rejected"
+    )
 
 
 def typed_bronze_tables(
     lake: Lake, envelope: DataFrame, every: str | None = sinks.TYPED_BRONZE, ingested_at=None
 ) -> dict[str, StreamingQuery]:
-    """Parsed straight from the stream, one table per topic."""
-    out = {}
+    """Parsed straight from the stream, one table per topic, and the messages none of them takes."""
+    out, payloads = {}, {}
     for table, topic in TYPED_TOPICS.items():
         schema = BRONZE_TABLES[table]
-        payload = type(schema)([f for f in schema if f.name not in _TYPED_EXTRA])
+        payload = payloads[topic] = type(schema)([f for f in schema if f.name not in _TYPED_EXTRA])
         out[table] = append_stream(
             typed_bronze(envelope, topic, payload, ingested_at),
             lake.path("bronze", table),
@@ -96,6 +105,7 @@ def typed_bronze_tables(
             every,
             name=f"bronze_{table}",
         )
+    out["rejected"] = rejected(envelope_rows(envelope, ingested_at), lake, "bronze", every, payloads)
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventmill.session import ROCKSDB_PROVIDER
 from eventmill.sources import nested as fixtures
-from eventmill.streaming import keyed, medallion, sinks, sources, windows
+from eventmill.streaming import keyed, medallion, sessions, sinks, sources, windows
 
 SCHEMA = "event_id long, customer_id long, action string, device_type string, category string, value double, event_timestamp timestamp"
 BASE = datetime(2024, 1, 1)
@@ -175,7 +175,7 @@ def test_typed_bronze_and_registry(spark, tables, lake):
     status = registry.status()
     registry.stop()
     assert {s["active"] for s in status.values()} == {False}
-    total = sum(spark.read.parquet(lake.path("bronze", t)).count() for t in medallion.TYPED_TOPICS)
+    total = sum(spark.read.parquet(lake.path("bronze", t)).count() for t in [*medallion.TYPED_TOPICS, "rejected"])
     assert total == tables.events.count()
 
 
@@ -188,19 +188,70 @@ def test_continuous_medallion_reaches_gold(spark, tables, lake, monkeypatch):
     fixtures.envelope(tables.events).write.parquet(path)
     registry = jobs.start_medallion(lake, sources.event_stream(spark, "files", path))
     try:
-        for name in ("raw_events", *medallion.SILVER_TABLES, "customer_metrics", "transaction_metrics", "event_rates"):
+        for name in ("raw_events", *medallion.SILVER_TABLES, "rejected", "customer_metrics", "transaction_metrics", "event_rates"):
             registry.queries[name].processAllAvailable()
         assert all(s["active"] for s in registry.status().values())
     finally:
         registry.stop()
     n = tables.events.count()
     assert spark.read.parquet(lake.path("bronze", "raw_events")).count() == n
-    assert sum(spark.read.parquet(lake.path("silver", t)).count() for t in medallion.SILVER_TABLES) == n
+    assert sum(spark.read.parquet(lake.path("silver", t)).count() for t in [*medallion.SILVER_TABLES, "rejected"]) == n
     rates = windows.read_gold(spark, lake.path("gold", "event_rates"), windows.event_rate())
     assert rates.agg(F.sum("event_count")).first()[0] == n
     assert windows.read_gold(spark, lake.path("gold", "customer_metrics"), windows.customer_metrics()).count() > 0
 
 
+def _moments(*seconds, key=1):
+    return [(i, key, "view", "mobile", "c", 1.0, BASE + timedelta(seconds=s)) for i, s in enumerate(seconds)]
+
+
+def _sessions(spark, tmp_path, parts, gap, delay="1 hour"):
+    files = write_files(spark, str(tmp_path), parts)
+    events = stream(spark, files).withColumn("event_ts", F.col("event_timestamp"))
+    made = {"n": F.count("*"), "last": F.max("event_ts")}
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    rows = sessions.windowed_sessions(events, ["customer_id"], gap, made, delay)
+    sessions.publish_sessions(rows, out, cp, None).awaitTermination()
+    tell = lambda df: sorted((r.customer_id, (r.starts - BASE).seconds, (r.ends - BASE).seconds, r.n) for r in df.collect())
+    live = sessions.open_sessions(spark, cp, ["customer_id"], list(made))
+    return tell(spark.read.schema(rows.schema).parquet(out)), tell(live)
+
+
+def test_a_late_event_joins_two_sessions(spark, tmp_path):
+    closed, live = _sessions(spark, tmp_path, [_moments(0, 100), _moments(3000), _moments(1500), _moments(9000, key=2)], "1800 seconds")
+    assert live == [(2, 9000, 10800, 1)]
+    assert closed == [(1, 0, 4800, 4)]
+
+
+@pytest.mark.parametrize("ttl", [keyed.TTL_EVENT, keyed.TTL_LATEST, keyed.TTL_METRICS])
+def test_counters_live_until_their_time(spark, tmp_path, ttl):
+    """Each event renews the counter; the first after its time starts a new one."""
+    first = _moments(0, ttl - 1, 2 * ttl - 2)
+    again = _moments(3 * ttl, 3 * ttl + 1)
+    closed, live = _sessions(spark, tmp_path, [first, again, _moments(3 * ttl + 2)], f"{ttl} seconds", "0 seconds")
+    assert closed == [(1, 0, 3 * ttl - 2, 3)]
+    assert live == [(1, 3 * ttl, 4 * ttl + 2, 3)]
+
+
+def test_every_message_is_kept_once(spark, tables, lake):
+    from eventmill.catalog.streams import spoiled
+
+    path = f"{lake.base}/messages"
+    spoiled(fixtures.envelope(tables.events)).write.parquet(path)
+    medallion.raw_bronze(lake, sources.event_stream(spark, "files", path, ["customer-events", "transaction-events", "analytics-events", "other-topic"]), None).awaitTermination()
+    for q in medallion.silver_tables(lake, None).values():
+        q.awaitTermination()
+    rejected = spark.read.parquet(lake.path("silver", "rejected"))
+    good = [spark.read.parquet(lake.path("silver", t)) for t in medallion.SILVER_TABLES]
+    assert rejected.count() + sum(g.count() for g in good) == tables.events.count()
+    assert {r.reason for r in rejected.select("reason").distinct().collect()} == {"empty", "malformed_json", "no_known_field", "unknown_topic"}
+    raw = {r.offset: r.raw_data for r in spark.read.parquet(lake.path("bronze", "raw_events")).collect()}
+    assert all(raw[r.offset] == r.raw_data for r in rejected.collect())
+    for g in good:
+        payload = [c for c in g.columns if c not in ("kafka_timestamp", "processing_timestamp", "date_partition", "event_timestamp")]
+        assert g.filter(F.coalesce(*[F.col(c).cast("string") for c in payload]).isNull()).count() == 0
+
+
 def test_sources_by_type(spark):
     with pytest.raises(ValueError):
         sources.event_stream(spark, "socket")
