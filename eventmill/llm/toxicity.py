@@ -114,7 +114,7 @@ class CharacterModel:
         for n in range(1, ORDER + 1):
             seen = grams.sum(axis=tuple(range(ORDER - n)))
             p = (seen + SHRINK * p) / (seen.sum(-1, keepdims=True) + SHRINK)
-        self.log = np.log(p).astype(np.float32).reshape(-1, CLASSES).tolist()
+        self.log = np.log(p).astype(np.float32).reshape(-1, CLASSES)  # lists are faster, but for tasks to make
 
 
 def edges_of(raw: str, i: int) -> list[tuple[str, float]]:
@@ -175,9 +175,11 @@ _TAIL = re.compile(r"[!$@*+|#%&=~]{2,}$")
 
 def words_of(token: str, log: list[list[float]]) -> list[str]:
     """Restored words of a token or of letters spaced out."""
-    plain = _TAIL.sub("", fold(token).strip(_OUTER)).rstrip("!")
-    if not any(map(str.isalpha, plain)):
-        return []
+    plain = fold(token)
+    if not plain.isalpha():
+        plain = _TAIL.sub("", plain.strip(_OUTER)).rstrip("!")
+        if not any(map(str.isalpha, plain)):
+            return []
     marks = _MARKED.findall(plain)
     if not marks:
         return [plain]
@@ -219,7 +221,8 @@ def tokens_of(text: str) -> set[str]:
     """Distinct tokens of a text and the stretches of three single characters and more in it."""
     tokens = text.lower().split()
     found, held, last = set(tokens), [], -1
-    short = [i for i, t in enumerate(tokens) if len(t) < 3 and len(t.strip(_OUTER)) == 1]
+    single = {t for t in found if len(t) < 3 and len(t.strip(_OUTER)) == 1}
+    short = [i for i, t in enumerate(tokens) if t in single] if single else []
     for i in [*short, -2]:
         if i != last + 1:
             if len(held) > 2:
@@ -277,8 +280,9 @@ def restored(docs: DataFrame, model: CharacterModel | Model, keep: list[str] | N
     shared = docs.sparkSession.sparkContext.broadcast(model.log)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log = shared.value.tolist()
         for batch in batches:
-            texts = [restore_text(t, shared.value) for t in batch.column("_text").to_pylist()]
+            texts = [restore_text(t, log) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in held], pa.array(texts, pa.string())], names=[*held, "text"])
 
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in held]
@@ -353,7 +357,7 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, size: int, rounds: int =
 class Model:
     """What scoring needs; a few MB whatever the corpus."""
 
-    log: list[list[float]]
+    log: np.ndarray
     place: np.ndarray  # bucket -> row of ``gain``, or -1
     gain: np.ndarray  # row, number of words that hold the n-gram -> sum of its levels' weights
     constant: float
@@ -362,11 +366,11 @@ class Model:
     key: str = field(default="")
 
     def __post_init__(self):
-        held = [self.place.tobytes(), self.gain.tobytes(), repr((self.log, self.constant)).encode()]
+        held = [self.place.tobytes(), self.gain.tobytes(), self.log.tobytes(), repr(self.constant).encode()]
         self.key = hashlib.sha256(b"".join(held)).hexdigest()
 
     @classmethod
-    def of(cls, log: list[list[float]], codes: np.ndarray, weights: np.ndarray, constant: float, base: float) -> Model:
+    def of(cls, log: np.ndarray, codes: np.ndarray, weights: np.ndarray, constant: float, base: float) -> Model:
         buckets = np.unique(codes // LEVELS)
         place = np.full(BUCKETS, -1, np.int32)
         place[buckets] = np.arange(len(buckets))
@@ -375,34 +379,46 @@ class Model:
         return cls(log, place, np.cumsum(gain, axis=1), constant, base, True)
 
     @classmethod
-    def nothing(cls, log: list[list[float]], base: float) -> Model:
+    def nothing(cls, log: np.ndarray, base: float) -> Model:
         return cls(log, np.full(BUCKETS, -1, np.int32), np.zeros((0, LEVELS + 1)), 0.0, base, False)
 
 
 class Scorer:
-    """Tokens met so far, and of those that hold features their words with these; bounded."""
+    """Tokens met so far, and of those that hold features their words with these; bounded.
+
+    Tokens that differ in the signs around them are restored once.
+    """
 
     def __init__(self, model: Model):
-        self.model, self.wanted = model, model.place >= 0
+        self.model, self.wanted, self.log = model, model.place >= 0, model.log.tolist()
+        self.clear()
+
+    def clear(self) -> None:
         self.met: set[str] = set()
+        self.inside: dict[str, list[tuple[str, list[int]]] | None] = {}
         self.telling: dict[str, list[tuple[str, list[int]]]] = {}
 
     def learn(self, tokens: set[str]) -> None:
         """The new ones among the tokens, all at once."""
         new = tokens - self.met
         if len(self.met) + len(new) > KNOWN_WORDS:
-            self.met, self.telling, new = set(), {}, tokens
+            self.clear()
+            new = tokens
         self.met |= new
-        words = [words_of(t, self.model.log) for t in new]
+        cores = {t: t.strip(_OUTER) for t in new}
+        fresh = [c for c in set(cores.values()) if c not in self.inside]
+        words = [words_of(c, self.log) for c in fresh]
         word, bucket = Grams([w for found in words for w in found]).of(self.wanted)
         rows: dict[int, list[int]] = {}
         for w, p in zip(word.tolist(), self.model.place[bucket].tolist(), strict=True):
             rows.setdefault(w, []).append(p)
         at = 0
-        for t, found in zip(new, words, strict=True):
-            if own := [(w, rows[at + k]) for k, w in enumerate(found) if at + k in rows]:
-                self.telling[t] = own
+        for c, found in zip(fresh, words, strict=True):
+            self.inside[c] = [(w, rows[at + k]) for k, w in enumerate(found) if at + k in rows] or None
             at += len(found)
+        for t, c in cores.items():
+            if held := self.inside[c]:
+                self.telling[t] = held
 
     def scores(self, texts: list[str | None]) -> Iterator[float]:
         """Of texts, whose new tokens are learned together, about ``PIECE_CHARS`` at a time."""
@@ -443,10 +459,10 @@ def _feature_counts(rows: DataFrame, log, wanted=None) -> DataFrame:
             code, n = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
-        mask = None if wanted is None else wanted.value
+        mask, table = None if wanted is None else wanted.value, log.value.tolist()
         for batch in batches:
             for text in batch.column("t").to_pylist():
-                codes.append(features(text, log.value, mask))
+                codes.append(features(text, table, mask))
                 size += len(codes[-1])
                 if size >= HELD_CODES:
                     yield flush()
@@ -506,11 +522,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     telling = spark.sparkContext.broadcast(codes)
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_codes = telling.value
+        known_codes, table = telling.value, log.value.tolist()
         mask = np.zeros(BUCKETS, bool)
         mask[known_codes // LEVELS] = True
         for batch in batches:
-            found = [features(t, log.value, mask) for t in batch.column("t").to_pylist()]
+            found = [features(t, table, mask) for t in batch.column("t").to_pylist()]
             places = [np.flatnonzero(np.isin(known_codes, c)).astype(np.int32) for c in found]
             yield pa.RecordBatch.from_arrays([batch.column("_r"), batch.column("_y"), pa.array(places, pa.list_(pa.int32()))], names=["_r", "_y", "f"])
 
