@@ -99,7 +99,7 @@ def typed_bronze_tables(
         schema = BRONZE_TABLES[table]
         payload = payloads[topic] = type(schema)([f for f in schema if f.name not in _TYPED_EXTRA])
         out[table] = append_stream(
-            typed_bronze(envelope, topic, payload, ingested_at),
+            usable_rows(typed_bronze(envelope, topic, payload, ingested_at), payload),
             lake.path("bronze", table),
             lake.checkpoint(f"bronze_{table}"),
             every,
