@@ -43,11 +43,11 @@ def unusable(payload: list[str]) -> Column:
     return F.coalesce(*[F.col(c).cast("string") for c in payload]).isNull()
 
 
-def reject_reason(raw: Column) -> Column:
-    """Why a payload without a usable field was rejected; needs ``_corrupt_record``."""
+def reject_reason(raw: Column, corrupt: Column) -> Column:
+    """Why a payload without a usable field was rejected."""
     return (
         F.when(F.length(F.trim(F.coalesce(raw, F.lit("")))) == 0, "empty")
-        .when(F.col(CORRUPT).isNotNull(), "malformed_json")
+        .when(corrupt.isNotNull(), "malformed_json")
         .otherwise("no_known_field")
     )
 
@@ -60,21 +60,24 @@ def rejected_rows(bronze: DataFrame, payloads: dict[str, T.StructType]) -> DataF
 
     Together with :func:`usable_rows` of every topic each message is somewhere, once.
     """
-    known = F.col("topic").isin(*payloads)
-    out = bronze.filter(~F.coalesce(known, F.lit(False))).select(*REJECTED, F.lit("unknown_topic").alias("reason"))
-    for topic, schema in payloads.items():
-        held = [F.col(c).alias(f"_raw_{c}") for c in REJECTED]
-        rows = bronze.filter(F.col("topic") == topic).select("raw_data", *held)
-        flat = parse_payload(rows, "raw_data", schema, [f"_raw_{c}" for c in REJECTED])
-        bad = flat.filter(unusable(schema.names))
-        out = out.unionByName(
-            bad.select(*[F.col(f"_raw_{c}").alias(c) for c in REJECTED], reject_reason(F.col("_raw_raw_data")).alias("reason"))
-        )
-    return out
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    # the random column keeps the filter above the parsing, which it would otherwise repeat by field
+    parsed, reason = bronze.select(*REJECTED, F.rand(0).alias("_once")), None
+    for i, (topic, schema) in enumerate(payloads.items()):
+        mine = F.col("topic") == topic
+        # one pass: a message is parsed by its own topic's schema only
+        parsed = parsed.withColumn(f"_p{i}", F.when(mine, F.from_json("raw_data", _with_corrupt(schema), options)))
+        nothing = F.coalesce(*[F.col(f"_p{i}.`{c}`").cast("string") for c in schema.names]).isNull()
+        why = F.when(nothing, reject_reason(F.col("raw_data"), F.col(f"_p{i}.{CORRUPT}")))
+        reason = F.when(mine, why) if reason is None else reason.when(mine, why)
+    reason = reason.otherwise("unknown_topic")
+    return parsed.filter(reason.isNotNull() & (F.col("_once") >= 0)).select(*REJECTED, reason.alias("reason"))
 
 
 def usable_rows(parsed: DataFrame, schema: T.StructType) -> DataFrame:
-    return parsed.filter(~unusable(schema.names))
+    """Rows with a field that could be read."""
+    # the random column keeps the filter above the parsing, which it would otherwise repeat by field
+    return parsed.withColumn("_once", F.rand(0)).filter(~unusable(schema.names) & (F.col("_once") >= 0)).drop("_once")
 
 
 def silver_events(bronze: DataFrame, topic: str, schema: T.StructType | None = None) -> DataFrame:

@@ -85,9 +85,7 @@ def rejected(raw: DataFrame, lake: Lake, layer: str, every: str | None, payloads
     """Messages that no table of the layer takes, with their text and the reason."""
     payloads = payloads or {topic: PAYLOADS[topic] for topic in SILVER_TABLES.values()}
     rows = rejected_rows(raw, payloads)
-    return append_stream(
-        rows, lake.path(layer, "rejected"), lake.checkpoint(f"{layer}_rejected"), every, ["date_partition"], f"{layer}_rejected"
-    )
+    return append_stream(rows, lake.path(layer, "rejected"), lake.checkpoint(f"{layer}_rejected"), every, name=f"{layer}_rejected")
 
 
 def typed_bronze_tables(
