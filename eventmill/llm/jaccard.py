@@ -12,13 +12,19 @@ when d <= r = 0.2. Equal sets are one point. Two kinds of pivots cut the space:
    COMMON texts come last, the more common the later: passages that many texts share do
    not crowd cells. They are counted over all texts. Document pivots cannot open the
    join: nearly all texts are at distance 1 from all of them.
-2. Texts, inside crowded cells, where distances are small. Every text of a region is
-   measured against a few pivot texts. It enters the region of pivot j when a lower bound
-   of d(x, pj) is at most its distance to its nearest pivot plus r (of a linked pair, the
-   one nearer to its pivot has the other within r there). Texts within r of pivot j are
-   connected through it and stay in that region only if the triangle inequality allows a
-   link to one that is not. Regions join recursively, with more pivots each time,
-   until all but a few of their texts are connected; these few are measured against all.
+2. Texts, inside cells, where distances are small. Every text of a region is measured
+   against a few of its texts; the first is the one whose cells hold the most others for
+   its size, which among copies of one origin is the origin. Texts within r of a pivot
+   are connected through it and stay only if the triangle inequality allows a link to one
+   that is not. Regions whose texts mostly belong to one component are many views of the
+   same texts and become one region. Pairs of a small region are measured; a larger one
+   joins recursively around its pivot p: x ^ p and y ^ p, the differences from it, differ
+   in as many places as x and y, so a linked pair agrees in the first places of both
+   differences, the rarest first. For h = r (|x| + |y|) / (2 - r), which bounds |x ^ y| of
+   a linked pair, the first common one stands at places i and j, counted from 0, with
+   2i + |y ^ p| - |x ^ p| <= h and the same for j. Only if both lie within r of p may they
+   agree nowhere, and then p connects them. Copies of one origin share most shingles, but
+   few of their changes, so what they don't share is what this compares.
 
 Distances are bounded from below by counts of the sets' hashes in 256 classes, which is a
 pivot table of the symmetric difference; only pairs it cannot exclude read the sets. The
@@ -45,8 +51,8 @@ MOST_SHARED = 1 << 20  # shared shingles that the order may know; a bound of the
 CLASSES = 256
 COMMON = 4  # a shingle in more texts than this comes late in the order
 STARS = 3  # pivots that every region starts with
-FIRST_PIVOTS = 16  # of a crowded region; the next ones get four times as many
-MOST_OUTSIDE = 512  # with up to this many texts outside its largest component a region measures all open pairs
+FEW_PAIRS = 4096  # a region with up to this many open pairs measures them, a larger one joins around its pivot
+SHARE = 64  # texts of a region that meet one copy of its pivot
 FEW_IDS = 2_000_000  # ids up to this number are broadcast to pick texts, more are joined
 
 
@@ -239,23 +245,15 @@ class _Join:
         """Sizes that a link allows."""
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
-    def labels(self) -> DataFrame:
-        """node, component of linked texts: the smallest text within two links, so equal ones are connected."""
-        links = self.all_links()
-        ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        by_end = near.select(F.col("a").alias("b"), F.col("m").alias("mb"))
-        two = ends.join(by_end, "b").groupBy("a").agg(F.min("mb").alias("mb"))
-        return two.join(near, "a").select(F.col("a").alias("node"), F.least("m", "mb").alias("component"))
-
-    def chosen(self, regions: DataFrame, pivots: int, turn: int) -> DataFrame:
-        """region, pivot, pn: the first texts of each region in ``pivots`` hash orders."""
-        picks = [
-            F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(j)), F.col("node").alias("pivot"), F.col("n").alias("pn")))
-            for j in range(pivots)
-        ]
-        plain = F.transform(F.array(*picks), lambda p: F.struct(p["pivot"].alias("pivot"), p["pn"].alias("pn")))
-        return regions.groupBy("region").agg(F.array_distinct(plain).alias("p")).select("region", F.inline("p"))
+    def chosen(self, regions: DataFrame) -> DataFrame:
+        """region, center, pivot, pn: the text with the highest score, and the first in other hash orders."""
+        picks = [F.max(F.struct("score", F.col("node").alias("pivot"), F.col("n").alias("pn")))]
+        for j in range(1, STARS):
+            order = F.xxhash64("node", F.lit(0), F.lit(j)).alias("order")
+            picks.append(F.min(F.struct(order, F.col("node").alias("pivot"), F.col("n").alias("pn"))))
+        plain = F.array_distinct(F.array(*[F.struct(p["pivot"].alias("pivot"), p["pn"].alias("pn")) for p in picks]))
+        found = regions.groupBy("region").agg(plain.alias("p"))
+        return found.select("region", F.col("p")[0]["pivot"].alias("center"), F.inline("p"))
 
     def stars(self, regions: DataFrame) -> DataFrame:
         """Measure every text of a region against STARS of its texts and give the regions that remain.
@@ -263,7 +261,7 @@ class _Join:
         A text goes if it is a pivot, or lies in the core of one so deep that no text outside
         the core can link to it: what may link to it is connected with it already.
         """
-        rows = regions.join(self.chosen(regions, STARS, 0), "region")
+        rows = regions.join(stage(self.chosen(regions), "jaccard-pivots"), "region")
         own = F.col("node") == F.col("pivot")
         told = self._told(rows, self.measure(self._pairs(rows)))
         core = F.col("hi") <= self.r + 1e-9
@@ -271,7 +269,8 @@ class _Join:
         deep = core & (F.col("d") < F.coalesce("edge", F.lit(9.0)) - self.r - 1e-9)
         gone = told.join(edges, ["region", "pivot"]).filter(deep).select("region", "node")
         gone = gone.union(rows.filter(own).select("region", "node")).distinct()
-        return regions.join(gone, ["region", "node"], "left_anti")
+        own_row = rows.filter(F.col("pivot") == F.col("center")).select("region", "node", "n", "center")
+        return own_row.join(gone, ["region", "node"], "left_anti")
 
     def _told(self, rows: DataFrame, known: DataFrame) -> DataFrame:
         """Texts and pivots with bounds of their distance: lo and hi, both d where it was measured."""
@@ -286,12 +285,6 @@ class _Join:
             .select("region", "node", "n", "pivot", "lo", "hi", "d")
         )
 
-    def _open(self, told: DataFrame, region: list[str]) -> DataFrame:
-        """Without the core of a pivot, which is connected, but for texts that may link to one outside it."""
-        core = F.col("hi") <= self.r + 1e-9
-        edge = told.filter(~core).groupBy(*region).agg(F.min("lo").alias("edge"))
-        return told.join(edge, region).filter(~core | (F.col("d") >= F.col("edge") - self.r - 1e-9))
-
     def _pairs(self, rows: DataFrame) -> DataFrame:
         rows = rows.filter((F.col("node") != F.col("pivot")) & self.fits("n", "pn"))
         return rows.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
@@ -305,44 +298,107 @@ class _Join:
         )
         return both.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
-    def split(self, regions: DataFrame, pivots: int, turn: int) -> DataFrame:
-        """Measure crowded regions against ``pivots`` of their texts and give the regions that remain."""
-        chosen = stage(self.chosen(regions, pivots, turn), "jaccard-pivots")
-        rows = regions.join(chosen, "region")
-        known = self.measure(self._pairs(rows))
-        told = self._told(rows, known)
-        texts = stage(
-            told.join(chosen.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti"), "jaccard-told"
+    def _differences(self, regions: DataFrame) -> DataFrame:
+        """region, node, n, component, center, linked, delta: the difference of each text from its region's center.
+
+        Copies of a center's set are dealt to the texts of its region by SHARE.
+        """
+        content = self._contents(regions.select("node").union(regions.select(F.col("center").alias("node"))))
+        share = F.pmod(F.xxhash64("node"), F.col("shares")).alias("share")
+        regions = regions.withColumn("shares", F.ceil(F.col("texts") / SHARE).cast("long"))
+        copies = regions.groupBy("center").agg(F.max("shares").alias("shares"))
+        copies = copies.select("center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+        pivots = content.withColumnsRenamed({"node": "center", "content": "p"}).join(copies, "center")
+        both = regions.select("*", share).join(content, "node").join(pivots, ["center", "share"])
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                xs, ps = batch.column("content"), batch.column("p")
+                delta, linked = [], []
+                for i in range(batch.num_rows):
+                    x, p = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (xs, ps))
+                    d = np.setxor1d(x, p, assume_unique=True)
+                    union = (len(x) + len(p) + len(d)) // 2
+                    linked.append(100 * (union - len(d)) >= percent * union)
+                    delta.append(d.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in ("region", "node", "n", "component", "center")]
+                    + [pa.array(linked), pa.array(delta, pa.list_(pa.int64()))],
+                    names=["region", "node", "n", "component", "center", "linked", "delta"],
+                )
+
+        kept = both.select("region", "node", "n", "component", "center", "content", "p")
+        told = "region long, node long, n long, component long, center long, linked boolean, delta array<long>"
+        return stage(kept.mapInArrow(run, told), "jaccard-deltas")
+
+    def around(self, regions: DataFrame) -> DataFrame:
+        """Pairs that may link, of texts whose differences from the region's center agree early enough."""
+        deltas = self._differences(regions)
+        self.links.append(
+            deltas.filter("linked and node != center").select(
+                F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")
+            )
+        )
+        places = deltas.select("region", "node", F.explode("delta").alias("h"))
+        often = places.groupBy("region", "h").agg(F.count("*").alias("times")).filter("times > 1")
+        shared = places.join(often, ["region", "h"]).groupBy("region", "node")
+        shared = shared.agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("shared"))
+        # those that no other text has come first; a text can't hold more of them than a link allows
+        alone = F.col("m") - F.size("shared")
+        most = F.floor(F.col("n") * (100 - self.percent) / self.percent).cast("long") + 1
+        first = (
+            deltas.withColumn("m", F.size("delta")).drop("delta").join(shared, ["region", "node"])
+            .withColumn("alone", alone)
+            .withColumn("first", F.slice("shared", 1, F.greatest(most - F.col("alone"), F.lit(0)).cast("int")))
+            .select("region", "node", "n", "component", "m", "linked", "alone", F.posexplode("first").alias("at", "s"))
+            .withColumn("at", F.col("at") + F.col("alone"))
+            .select("region", F.col("s")["h"].alias("h"), "node", "n", "component", "m", "linked", "at")
+        )
+        first = stage(first, "jaccard-places")
+        outer = first.filter("not linked").drop("linked")
+        outer = outer.withColumnsRenamed({c: f"o_{c}" for c in ("node", "n", "component", "m", "at")})
+        bound = (F.col("n") + F.col("o_n")) * (100 - self.percent)
+        early = ((2 * F.col("at") + F.col("o_m") - F.col("m")) * (100 + self.percent) <= bound) & (
+            (2 * F.col("o_at") + F.col("m") - F.col("o_m")) * (100 + self.percent) <= bound
         )
-        nearest = texts.groupBy("region", "node").agg(F.min("hi").alias("least"))
-        inside = texts.join(nearest, ["region", "node"]).filter(F.col("lo") <= F.col("least") + self.r + 1e-9)
-        open_ = self._open(inside, ["region", "pivot"])
-        # a region that its pivots don't part stays one
-        before = texts.select("region", "node").distinct().groupBy("region").agg(F.count("*").alias("was"))
-        after = open_.groupBy("region").agg(F.count("*").alias("now"))
-        parted = before.join(after, "region").withColumn("parts", F.col("now") <= 2 * F.col("was"))
-        open_ = stage(open_.join(parted.select("region", "parts"), "region"), "jaccard-open")
-        apart = open_.filter("parts").select(F.xxhash64("region", "pivot").alias("region"), "node", "n")
-        whole = open_.filter("not parts").select("region", "node", "n").distinct()
-        return apart.union(whole)
+        met = outer.join(first, ["region", "h"]).filter(
+            (F.col("component") != F.col("o_component"))
+            & (F.col("linked") | (F.col("o_node") < F.col("node")))
+            & self.fits("n", "o_n")
+            & early
+        )
+        return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+    def _spread(self, regions: DataFrame) -> DataFrame:
+        """``regions`` that hold several components, with the largest, its texts, all texts and pairs."""
+        sizes = regions.groupBy("region", "component").agg(F.count("*").alias("size"))
+        spread = sizes.groupBy("region").agg(
+            F.max_by("component", F.struct("size", "component")).alias("largest"),
+            F.max("size").alias("most"),
+            F.sum("size").alias("texts"),
+        )
+        return regions.join(spread.filter("texts > most"), "region")
 
     def run(self, regions: DataFrame) -> None:
         regions = stage(self.stars(regions), "jaccard-regions")
-        turn, pivots = 1, FIRST_PIVOTS
-        while True:
-            labelled = regions.join(self.labels(), "node", "left").withColumn("component", F.coalesce("component", "node"))
-            sizes = labelled.groupBy("region", "component").agg(F.count("*").alias("texts"))
-            spread = sizes.groupBy("region").agg(
-                F.max_by("component", F.struct("texts", "component")).alias("largest"),
-                (F.sum("texts") - F.max("texts")).alias("outside"),
-            )
-            open_ = stage(labelled.join(spread.filter("outside > 0"), "region"), "jaccard-regions")
-            self.measure(self.across(open_.filter(F.col("outside") <= MOST_OUTSIDE)))
-            crowded = open_.filter(F.col("outside") > MOST_OUTSIDE).select("region", "node", "n")
-            if crowded.isEmpty():
-                return
-            regions = stage(self.split(crowded, pivots, turn), "jaccard-regions")
-            turn, pivots = turn + 1, pivots * 4
+        linked = components(self.all_links())
+        labelled = regions.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ = stage(self._spread(labelled), "jaccard-regions")
+        view = (F.col("most") > 1) & (2 * F.col("most") >= F.col("texts"))
+        same = open_.filter(view).groupBy(F.xxhash64("largest").alias("region"), "node", "n", "component")
+        same = same.agg(F.max("center").alias("center"))
+        one = same.groupBy("region", "center").agg(F.count("*").alias("named"))
+        one = one.groupBy("region").agg(F.max_by("center", F.struct("named", "center")).alias("center"))
+        same = same.drop("center").join(one, "region").select("region", "node", "n", "component", "center")
+        own = open_.filter(~view).select("region", "node", "n", "component", "center")
+        open_ = stage(self._spread(same.union(own)), "jaccard-regions")
+        pairs = F.col("texts") * (F.col("texts") - F.col("most"))
+        large = open_.filter(pairs > FEW_PAIRS)
+        found = self.across(open_.filter(pairs <= FEW_PAIRS))
+        if not large.isEmpty():
+            found = found.union(self.around(large)).distinct()
+        self.measure(found)
 
 
 def near_duplicates(
@@ -368,12 +424,11 @@ def near_duplicates(
     )
     shared = docs.sparkSession.sparkContext.broadcast(_shared_shingles(rows, size, percent))
     emitted = stage(_cells(rows, shared, size, percent), "jaccard-cells")
-    ends = emitted.groupBy("cell").agg(F.min("k64").alias("lo"), F.max("k64").alias("hi"))
-    met = emitted.join(ends.filter("lo != hi").select("cell"), "cell", "left_semi").distinct()
-    regions = stage(
-        met.join(sets.select("k64", "node", "n"), "k64").select(F.col("cell").alias("region"), "node", "n"),
-        "jaccard-regions",
-    )
+    ends = emitted.groupBy("cell").agg(F.min("k64").alias("lo"), F.max("k64").alias("hi"), F.count("*").alias("texts"))
+    met = emitted.join(ends.filter("lo != hi").select("cell", "texts"), "cell").distinct()
+    scores = met.groupBy("k64").agg(F.sum("texts").alias("score"))
+    named = sets.join(scores, "k64").select("k64", "node", "n", (F.col("score") / F.col("n")).alias("score"))
+    regions = stage(met.join(named, "k64").select(F.col("cell").alias("region"), "node", "n", "score"), "jaccard-regions")
     join = _Join(rows, sets, size, percent)
     join.run(regions)
     groups = components(join.all_links())

@@ -64,14 +64,54 @@ def corpus():
     return out + [(None, rows[3]), (None, "only here with no id at all"), out[5], (out[6][0], "another text under a known id now")]
 
 
-@pytest.mark.parametrize("outside", [256, 3])
-def test_against_brute_force(spark, monkeypatch, outside):
-    monkeypatch.setattr(J, "MOST_OUTSIDE", outside)
+@pytest.mark.parametrize("few", [4096, 30, 0])
+def test_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(J, "FEW_PAIRS", few)
     rows = corpus()
     got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def hub(copies, seed=8):
+    """Copies of one text, with up to 24 words replaced: links lead to the origin, to each other, or nowhere."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(150)]
+    rows = [" ".join(base)]
+    drifted = base
+    for k in range(copies):
+        text = list(drifted if k % 10 == 9 else base)
+        for _ in range(rng.randint(1, 3) if k % 10 == 9 else rng.randint(1, 24)):
+            text[rng.randrange(150)] = rng.choice(words)
+        if k % 10 == 9:
+            drifted = text  # a chain away from the origin
+        rows.append(" ".join(text))
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    return list(zip(ids, rows, strict=True))
+
+
+@pytest.mark.parametrize("few", [4096, 0])
+def test_hub_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(J, "FEW_PAIRS", few)
+    measured = []
+    measure = J._Join.measure
+
+    def counted(self, pairs):
+        measured.append(pairs.count())
+        return measure(self, pairs)
+
+    monkeypatch.setattr(J._Join, "measure", counted)
+    rows = hub(900)
+    want = brute(rows)
+    components = {c for _, _, c in want}
+    assert 50 < len(components) < 800  # texts near the origin, chains, and texts that link with nothing
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
+    # all 900 copies share cells: far fewer pairs are measured than texts outside the hub's component times all
+    assert sum(measured) < 12 * len(rows)
+
+
 def test_keep_one(spark):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string")
