@@ -16,7 +16,7 @@ when d <= r = 0.2. Equal sets are one point. Two kinds of pivots cut the space:
    against a few of its texts; the first is the one whose cells hold the most others for
    its size, which among copies of one origin is the origin. Texts within r of a pivot
    are connected through it and stay only if the triangle inequality allows a link to one
-   that is not. Regions whose texts mostly belong to one component are many views of the
+   that is not. Regions whose texts mostly link with one pivot are many views of the
    same texts and become one region. Pairs of a small region are measured; a larger one
    joins recursively around its pivot p: x ^ p and y ^ p, the differences from it, differ
    in as many places as x and y, so a linked pair agrees in the first places of both
@@ -258,31 +258,38 @@ class _Join:
     def stars(self, regions: DataFrame) -> DataFrame:
         """Measure every text of a region against STARS of its texts and give the regions that remain.
 
+        component is the region's center for texts linked with it, and the text itself for others.
+
         A text goes if it is a pivot, or lies in the core of one so deep that no text outside
         the core can link to it: what may link to it is connected with it already.
         """
         rows = regions.join(stage(self.chosen(regions), "jaccard-pivots"), "region")
-        own = F.col("node") == F.col("pivot")
-        told = self._told(rows, self.measure(self._pairs(rows)))
+        told = stage(self._told(rows, self.measure(self._pairs(rows))), "jaccard-told")
         core = F.col("hi") <= self.r + 1e-9
         edges = told.groupBy("region", "pivot").agg(F.min(F.when(~core, F.col("lo"))).alias("edge"))
         deep = core & (F.col("d") < F.coalesce("edge", F.lit(9.0)) - self.r - 1e-9)
-        gone = told.join(edges, ["region", "pivot"]).filter(deep).select("region", "node")
-        gone = gone.union(rows.filter(own).select("region", "node")).distinct()
-        own_row = rows.filter(F.col("pivot") == F.col("center")).select("region", "node", "n", "center")
-        return own_row.join(gone, ["region", "node"], "left_anti")
+        remains = told.join(edges, ["region", "pivot"]).groupBy("region", "node")
+        remains = remains.agg(
+            F.first("n").alias("n"),
+            F.first("center").alias("center"),
+            F.max(deep | (F.col("node") == F.col("pivot"))).alias("gone"),
+            F.max(F.when(core & (F.col("pivot") == F.col("center")), F.col("center"))).alias("component"),
+        )
+        component = F.coalesce("component", "node").alias("component")
+        return remains.filter("not gone").select("region", "node", "n", "center", component)
 
     def _told(self, rows: DataFrame, known: DataFrame) -> DataFrame:
         """Texts and pivots with bounds of their distance: lo and hi, both d where it was measured."""
         ends = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
+        own = F.when(F.col("node") == F.col("pivot"), F.lit(0.0))
         return (
-            rows.filter(F.col("node") != F.col("pivot"))
-            .select("*", *ends)
+            rows.select("*", *ends)
             .join(known, ["a", "b"], "left")
+            .withColumn("d", F.coalesce(own, "d"))
             # sizes alone bound the distance of pairs that were not measured
             .withColumn("lo", F.coalesce("d", "lo", 1 - F.least("n", "pn") / F.greatest("n", "pn")))
             .withColumn("hi", F.coalesce("d", F.lit(1.0)))
-            .select("region", "node", "n", "pivot", "lo", "hi", "d")
+            .select("region", "node", "n", "center", "pivot", "lo", "hi", "d")
         )
 
     def _pairs(self, rows: DataFrame) -> DataFrame:
@@ -290,11 +297,13 @@ class _Join:
         return rows.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
     def across(self, regions: DataFrame) -> DataFrame:
-        """Pairs of different components: texts outside a region's largest component with all its texts."""
-        outside = regions.filter(F.col("component") != F.col("largest"))
+        """Pairs of different components: texts not linked with a region's center with all its texts."""
+        outside = regions.filter(F.col("component") != F.col("center"))
         outside = outside.select("region", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "component")])
         both = regions.join(outside, "region").filter(
-            (F.col("component") != F.col("o_component")) & self.fits("n", "o_n")
+            (F.col("component") != F.col("o_component"))
+            & ((F.col("component") == F.col("center")) | (F.col("o_node") < F.col("node")))
+            & self.fits("n", "o_n")
         )
         return both.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
@@ -371,28 +380,17 @@ class _Join:
         return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
     def _spread(self, regions: DataFrame) -> DataFrame:
-        """``regions`` that hold several components, with the largest, its texts, all texts and pairs."""
-        sizes = regions.groupBy("region", "component").agg(F.count("*").alias("size"))
-        spread = sizes.groupBy("region").agg(
-            F.max_by("component", F.struct("size", "component")).alias("largest"),
-            F.max("size").alias("most"),
-            F.sum("size").alias("texts"),
-        )
+        """``regions`` that hold several components, with all texts and those of the largest component."""
+        linked = F.sum((F.col("component") == F.col("center")).cast("long"))
+        spread = regions.groupBy("region").agg(F.greatest(linked, F.lit(1)).alias("most"), F.count("*").alias("texts"))
         return regions.join(spread.filter("texts > most"), "region")
 
     def run(self, regions: DataFrame) -> None:
-        regions = stage(self.stars(regions), "jaccard-regions")
-        linked = components(self.all_links())
-        labelled = regions.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = stage(self._spread(labelled), "jaccard-regions")
+        open_ = stage(self._spread(stage(self.stars(regions), "jaccard-regions")), "jaccard-regions")
+        columns = ["region", "node", "n", "center", "component"]
         view = (F.col("most") > 1) & (2 * F.col("most") >= F.col("texts"))
-        same = open_.filter(view).groupBy(F.xxhash64("largest").alias("region"), "node", "n", "component")
-        same = same.agg(F.max("center").alias("center"))
-        one = same.groupBy("region", "center").agg(F.count("*").alias("named"))
-        one = one.groupBy("region").agg(F.max_by("center", F.struct("named", "center")).alias("center"))
-        same = same.drop("center").join(one, "region").select("region", "node", "n", "component", "center")
-        own = open_.filter(~view).select("region", "node", "n", "component", "center")
-        open_ = stage(self._spread(same.union(own)), "jaccard-regions")
+        same = open_.filter(view).withColumn("region", F.xxhash64("center")).select(*columns).distinct()
+        open_ = stage(self._spread(same.union(open_.filter(~view).select(*columns))), "jaccard-regions")
         pairs = F.col("texts") * (F.col("texts") - F.col("most"))
         large = open_.filter(pairs > FEW_PAIRS)
         found = self.across(open_.filter(pairs <= FEW_PAIRS))
