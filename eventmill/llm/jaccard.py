@@ -186,7 +186,8 @@ class _Join:
     def _contents(self, nodes: DataFrame) -> DataFrame:
         """node, content: the hashes of the sets of ``nodes``."""
         wanted = self.sets.join(nodes.distinct(), "node", "left_semi").select("node", "key", "doc")
-        ids = stage(wanted.select("doc").distinct(), "jaccard-ids")
+        wanted = stage(wanted, "jaccard-wanted")
+        ids = wanted.select("doc")
         ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
         rows = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi").select("text")
         size = self.size
@@ -206,9 +207,13 @@ class _Join:
     def measure(self, pairs: DataFrame) -> DataFrame:
         """a, b, lo, d, linked of distinct pairs; d is NULL where lo excludes a link."""
         bounded = stage(_bounded(pairs, self.sets), "jaccard-pairs")
-        near = bounded.filter(F.col("lo") <= self.r + 1e-9)
+        far = F.col("lo") > self.r + 1e-9
+        near = bounded.filter(~far)
+        excluded = bounded.filter(far).select(
+            "a", "b", "lo", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked")
+        )
         if near.isEmpty():
-            return bounded.select("a", "b", "lo", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked"))
+            return excluded
         nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node")))
         content = self._contents(nodes)
         both = near.join(content.withColumnsRenamed({"node": "a", "content": "x"}), "a").join(
@@ -226,14 +231,14 @@ class _Join:
                 common = np.array(common, np.int64)
                 union = batch.column("na").to_numpy() + batch.column("nb").to_numpy() - common
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("a"), batch.column("b"), pa.array(1 - common / np.maximum(union, 1))]
-                    + [pa.array(100 * common >= percent * union)],
-                    names=["a", "b", "d", "linked"],
+                    [batch.column(c) for c in ("a", "b", "lo")]
+                    + [pa.array(1 - common / np.maximum(union, 1)), pa.array(100 * common >= percent * union)],
+                    names=["a", "b", "lo", "d", "linked"],
                 )
 
-        exact = stage(both.mapInArrow(run, "a long, b long, d double, linked boolean"), "jaccard-measured")
+        exact = stage(both.mapInArrow(run, "a long, b long, lo double, d double, linked boolean"), "jaccard-measured")
         self.links.append(exact.filter("linked").select("a", "b"))
-        return bounded.select("a", "b", "lo").join(exact, ["a", "b"], "left")
+        return exact.union(excluded)
 
     def all_links(self) -> DataFrame:
         found = self.sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
