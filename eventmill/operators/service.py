@@ -198,12 +198,12 @@ def customer_statistics(customers: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
     """Count and percentage per value, NULL shown as unknown.
 
-    The window runs over the grouped rows (one per value), not over the input.
+    The total is a scalar subquery, so a column of many values is not gathered in one task.
     """
     counts = df.groupBy(F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit("unknown")).alias(column)).agg(
         F.count("*").alias("count")
     )
-    total = F.sum("count").over(Window.partitionBy())
+    total = _one(df, F.count("*"))
     return counts.withColumn("percentage", F.round(percent(F.col("count"), total), digits)).orderBy(
         F.desc("count"), column
     )
@@ -212,7 +212,7 @@ def distribution(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
 def segment_breakdown(customers: DataFrame, as_of, days: int = 30) -> DataFrame:
     recent = F.count_if(F.col("created_at") >= ago(as_of, days=days))
     counts = customers.groupBy("segment").agg(F.count("*").alias("count"), recent.alias("new_customers"))
-    total = F.sum("count").over(Window.partitionBy())
+    total = _one(customers, F.count("*"))
     return counts.withColumn("percentage", F.round(percent(F.col("count"), total), 1))
 
 
