@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventmill.functions.scalars import as_column, epoch_ms, lenient_timestamp
 
+# fixed values: lookup columns of the nested records
 INCIDENT_LOOKUPS = ["OffenceType", "SessionIndex", "DeviceIndex", "Vendor", "PrimaryFileName"]
 HISTORY_LOOKUPS = ["ServiceName", "ServerName", "FailType"]
 HEADER_LOOKUPS = ["SessionIndex", "DeviceIndex", "Location0", "Location1", "Location2"]

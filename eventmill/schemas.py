@@ -28,7 +28,7 @@ EVENT_TOPICS = {
     "analytics_metric": TOPIC_ANALYTICS,
 }
 
-# --- streams ---------------------------------------------------------------
+# --- streams (fixed values: wire columns) -----------------------------------
 ENVELOPE = _struct(
     ("key", T.BinaryType()),
     ("value", T.BinaryType()),
@@ -106,7 +106,7 @@ BRONZE_TABLES = {
     "analytics_metrics": T.StructType(ANALYTICS_METRIC.fields + _struct(*_BRONZE_META).fields),
 }
 
-# --- windowed gold tables (aggregates are long) ------------------------------
+# --- windowed gold tables (fixed values: columns; aggregates are long) --------
 _WINDOW = (("window_start", TS, False), ("window_end", TS, False))
 _CREATED = (("created_at", TS, False),)
 GOLD_TABLES = {
@@ -150,7 +150,7 @@ GOLD_TABLES = {
     ),
 }
 
-# --- virtual private cloud records -------------------------------------------
+# --- virtual private cloud records (fixed values: columns) --------------------
 VPC_EVENT = _struct(
     ("EventId", S, False),
     ("EventType", S),
