@@ -61,6 +61,7 @@ RIDGE = 0.3
 KNOWN_WORDS = 600_000
 HELD_CODES = 1 << 22  # features counted at a time
 PIECE_CHARS = 1 << 20
+FIT_PIECE = 1 << 18  # features the regression adds up at a time
 
 
 def _class_table() -> np.ndarray:
@@ -266,9 +267,9 @@ def character_model(docs: DataFrame, text_col: str = "text") -> CharacterModel:
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["gram", "n"])
 
     texts = docs.select(F.col(text_col).alias("t"))
-    found = texts.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CLASSES**ORDER, np.int64)
-    counts[found["gram"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    counts[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     return CharacterModel(counts)
 
 
@@ -315,15 +316,26 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
     return np.log(a / (n_toxic + 1)) - np.log(b / (n_clean + 1)) - ERRORS * np.sqrt(1 / a + 1 / b)
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, size: int, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and constant of a ridge regression on sets of features, by L-BFGS."""
-    row, column = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+def fit_logistic(lengths: np.ndarray, column: np.ndarray, y: np.ndarray, size: int, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and constant of a ridge regression on sets of features, by L-BFGS.
+
+    ``lengths`` are the sizes of the rows' sets, ``column`` the features of all rows one after the
+    other. Sums run over pieces of these, so that they need no copies as long as ``column``.
+    """
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    pieces = [slice(at, at + FIT_PIECE) for at in range(0, len(row), FIT_PIECE)]
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        w, z = v[:-1], np.bincount(row, v[column], minlength=len(rows)) + v[-1]
+        w, z = v[:-1], np.zeros(len(lengths))
+        for part in pieces:
+            np.add.at(z, row[part], v[column[part]])
+        z += v[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        slope = np.bincount(column, (p - y)[row], minlength=size) + RIDGE * w
-        return np.logaddexp(0, z).sum() - z @ y + RIDGE / 2 * (w @ w), np.append(slope, (p - y).sum())
+        error, slope = p - y, np.zeros(size)
+        for part in pieces:
+            np.add.at(slope, column[part], error[row[part]])
+        slope += RIDGE * w
+        return np.logaddexp(0, z).sum() - z @ y + RIDGE / 2 * (w @ w), np.append(slope, error.sum())
 
     v = np.append(np.zeros(size), np.log(max(y.sum(), 0.5) / max(len(y) - y.sum(), 0.5)))
     value, slope = loss(v)
@@ -511,14 +523,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return nothing
     rows = every.join(F.broadcast(spark.createDataFrame(picked, "_r long, _y int").select("_r")), "_r", "left_semi")
     log = spark.sparkContext.broadcast(language.log)
-    toxic = _feature_counts(rows.filter("_y = 1"), log).filter(F.col("n") >= LEAST).toPandas()
-    codes = toxic["code"].to_numpy(np.int64)
+    toxic = _feature_counts(rows.filter("_y = 1"), log).filter(F.col("n") >= LEAST).toArrow().sort_by("code")
+    codes = toxic.column("code").to_numpy()
     wanted = np.zeros(BUCKETS, bool)
     wanted[codes // LEVELS] = True
-    clean = _feature_counts(rows.filter("_y = 0"), log, spark.sparkContext.broadcast(wanted)).toPandas()
-    held = np.zeros(BUCKETS * LEVELS, np.int64)
-    held[clean["code"].to_numpy(np.int64)] = clean["n"].to_numpy(np.int64)
-    codes = np.sort(codes[log_odds(toxic["n"].to_numpy(np.int64), held[codes], sizes[1], sizes[0]) > 0])
+    clean = _feature_counts(rows.filter("_y = 0"), log, spark.sparkContext.broadcast(wanted)).toArrow()
+    found, n = clean.column("code").to_numpy(), clean.column("n").to_numpy()
+    both, at, place = np.intersect1d(codes, found, assume_unique=True, return_indices=True)
+    held = np.zeros(len(codes), np.int64)
+    held[at] = n[place]
+    codes = codes[log_odds(toxic.column("n").to_numpy(), held, sizes[1], sizes[0]) > 0]
+    del toxic, clean, found, n, both, at, place, held
     telling = spark.sparkContext.broadcast(codes)
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -530,9 +545,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             places = [np.flatnonzero(np.isin(known_codes, c)).astype(np.int32) for c in found]
             yield pa.RecordBatch.from_arrays([batch.column("_r"), batch.column("_y"), pa.array(places, pa.list_(pa.int32()))], names=["_r", "_y", "f"])
 
-    fitted = sorted(rows.select("_r", "_y", "t").mapInArrow(active, "_r long, _y int, f array<int>").collect())  # of the bounded sample
-    y = np.array([r._y for r in fitted], np.float64)
-    weights, constant = fit_logistic([np.array(r.f, np.int64) for r in fitted], y, len(codes))
+    # of the bounded sample; in the driver's Python a feature takes four bytes
+    fitted = rows.select("_r", "_y", "t").mapInArrow(active, "_r long, _y int, f array<int>").toArrow().sort_by("_r").combine_chunks()
+    y, sets = fitted.column("_y").to_numpy().astype(np.float64), fitted.column("f").combine_chunks()
+    weights, constant = fit_logistic(sets.value_lengths().to_numpy(), sets.flatten().to_numpy(), y, len(codes))
     constant += math.log(totals[1] / totals[0]) - math.log(sizes[1] / sizes[0])
     return Model.of(language.log, codes, weights, constant, nothing.base)
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from itertools import product
 
 import numpy as np
@@ -169,3 +170,36 @@ def test_restored_texts(spark, model):
     docs = spark.createDataFrame([(1, "you m0r0n, walk"), (2, None)], "doc_id long, text string")
     got = dict(map(tuple, tx.restored(docs, model).collect()))
     assert got[1].split()[1] == "moron" and got[2] == ""
+
+
+def test_training_holds_no_python_object_per_feature(spark):
+    """Hundreds of features in each of 1,200 documents: the driver's Python holds them as arrays of small numbers."""
+    rng, docs, labels = random.Random(3), [], []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    telling = ["".join(rng.choices(letters, k=9)) for _ in range(400)]
+    for i in range(1200):
+        words = prose(rng) if i % 2 else rng.sample(telling, 80)
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1 - i % 2))
+    rows = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    tracemalloc.start()
+    try:
+        trained = tx.train(*rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert trained.learned and (trained.place >= 0).sum() > 5000
+    assert peak < 45e6, peak
+
+
+def test_regression_adds_up_pieces_as_one_sum(monkeypatch):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(0, 9, 300)
+    column = rng.integers(0, 40, lengths.sum()).astype(np.int32)
+    y = (rng.random(300) < 0.4).astype(float)
+    weights, constant = tx.fit_logistic(lengths, column, y, 40)
+    monkeypatch.setattr(tx, "FIT_PIECE", 7)
+    again, same = tx.fit_logistic(lengths, column, y, 40)
+    assert (weights == again).all() and constant == same
+    p = 1 / (1 + np.exp(-(np.bincount(np.repeat(np.arange(300), lengths), weights[column], 300) + constant)))
+    assert abs((p - y).sum()) < 0.05  # the slope by the constant is zero at the optimum
