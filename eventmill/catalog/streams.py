@@ -85,11 +85,21 @@ def _(t):
     return outs[0].union(outs[1]).union(outs[2]).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+FILE_ROWS = 250_000
+
+
+def batch_files(rows, path, batches, most=FILE_ROWS):
+    """Messages as files of about ``most`` rows, as many for each of ``batches``; how many that are."""
+    each = max(1, -(-rows.count() // (batches * most)))
+    rows.repartition(batches * each, "offset").write.parquet(path)
+    return each
+
+
 @register("src3_rate_capped_stream", "SELECT count(*) AS n, 4 AS batches FROM events")
 def _(t):
     path = shared_dir(t.spark, "src3")
-    fixtures.envelope(t.events).repartition(4, "offset").write.parquet(f"{path}/in")
-    stream = sources.event_stream(t.spark, "files", f"{path}/in", files_per_trigger=1)
+    each = batch_files(fixtures.envelope(t.events), f"{path}/in", 4)
+    stream = sources.event_stream(t.spark, "files", f"{path}/in", files_per_trigger=each)
     done(sinks.batch_stream(stream, sinks.append_batches(f"{path}/out", ["topic"]), f"{path}/cp", None, mode="append"))
     out = t.spark.read.parquet(f"{path}/out")
     return out.agg(F.count("*").alias("n"), F.count_distinct("batch_id").cast("int").alias("batches"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,20 @@ from eventmill.session import micros
 RAW_BRONZE, TYPED_BRONZE, SILVER, GOLD = "30 seconds", "10 seconds", "60 seconds", "60 seconds"
 SILVER_METRICS, GOLD_DASHBOARD, EVENT_RATE, FAST, CONSOLE = "15 seconds", "30 seconds", "10 seconds", "2 seconds", "5 seconds"
 
+# Partitions that a task of a batch writes side by side; rows of further ones are sorted first, as Spark does without.
+OPEN_PARTITIONS, WRITERS = 4, "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@contextmanager
+def side_by_side(spark: SparkSession):
+    """Partitioned writes inside don't sort a task's rows by partition, so these needn't fit its memory."""
+    before = spark.conf.get(WRITERS)
+    spark.conf.set(WRITERS, OPEN_PARTITIONS)
+    try:
+        yield
+    finally:
+        spark.conf.set(WRITERS, before)
+
 
 def triggered(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
     """A processing-time trigger, or everything available now and stop when ``every`` is None."""
@@ -67,7 +82,7 @@ def append_batches(path: str, partition_by: list[str]) -> Callable[[DataFrame, i
 
     def handle(df: DataFrame, batch_id: int) -> None:
         rows = df.withColumns({"stream_id": F.lit(stream_id(df.sparkSession)), "batch_id": F.lit(batch_id)})
-        with micros(df.sparkSession):
+        with micros(df.sparkSession), side_by_side(df.sparkSession):
             (
                 rows.write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")

@@ -118,6 +118,41 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
 
 
+def test_a_batch_is_written_without_sorting_it(spark, tmp_path, monkeypatch):
+    """A few partitions are open side by side; more than these give the same rows."""
+    from pyspark.sql import DataFrameWriter
+
+    write, seen = DataFrameWriter.parquet, []
+
+    def watched(self, path, *args, **kwargs):
+        seen.append(int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    df = spark.createDataFrame(rows(200), SCHEMA).coalesce(1)
+    for column in ("action", "value"):  # two and nine values
+        sinks.append_batches(str(tmp_path / column), [column])(df, 0)
+        found = spark.read.parquet(str(tmp_path / column))
+        assert sorted(map(str, found.select("event_id", "customer_id", column).collect())) == sorted(
+            map(str, df.select("event_id", "customer_id", column).collect())
+        )
+    assert seen == [sinks.OPEN_PARTITIONS] * 2 and min(seen) > 1
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_a_batch_is_as_many_files_as_its_rows_need(spark, tmp_path):
+    from eventmill.catalog.streams import batch_files
+
+    messages = spark.range(4000).select(F.col("id").alias("offset"), F.lit("x").alias("value"))
+    for most, files in ((10_000, 1), (1000, 1), (200, 5)):
+        path = f"{tmp_path}/in{most}"
+        assert batch_files(messages, path, 4, most) == files
+        sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) == 4 * files and sum(sizes) == 4000 and max(sizes) < 1.5 * 1000 / files
+    assert batch_files(messages.limit(0), f"{tmp_path}/none", 4, 10) == 1
+
+
 def test_a_new_checkpoint_keeps_older_rows(spark, tmp_path):
     files = write_files(spark, str(tmp_path), [rows(30)])
     out = str(tmp_path / "out")
