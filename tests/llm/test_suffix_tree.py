@@ -75,3 +75,36 @@ def test_words_outside_the_dictionary_score_the_same(spark):
 
 def test_empty(no_docs):
     assert S.score_corpus(no_docs).count() == 0
+
+
+def test_buckets_score_as_the_whole_tree(spark, monkeypatch):
+    """Also where words and pairs of words have several buckets and most words aren't in the dictionary."""
+    rng = random.Random(5)
+    phrases = ["a b c d", "x b c e", "p q c f", "a b g", "rare c h"]
+    texts = [
+        " ".join(rng.choice(phrases) if rng.random() < 0.8 else f"o{rng.randrange(300)}" for _ in range(rng.randint(0, 30)))
+        for _ in range(200)
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    training = ~S.is_held_out(S.F.col("doc_id"))
+    tree, words = S.fit(docs.filter(training).select("text"), head_share=0.0)
+    kept = tree.state[tree.state == np.arange(len(tree.state))]
+    assert len(np.unique(np.searchsorted(tree.first, kept, "right"))) == 3
+    want = {r.doc_id: r.score for r in S.score_texts(docs, tree, words).collect()}
+    gains = S._context_gains
+    for head_share, bucket in ((S.HEAD_SHARE, S.BUCKET), (0.02, 50), (0.02, 5)):
+        monkeypatch.setattr(S, "_context_gains", lambda *a, bucket=bucket: gains(*a, bucket))
+        part, _ = S.fit(docs.filter(training).select("text"), depth=0, head_share=head_share)
+        got = {r.doc_id: r.score for r in S.score_texts(docs, part, words, training=training).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-8 for i in want)
+
+
+def test_rare_context_of_a_large_corpus_is_kept(spark):
+    """Twelve occurrences among two million tokens: under 1/100,000."""
+    filler = " ".join(f"f{i * i % 997}" for i in range(200_000))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    out = next(i for i in range(200) if i not in ids)
+    rows = [(i, filler) for i in ids[:10]] + [(i, "red kite over green hills") for i in ids[10:22]]
+    docs = spark.createDataFrame([*rows, (out, "red kite over green hills")], "doc_id long, text string")
+    (row,) = [r for r in S.score_corpus(docs).collect() if r.held_out]
+    assert row.train_tokens > 2_000_000 and row.score > row.base_score + 10
