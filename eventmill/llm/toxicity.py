@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, pairwise
 from zlib import crc32
 
 import numpy as np
@@ -161,14 +162,21 @@ def restore(raw: str, log: list[list[float]]) -> str:
     return "".join(reversed(out))
 
 
-def spelled(word: str, log: list[list[float]]) -> float:
-    """Log probability of a word of letters and digits."""
-    state, total = 0, 0.0
-    for c in word:
-        k = class_of(c)
-        total += log[state][k]
-        state = (state % (CLASSES * CLASSES)) * CLASSES + k
-    return total + log[state][EDGE]
+def written_once(plain: str, letter: str, log: list[list[float]]) -> bool:
+    """Whether the doubled ``letter`` of a word of letters is more likely one letter that was written again.
+
+    The two spellings differ in the steps that see both letters; all others are the same.
+    """
+    at = plain.index(letter * 2)
+    a, b = (class_of(plain[i]) if i >= 0 else EDGE for i in (at - 2, at - 1))
+    d = class_of(letter)
+    e, f = (class_of(plain[i]) if i < len(plain) else EDGE for i in (at + 2, at + 3))
+    before = log[(a * CLASSES + b) * CLASSES + d]
+    one, two = before[e], before[d] + log[(b * CLASSES + d) * CLASSES + d][e]
+    if at + 2 < len(plain):
+        one += log[(b * CLASSES + d) * CLASSES + e][f]
+        two += log[(d * CLASSES + d) * CLASSES + e][f]
+    return one + AGAIN > two
 
 
 _TAIL = re.compile(r"[!$@*+|#%&=~]{2,}$")
@@ -186,11 +194,37 @@ def words_of(token: str, log: list[list[float]]) -> list[str]:
         return [plain]
     if len(marks) == 1 and marks[0] and plain.isalpha() and marks[0] * 3 not in plain:
         # the lattice of one doubled letter has two ways
-        once = plain.replace(marks[0] * 2, marks[0])
-        return [once if spelled(once, log) + AGAIN > spelled(plain, log) else plain]
+        return [plain.replace(marks[0] * 2, marks[0]) if written_once(plain, marks[0], log) else plain]
     return restore(plain, log).split()
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return values[first], np.diff(np.append(first, len(values)))
+
+
+class Lists:
+    """Lists of numbers, told by their places and added at the end."""
+
+    def __init__(self):
+        self.values, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values = np.concatenate([self.values, values.astype(np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All values of the lists at ``places``, one list after the other, and the lists' sizes."""
+        start, sizes = self.ends[places], self.ends[places + 1] - self.ends[places]
+        at = np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return self.values[at].astype(np.int64), sizes
+
+
 class Grams:
     """N-grams of words with their edges marked, as buckets: one row of arrays per length of ``GRAMS``."""
 
@@ -214,7 +248,7 @@ class Grams:
         for b, fits in self.rows:
             at = np.flatnonzero(fits if wanted is None else fits & wanted[b])
             keys.append(word[at] * BUCKETS + b[at].astype(np.int64))
-        both = np.unique(np.concatenate(keys))
+        both = _runs(np.concatenate(keys))[0]
         return both // BUCKETS, both % BUCKETS
 
 
@@ -396,9 +430,10 @@ class Model:
 
 
 class Scorer:
-    """Tokens met so far, and of those that hold features their words with these; bounded.
+    """Tokens met so far, with the words in them that hold features; bounded.
 
-    Tokens that differ in the signs around them are restored once.
+    Tokens that differ in the signs around them are restored once. Words and their features lie
+    in arrays, which the texts of a block read together.
     """
 
     def __init__(self, model: Model):
@@ -406,54 +441,67 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.met: set[str] = set()
-        self.inside: dict[str, list[tuple[str, list[int]]] | None] = {}
-        self.telling: dict[str, list[tuple[str, list[int]]]] = {}
+        self.known: dict[str, int] = {}  # token, or one without the signs around it -> place in ``inside``
+        self.words: dict[str, int] = {}  # word that holds features -> place in ``rows``
+        self.inside, self.rows = Lists(), Lists()
+        self.inside.add(np.zeros(0, np.int32), np.zeros(1, np.int64))  # place 0: no such word
 
     def learn(self, tokens: set[str]) -> None:
         """The new ones among the tokens, all at once."""
-        new = tokens - self.met
-        if len(self.met) + len(new) > KNOWN_WORDS:
+        new = tokens.difference(self.known)
+        if len(self.known) + len(new) > KNOWN_WORDS:
             self.clear()
             new = tokens
-        self.met |= new
-        cores = {t: t.strip(_OUTER) for t in new}
-        fresh = [c for c in set(cores.values()) if c not in self.inside]
-        words = [words_of(c, self.log) for c in fresh]
-        word, bucket = Grams([w for found in words for w in found]).of(self.wanted)
-        rows: dict[int, list[int]] = {}
-        for w, p in zip(word.tolist(), self.model.place[bucket].tolist(), strict=True):
-            rows.setdefault(w, []).append(p)
-        at = 0
-        for c, found in zip(fresh, words, strict=True):
-            self.inside[c] = [(w, rows[at + k]) for k, w in enumerate(found) if at + k in rows] or None
-            at += len(found)
-        for t, c in cores.items():
-            if held := self.inside[c]:
-                self.telling[t] = held
+        cores = [t.strip(_OUTER) for t in new]
+        fresh = list(set(cores).difference(self.known))
+        found = [words_of(c, self.log) for c in fresh]
+        unmet = list(set(chain.from_iterable(found)).difference(self.words))
+        word, bucket = Grams(unmet).of(self.wanted)
+        sizes = np.bincount(word, minlength=len(unmet))
+        telling = np.flatnonzero(sizes)
+        self.words.update(zip([unmet[k] for k in telling.tolist()], range(len(self.rows), len(self.rows) + len(telling)), strict=True))
+        self.rows.add(self.model.place[bucket], sizes[telling])
+        places, lengths, at = [], [], len(self.inside)
+        for c, words in zip(fresh, found, strict=True):
+            own = [self.words[w] for w in words if w in self.words]
+            self.known[c] = at + len(lengths) if own else 0
+            if own:
+                places += own
+                lengths.append(len(own))
+        self.inside.add(np.array(places, np.int32), np.array(lengths, np.int64))
+        self.known.update(zip(new, [self.known[c] for c in cores], strict=True))
 
     def scores(self, texts: list[str | None]) -> Iterator[float]:
-        """Of texts, whose new tokens are learned together, about ``PIECE_CHARS`` at a time."""
+        """Of texts, about ``PIECE_CHARS`` at a time, whose new tokens are learned together."""
         held, size = [], 0
         for k, text in enumerate(texts):
             held.append(tokens_of(text) if text else set())
             size += len(text or "")
             if size >= PIECE_CHARS or k == len(texts) - 1:
-                self.learn(set().union(*held))
-                yield from map(self.score, held)
+                yield from self.block(held)
                 held, size = [], 0
 
-    def score(self, tokens: set[str]) -> float:
-        """Of a text by its tokens, all of them learned."""
+    def block(self, texts: list[set[str]]) -> list[float]:
+        """Of texts by their tokens."""
         m = self.model
         if not m.learned:
-            return m.base
-        words = {w: rows for t in tokens & self.telling.keys() for w, rows in self.telling[t]}
-        z = m.constant
-        if words:
-            row, count = np.unique(np.concatenate(list(words.values())), return_counts=True)
-            z += float(m.gain[row, np.minimum(count, LEVELS)].sum())
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            return [m.base] * len(texts)
+        tokens = set().union(*texts)
+        self.learn(tokens)
+        places = {t: self.known[t] for t in tokens}  # most tokens of a block are in several of its texts
+        sizes = [len(t) for t in texts]
+        place = np.fromiter(map(places.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+        text = np.repeat(np.arange(len(texts)), sizes)[place > 0]
+        word, sizes = self.inside.of(place[place > 0])
+        n_words, n_rows = max(1, len(self.rows)), max(1, len(m.gain))
+        text, word = np.divmod(_runs(np.repeat(text, sizes) * n_words + word)[0], n_words)
+        row, sizes = self.rows.of(word)
+        both, count = _runs(np.repeat(text, sizes) * n_rows + row)
+        text, row = np.divmod(both, n_rows)
+        gain = m.gain[row, np.minimum(count, LEVELS)]
+        ends = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        z = [m.constant + float(gain[a:b].sum()) for a, b in pairwise(ends)]
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in z]
 
 
 def trained_on(doc_id: Column, folds: int = 5) -> Column:

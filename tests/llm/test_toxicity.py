@@ -203,3 +203,85 @@ def test_regression_adds_up_pieces_as_one_sum(monkeypatch):
     assert (weights == again).all() and constant == same
     p = 1 / (1 + np.exp(-(np.bincount(np.repeat(np.arange(300), lengths), weights[column], 300) + constant)))
     assert abs((p - y).sum()) < 0.05  # the slope by the constant is zero at the optimum
+
+
+def spelled(word, log):
+    """Log probability of a word, step by step."""
+    state, total = 0, 0.0
+    for c in word:
+        k = tx.class_of(c)
+        total += log[state][k]
+        state = (state % (tx.CLASSES * tx.CLASSES)) * tx.CLASSES + k
+    return total + log[state][tx.EDGE]
+
+
+def test_a_doubled_letter_is_judged_by_the_steps_that_see_it():
+    class Log(list):
+        reads = 0
+
+        def __getitem__(self, state):
+            Log.reads += 1
+            return super().__getitem__(state)
+
+    rng = np.random.default_rng(4)
+    log = Log((np.log(rng.dirichlet(np.full(tx.CLASSES, 0.2), tx.CLASSES**3) + 1e-9)).tolist())
+    word = random.Random(4)
+    decided = set()
+    for n in range(2, 40):
+        for _ in range(20):
+            plain = "".join(word.sample("abcdefghijklmnopqrstuvwxyz\u4e16", min(n, 27)))
+            at = word.randrange(len(plain))
+            doubled = plain[:at] + plain[at] + plain[at:]
+            Log.reads = 0
+            got = tx.words_of(doubled, log)
+            assert Log.reads <= 5
+            want = spelled(plain, log) + tx.AGAIN > spelled(doubled, log)
+            assert got == [plain if want else doubled]
+            decided.add(want)
+    assert decided == {True, False}
+
+
+def by_features(model, codes, text):
+    """Score of a text from the set of its features."""
+    found = np.isin(codes[0], tx.features(text, model.log.tolist()))
+    return 1 / (1 + np.exp(-np.clip(model.constant + codes[1][found].sum(), -30, 30)))
+
+
+def small_model(seed=9, n=300):
+    rng = np.random.default_rng(seed)
+    log = np.log(rng.dirichlet(np.ones(tx.CLASSES), tx.CLASSES**3)).astype(np.float32)
+    grams = np.unique(tx.Grams(WORDS + BAD).of()[1])
+    codes = np.unique(rng.choice(grams, n) * tx.LEVELS + rng.integers(0, tx.LEVELS, n))
+    weights = rng.normal(size=len(codes))
+    return tx.Model.of(log, codes, weights, -0.5, 0.1), (codes, weights)
+
+
+@pytest.mark.parametrize("known, piece", [(600_000, 1 << 20), (30, 200), (600_000, 1)])
+def test_texts_of_a_block_score_by_their_own_features(monkeypatch, known, piece):
+    monkeypatch.setattr(tx, "KNOWN_WORDS", known)
+    monkeypatch.setattr(tx, "PIECE_CHARS", piece)
+    rng = random.Random(3)
+    model, codes = small_model()
+    texts = [" ".join(rng.choice([w, w.upper(), f"({w},"]) for w in rng.choices(WORDS + BAD, k=rng.randrange(0, 40))) for _ in range(60)]
+    texts += [None, "", " \n", "42 !!", "zzyzx", texts[0], "idiot IDIOT idiot. (idiot)"]
+    scorer = tx.Scorer(model)
+    for _ in range(2):
+        assert list(scorer.scores(texts)) == pytest.approx([by_features(model, codes, t or "") for t in texts], abs=1e-12)
+    assert list(scorer.scores([])) == []
+    nothing = tx.Scorer(tx.Model.nothing(model.log, 0.25))
+    assert list(nothing.scores(texts)) == [0.25] * len(texts)
+
+
+def test_met_tokens_hold_no_python_object_per_feature():
+    rng = random.Random(12)
+    model, _ = small_model(n=3000)
+    tokens = {"".join(rng.choices(["idio", "stup", "riv", "vill", "peop", "wea", "ron", "et"], k=4)) + str(i % 2 * "s") for i in range(40_000)}
+    tracemalloc.start()
+    try:
+        scorer = tx.Scorer(model)
+        before = tracemalloc.get_traced_memory()[0]
+        scorer.learn(tokens)
+        held = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert held < 330 * len(tokens), held / len(tokens)
