@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventmill.session import stage
+from eventmill.session import stage_clean
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -41,10 +41,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     whole = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     pair = whole.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = stage(pair.filter("u != v").distinct(), "links")
+    edges = stage_clean(pair.filter("u != v").distinct(), "links")
     stars = edges.isEmpty()
     while not stars:
-        edges = stage(_small(_large(edges)), "links")
+        edges = stage_clean(_small(_large(edges)), "links")
         # done when every node has one link, to a node that has none to a smaller one
         once = edges.groupBy("u").agg(F.count("*").alias("n"))
         stars = once.filter("n > 1").isEmpty() and edges.join(

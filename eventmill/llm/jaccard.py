@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from eventmill.llm.components import components
 from eventmill.llm.shingles import set_key, shingle_sets
-from eventmill.session import stage
+from eventmill.session import stage_clean
 
 PERCENT = 80
 SIZE = 5
@@ -109,7 +109,7 @@ def _shared_shingles(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarr
 
     counts = docs.select("text").mapInArrow(run, "h long, times long").groupBy("h").agg(F.sum("times").alias("times"))
     level = F.floor(F.log2("times")).cast("int").alias("level")
-    shared = stage(counts.filter(F.col("times") > COMMON).select("h", level), "jaccard-shared")
+    shared = stage_clean(counts.filter(F.col("times") > COMMON).select("h", level), "jaccard-shared")
     least, rows = 0, 0
     for r in sorted(shared.groupBy("level").count().collect(), key=lambda r: -r["level"]):
         rows += r["count"]
@@ -186,7 +186,7 @@ class _Join:
     def _contents(self, nodes: DataFrame) -> DataFrame:
         """node, content: the hashes of the sets of ``nodes``."""
         wanted = self.sets.join(nodes.distinct(), "node", "left_semi").select("node", "key", "doc")
-        wanted = stage(wanted, "jaccard-wanted")
+        wanted = stage_clean(wanted, "jaccard-wanted")
         ids = wanted.select("doc")
         ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
         rows = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi").select("text")
@@ -202,11 +202,11 @@ class _Join:
                     )
 
         read = rows.mapInArrow(run, "key binary, content binary").dropDuplicates(["key"])
-        return stage(wanted.select("node", "key").join(read, "key").select("node", "content"), "jaccard-sets")
+        return stage_clean(wanted.select("node", "key").join(read, "key").select("node", "content"), "jaccard-sets")
 
     def measure(self, pairs: DataFrame) -> DataFrame:
         """a, b, lo, d, linked of distinct pairs; d is NULL where lo excludes a link."""
-        bounded = stage(_bounded(pairs, self.sets), "jaccard-pairs")
+        bounded = stage_clean(_bounded(pairs, self.sets), "jaccard-pairs")
         far = F.col("lo") > self.r + 1e-9
         near = bounded.filter(~far)
         excluded = bounded.filter(far).select(
@@ -236,7 +236,7 @@ class _Join:
                     names=["a", "b", "lo", "d", "linked"],
                 )
 
-        exact = stage(both.mapInArrow(run, "a long, b long, lo double, d double, linked boolean"), "jaccard-measured")
+        exact = stage_clean(both.mapInArrow(run, "a long, b long, lo double, d double, linked boolean"), "jaccard-measured")
         self.links.append(exact.filter("linked").select("a", "b"))
         return exact.union(excluded)
 
@@ -268,8 +268,8 @@ class _Join:
         A text goes if it is a pivot, or lies in the core of one so deep that no text outside
         the core can link to it: what may link to it is connected with it already.
         """
-        rows = regions.join(stage(self.chosen(regions), "jaccard-pivots"), "region")
-        told = stage(self._told(rows, self.measure(self._pairs(rows))), "jaccard-told")
+        rows = regions.join(stage_clean(self.chosen(regions), "jaccard-pivots"), "region")
+        told = stage_clean(self._told(rows, self.measure(self._pairs(rows))), "jaccard-told")
         core = F.col("hi") <= self.r + 1e-9
         edges = told.groupBy("region", "pivot").agg(F.min(F.when(~core, F.col("lo"))).alias("edge"))
         deep = core & (F.col("d") < F.coalesce("edge", F.lit(9.0)) - self.r - 1e-9)
@@ -344,7 +344,7 @@ class _Join:
 
         kept = both.select("region", "node", "n", "component", "center", "content", "p")
         told = "region long, node long, n long, component long, center long, linked boolean, delta array<long>"
-        return stage(kept.mapInArrow(run, told), "jaccard-deltas")
+        return stage_clean(kept.mapInArrow(run, told), "jaccard-deltas")
 
     def around(self, regions: DataFrame) -> DataFrame:
         """Pairs that may link, of texts whose differences from the region's center agree early enough."""
@@ -369,7 +369,7 @@ class _Join:
             .withColumn("at", F.col("at") + F.col("alone"))
             .select("region", F.col("s")["h"].alias("h"), "node", "n", "component", "m", "linked", "at")
         )
-        first = stage(first, "jaccard-places")
+        first = stage_clean(first, "jaccard-places")
         outer = first.filter("not linked").drop("linked")
         outer = outer.withColumnsRenamed({c: f"o_{c}" for c in ("node", "n", "component", "m", "at")})
         bound = (F.col("n") + F.col("o_n")) * (100 - self.percent)
@@ -391,11 +391,11 @@ class _Join:
         return regions.join(spread.filter("texts > most"), "region")
 
     def run(self, regions: DataFrame) -> None:
-        open_ = stage(self._spread(stage(self.stars(regions), "jaccard-regions")), "jaccard-regions")
+        open_ = stage_clean(self._spread(stage_clean(self.stars(regions), "jaccard-regions")), "jaccard-regions")
         columns = ["region", "node", "n", "center", "component"]
         view = (F.col("most") > 1) & (2 * F.col("most") >= F.col("texts"))
         same = open_.filter(view).withColumn("region", F.xxhash64("center")).select(*columns).distinct()
-        open_ = stage(self._spread(same.union(open_.filter(~view).select(*columns))), "jaccard-regions")
+        open_ = stage_clean(self._spread(same.union(open_.filter(~view).select(*columns))), "jaccard-regions")
         pairs = F.col("texts") * (F.col("texts") - F.col("most"))
         large = open_.filter(pairs > FEW_PAIRS)
         found = self.across(open_.filter(pairs <= FEW_PAIRS))
@@ -416,8 +416,8 @@ def near_duplicates(
     table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    slim = stage(_survey(rows, size), "jaccard-survey")
-    sets = stage(
+    slim = stage_clean(_survey(rows, size), "jaccard-survey")
+    sets = stage_clean(
         slim.filter("n > 0")
         .groupBy("key")
         .agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("doc_id").alias("doc"))
@@ -426,12 +426,12 @@ def near_duplicates(
         "jaccard-points",
     )
     shared = docs.sparkSession.sparkContext.broadcast(_shared_shingles(rows, size, percent))
-    emitted = stage(_cells(rows, shared, size, percent), "jaccard-cells")
+    emitted = stage_clean(_cells(rows, shared, size, percent), "jaccard-cells")
     ends = emitted.groupBy("cell").agg(F.min("k64").alias("lo"), F.max("k64").alias("hi"), F.count("*").alias("texts"))
     met = emitted.join(ends.filter("lo != hi").select("cell", "texts"), "cell").distinct()
     scores = met.groupBy("k64").agg(F.sum("texts").alias("score"))
     named = sets.join(scores, "k64").select("k64", "node", "n", (F.col("score") / F.col("n")).alias("score"))
-    regions = stage(met.join(named, "k64").select(F.col("cell").alias("region"), "node", "n", "score"), "jaccard-regions")
+    regions = stage_clean(met.join(named, "k64").select(F.col("cell").alias("region"), "node", "n", "score"), "jaccard-regions")
     join = _Join(rows, sets, size, percent)
     join.run(regions)
     groups = components(join.all_links())
@@ -452,7 +452,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     told = near_duplicates(docs, id_col, text_col)
     keep = told.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = keep.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.min("n_shingles").alias("_n"))
-    keep = stage(keep.withColumnRenamed("doc_id", "_keep_id"), "jaccard-keep")
+    keep = stage_clean(keep.withColumnRenamed("doc_id", "_keep_id"), "jaccard-keep")
     kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")))
     if not keep.filter("_rows > 1 and _n > 0").isEmpty():
         kept = kept.filter("_n = 0").unionByName(kept.filter("_n > 0").dropDuplicates([id_col]))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventmill.llm.shingles import words
-from eventmill.session import stage
+from eventmill.session import stage, stage_clean
 
 DEPTH = 3
 HEAD_SHARE = 1e-6
@@ -48,7 +48,6 @@ FLUSH = 3_000_000
 BLOCK = 750_000  # tokens dealt to buckets at once
 BUCKET = 500_000  # tokens of a bucket, about; a context with twice as many gets several
 ROUNDS = 2  # tokens cross the network in, each round's files removed after it
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 TAIL = 1 << 62  # numbers of words outside the dictionary start here
 END = b""  # no word is empty
 
@@ -66,17 +65,6 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _stage(df: DataFrame, label: str) -> DataFrame:
-    """``stage``, without leaving the files of its shuffles behind."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEAN)
-    conf.set(CLEAN, "true")
-    try:
-        return stage(df, label)
-    finally:
-        conf.set(CLEAN, before)
-
-
 @dataclass
 class Tree:
     """Dictionary, candidate contexts of each depth, and the kept states; of all words or of a bucket's branches."""
@@ -271,7 +259,7 @@ def fit(
     takes the dictionary from here (depth 0) and its states by buckets. Shares leave out contexts and
     next words with less than that share of the training tokens.
     """
-    vocabulary = _stage(_vocabulary(training), "lm-words")
+    vocabulary = stage_clean(_vocabulary(training), "lm-words")
     row = vocabulary.filter("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, kinds = row.n or 0, row.v
     head = vocabulary.filter((F.col("c") >= max(1, head_share * total)) & (F.length("word") > 0))
@@ -570,7 +558,7 @@ def _context_gains(blocks: DataFrame, tree: Tree, vocabulary: DataFrame, bucket:
             yield pa.RecordBatch.from_arrays([*map(pa.array, (c1, c2, w, c, total, n))], names=list(columns))
 
     schema = ", ".join(f"{c} long" for c in columns)
-    singles = _stage(singles.mapInArrow(fill, schema), "lm-next")
+    singles = stage_clean(singles.mapInArrow(fill, schema), "lm-next")
     places, lists = _place(blocks, tree, singles, words, n_buckets, most / share if share else most)
     shared = spark.sparkContext.broadcast(places)
     dictionary = spark.sparkContext.broadcast(Tree(tree.total, tree.kinds, range(width), tree.counts))
@@ -631,7 +619,7 @@ def _context_gains(blocks: DataFrame, tree: Tree, vocabulary: DataFrame, bucket:
     gains = None
     for turn in range(ROUNDS):
         dealt = deal(turn, True).union(deal(turn, False)).repartition("bucket").sortWithinPartitions("bucket")
-        found = _stage(dealt.mapInArrow(run, _DEALT), "lm-gains")
+        found = stage_clean(dealt.mapInArrow(run, _DEALT), "lm-gains")
         gains = found if gains is None else gains.union(found)
     # one bucket here is 2,048 texts
     return gains.groupBy("bucket").applyInArrow(add_up, "row long, gain double")

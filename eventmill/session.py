@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 TIMESTAMPS, MICROS = "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -82,3 +83,14 @@ def stage(df, label: str):
     with micros(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_clean(df, label: str):
+    """``stage``, without leaving the files of its shuffles behind: else they stay until the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN)
+    conf.set(CLEAN, "true")
+    try:
+        return stage(df, label)
+    finally:
+        conf.set(CLEAN, before)

@@ -1,8 +1,12 @@
+import glob
+import os
 import random
 import re
+import tempfile
 
 import pytest
 
+from eventmill import session
 from eventmill.llm import jaccard as J
 from eventmill.llm.components import components
 
@@ -147,3 +151,30 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: root(n) for n in up}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """The driver may not collect its garbage for long, and until then steps must not pile up their files."""
+    root = spark.sparkContext.getConf().get("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir())
+
+    def files():
+        return set(glob.glob(f"{root}/blockmgr-*/*/shuffle_*.data"))
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(200)]
+    texts += [f"{t} more" for t in texts[:100]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before, staged = files(), []
+    real = session.shared_dir
+
+    def counted(*args):
+        staged.append(len(files() - before))  # what the steps so far have left
+        return real(*args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(session, "shared_dir", counted)
+        rows = J.near_duplicates(docs)
+    assert rows.filter("component_id < doc_id").count() == 100
+    assert len(staged) > 8
+    assert max(staged) <= 3, staged
